@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from sparkmat.llm import bpe
+from sparkmat.llm import bpe, decontam, linededup
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op4_bpe": bpe.op4_bpe,
+    "op9_line_dedup": linededup.op9_line_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": linededup.OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
