@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sparkmat.llm import bpe, decontam, linededup
+from sparkmat.llm import bpe, decontam, linededup, quality
 
 QUERIES = {
     "op2_decontamination": decontam.op2_decontamination,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_bpe": bpe.op4_bpe,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality.OP3_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
 }
