@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from sparkmat.llm import bpe, decontam, linededup, quality
+from sparkmat.llm import bpe, chat, decontam, linededup, neardup, quality
 
 QUERIES = {
     "op2_decontamination": decontam.op2_decontamination,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_bpe": bpe.op4_bpe,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality.OP3_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
+    "op10_chat": chat.OP10_SQL,
 }
