@@ -50,9 +50,11 @@ def word_features(words: list[bytes], sizes: tuple[int, ...], bits: int) -> tupl
 
 
 def pair_features(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Rows of the pairs of words that follow each other, from the words' hashes."""
+    """Rows of the pairs of words that follow each other, from the words' hashes; all pairs of a word with itself share row 0."""
     with np.errstate(over="ignore"):
-        return (_mixed(hashes[:-1] * FACTOR + hashes[1:]) >> np.uint64(64 - bits)).astype(np.int64)
+        rows = (_mixed(hashes[:-1] * FACTOR + hashes[1:]) >> np.uint64(64 - bits)).astype(np.int64)
+    rows[hashes[:-1] == hashes[1:]] = 0
+    return rows
 
 
 class WordSums:

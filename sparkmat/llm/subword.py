@@ -31,7 +31,7 @@ from sparkmat.llm.features import WordSums, labelled_sample, pair_features, word
 TRAIN_ROWS = 4000
 BITS, DIM = 18, 8
 NGRAMS = (3, 4, 5)
-EPOCHS, RATE = 12, 0.5
+EPOCHS, RATE = 8, 0.5
 THRESHOLD = 0.3
 
 
