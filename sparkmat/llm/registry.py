@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkmat.llm import bpe, chat, decontam, linededup, neardup, quality, subword, toxicity, urlfilter
+from sparkmat.llm import bpe, chat, decontam, htmltext, linededup, neardup, quality, subword, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_bpe": bpe.op4_bpe,
+    "op5_html_text": htmltext.op5_html_text,
     "op6_quality_classifier": subword.op6_quality_classifier,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_url_filter": urlfilter.op8_url_filter,
