@@ -1,19 +1,66 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: from documents to token ids.
+
+STAGES are (name, function) in order; each function takes (spark, docs, sf_dir)
+and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs.  All but the last return the columns of documents.
+
+1. quality rules: documents that the rules reject go;
+2. line dedup: lines that a smaller doc_id holds go, n_chars follows the text;
+3. near-duplicates: the least doc_id of each group stays;
+4. decontamination: documents with words inside a benchmark window go;
+5. byte-level BPE: token counts and digests of the ids and of the decoded bytes.
+
+Rows with a null doc_id are judged by their own text in stage 1 and kept by the
+stages that decide by doc_id; an empty table passes through.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkmat.llm import bpe, decontam, linededup, neardup, quality
+from sparkmat.llm.common import table, write_table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.judge(docs).where("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(docs, linededup.build_index(docs))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = write_table(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(decontam.build_index(docs), table(spark, sf_dir, "benchmark"))
+    gone = write_table(found.where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", byte_bpe),
+]
+#: Connected components of near-duplicates and byte-pair merges have no plain SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkmat.llm.common import write_table
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = write_table(docs, name.replace(" ", "_"))
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
