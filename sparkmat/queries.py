@@ -1,6 +1,606 @@
-"""The catalogue of sparse-matrix queries and their SQL."""
+"""The catalogue of sparse-matrix queries over the test tables, each with equal SQL.
+
+Base matrices: S supplier x part, O part x order, CP customer x part (sums of
+quantities; O counts), NT customer x supplier nations (dense), G a square one
+of 40 x 40, E transitions between event types.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sparkmat.matrix import SparseMatrix
+from sparkmat.operators import algebra, incremental, layout, loganalytics, multiply
+from sparkmat.plans.mcl import mcl, trace
+from sparkmat.shared import write_table
+from sparkmat.sources import generators
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def supplier_part(spark, sf):
+    df = load(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("v"))
+    return SparseMatrix.of(df, load(spark, sf, "supplier").count(), load(spark, sf, "part").count(), "l_suppkey", "l_partkey")
+
+
+def part_order(spark, sf):
+    df = load(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.count("*").alias("v"))
+    return SparseMatrix.of(df, load(spark, sf, "part").count(), load(spark, sf, "orders").count(), "l_partkey", "l_orderkey")
+
+
+def customer_part(spark, sf):
+    lines, orders = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    df = lines.join(orders, lines.l_orderkey == orders.o_orderkey).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").alias("v"))
+    return SparseMatrix.of(df, load(spark, sf, "customer").count(), load(spark, sf, "part").count(), "o_custkey", "l_partkey")
+
+
+def nation_trade(spark, sf):
+    lines, orders, customers, suppliers = (load(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    df = (
+        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        .join(customers, orders.o_custkey == customers.c_custkey)
+        .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
+        .groupBy("c_nationkey", "s_nationkey")
+        .agg(F.sum("l_quantity").alias("v"))
+    )
+    return SparseMatrix.of(df, 25, 25, "c_nationkey", "s_nationkey")
+
+
+def square(spark, sf):
+    df = load(spark, sf, "lineitem").where("l_orderkey % 97 = 0").groupBy((F.col("l_suppkey") % 40).alias("i"), (F.col("l_partkey") % 40).alias("j")).agg(F.sum("l_quantity").alias("v"))
+    return SparseMatrix.of(df, 40, 40)
+
+
+def event_transitions(spark, sf):
+    events = load(spark, sf, "events")
+    types = events.select("event_type").distinct().withColumn("n", F.row_number().over(Window.orderBy("event_type")) - 1)  # a few types
+    following = events.withColumn("next", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("next IS NOT NULL")
+    numbered = following.groupBy("event_type", "next").agg(F.count("*").alias("v")).join(types.withColumnRenamed("n", "i"), "event_type")
+    df = numbered.join(types.select(F.col("event_type").alias("next"), F.col("n").alias("j")), "next")
+    n = types.count()
+    return SparseMatrix.of(df, n, n)
+
+
+S = "s AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+O = "o AS (SELECT l_partkey AS i, l_orderkey AS j, count(*)::DOUBLE AS v FROM lineitem GROUP BY 1, 2)"  # noqa: E741
+CP = "cp AS (SELECT o_custkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+NT = """nt AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+G = "g AS (SELECT l_suppkey % 40 AS i, l_partkey % 40 AS j, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1, 2)"
+
+
+def product_sql(a: str, b: str, left="i, j", right="i, j") -> str:
+    """SQL of the product of two coordinate tables; left and right name row and column."""
+    (ai, ak), (bk, bj) = left.split(", "), right.split(", ")
+    return f"SELECT a.{ai} AS i, b.{bj} AS j, sum(a.v * b.v) AS v FROM {a} a JOIN {b} b ON a.{ak} = b.{bk} GROUP BY 1, 2"
+
+
+# --- products -------------------------------------------------------------------------------------
+
+COSUPPLY = f"WITH {S} {product_sql('s', 's', 'i, j', 'j, i')}"
+
+
+@query("spgemm_supplier_cosupply", COSUPPLY)
+def spgemm_supplier_cosupply(spark, sf):
+    s = supplier_part(spark, sf)
+    return multiply.spgemm(s, s.T).df
+
+
+@query("spgemm_part_copurchase", f"WITH {O} {product_sql('o', 'o', 'i, j', 'j, i')}")
+def spgemm_part_copurchase(spark, sf):
+    o = part_order(spark, sf)
+    return multiply.spgemm(o, o.T).df
+
+
+@query("spgemm_rect_customer_supplier", f"WITH {S}, {CP} {product_sql('cp', 's', 'i, j', 'j, i')}")
+def spgemm_rect_customer_supplier(spark, sf):
+    return multiply.spgemm(customer_part(spark, sf), supplier_part(spark, sf).T).df
+
+
+def _with_strategy(strategy):
+    def run(spark, sf):
+        s = supplier_part(spark, sf)
+        return multiply.spgemm(s, s.T, strategy).df
+
+    return run
+
+
+for _name, _strategy in (("broadcast", "broadcast"), ("shuffle", "shuffle"), ("summa", "summa"), ("hier", "hier"), ("semijoin", "semijoin"), ("1d_row", "row1d"), ("salted", "salted")):
+    query(f"spgemm_{_name}", COSUPPLY)(_with_strategy(_strategy))
+
+
+@query("spgemm_square_power3", f"WITH {G}, g2 AS ({product_sql('g', 'g')}) {product_sql('g2', 'g')}")
+def spgemm_square_power3(spark, sf):
+    return multiply.power(square(spark, sf), 3).df
+
+
+@query("spgemm_event_transitions", """
+WITH t AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::BIGINT AS n FROM (SELECT DISTINCT event_type FROM events)),
+n AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events),
+e AS (SELECT a.n AS i, b.n AS j, count(*)::DOUBLE AS v FROM n JOIN t a ON a.event_type = n.event_type JOIN t b ON b.event_type = n.nx GROUP BY 1, 2)
+""" + product_sql("e", "e"))
+def spgemm_event_transitions(spark, sf):
+    e = event_transitions(spark, sf)
+    return multiply.spgemm(e, e).df
+
+
+@query("spgemm_flops", f"WITH {S}, a AS (SELECT j AS k, count(*) AS n FROM s GROUP BY 1) SELECT sum(n * n)::BIGINT AS flops FROM a")
+def spgemm_flops(spark, sf):
+    s = supplier_part(spark, sf)
+    return multiply.flops(s, s.T)
+
+
+@query("spma", f"WITH {G}, p AS ({product_sql('g', 'g')}) SELECT i, j, sum(v) AS v FROM (SELECT * FROM g UNION ALL SELECT * FROM p) GROUP BY 1, 2")
+def spma(spark, sf):
+    g = square(spark, sf)
+    return multiply.fused_multiply_add(g, g, g).df
+
+
+# --- sums, scaling, selection ---------------------------------------------------------------------
+
+
+@query("spadd", f"WITH {G} SELECT i, j, sum(v) AS v FROM (SELECT * FROM g UNION ALL SELECT j AS i, i AS j, v FROM g) GROUP BY 1, 2")
+def spadd(spark, sf):
+    g = square(spark, sf)
+    return algebra.add(g, g.T).df
+
+
+@query("spadd_scaled", f"WITH {G} SELECT i, j, sum(v) AS v FROM (SELECT i, j, 2 * v AS v FROM g UNION ALL SELECT j AS i, i AS j, -3 * v AS v FROM g) GROUP BY 1, 2")
+def spadd_scaled(spark, sf):
+    g = square(spark, sf)
+    return algebra.add(g, g.T, 2.0, -3.0).df
+
+
+@query("transpose", f"WITH {S} SELECT j AS i, i AS j, v FROM s")
+def transpose(spark, sf):
+    return supplier_part(spark, sf).T.df
+
+
+@query("coalesce_duplicates", "SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2")
+def coalesce_duplicates(spark, sf):
+    return SparseMatrix.of(load(spark, sf, "lineitem"), 1, 1, "l_suppkey", "l_partkey", "l_quantity").coalesced().df
+
+
+@query("pattern", f"WITH {S} SELECT i, j, 1.0::DOUBLE AS v FROM s")
+def pattern(spark, sf):
+    return supplier_part(spark, sf).pattern().df
+
+
+@query("normalize_rows", f"WITH {NT} SELECT i, j, round(v / sum(v) OVER (PARTITION BY i), 9) AS v FROM nt")
+def normalize_rows(spark, sf):
+    return algebra.normalize(nation_trade(spark, sf), "i").df.withColumn("v", F.round("v", 9))
+
+
+@query("normalize_cols", f"WITH {NT} SELECT i, j, round(v / sum(v) OVER (PARTITION BY j), 9) AS v FROM nt")
+def normalize_cols(spark, sf):
+    return algebra.normalize(nation_trade(spark, sf), "j").df.withColumn("v", F.round("v", 9))
+
+
+@query("row_sums", f"WITH {NT} SELECT i, sum(v) AS s FROM nt GROUP BY 1")
+def row_sums(spark, sf):
+    return algebra.axis_sums(nation_trade(spark, sf), "i")
+
+
+@query("scale_columns", f"WITH {NT} SELECT i, j, v * sum(v) OVER (PARTITION BY j) AS v FROM nt")
+def scale_columns(spark, sf):
+    nt = nation_trade(spark, sf)
+    return algebra.scale(nt, algebra.axis_sums(nt, "j"), "j").df
+
+
+@query("inflate", f"WITH {NT} SELECT i, j, round(v * v / sum(v * v) OVER (PARTITION BY i), 9) AS v FROM nt")
+def inflate(spark, sf):
+    return algebra.inflate(nation_trade(spark, sf)).df.withColumn("v", F.round("v", 9))
+
+
+@query("prune", f"WITH {G} SELECT i, j, v FROM g WHERE abs(v) > 25")
+def prune(spark, sf):
+    return algebra.prune(square(spark, sf), 25.0).df
+
+
+@query("self_loops", f"WITH {G} SELECT i, j, v FROM g WHERE i <> j UNION ALL SELECT range AS i, range AS j, 1.0::DOUBLE AS v FROM range(40)")
+def self_loops(spark, sf):
+    return algebra.set_self_loops(square(spark, sf)).df
+
+
+@query("permute_symmetric", f"WITH {G} SELECT (i * 7 + 3) % 40 AS i, (j * 7 + 3) % 40 AS j, v FROM g")
+def permute_symmetric(spark, sf):
+    p = algebra.arithmetic_permutation(40, 7, 3, spark)
+    return algebra.permute(square(spark, sf), p, p).df
+
+
+@query("permute_roundtrip", f"WITH {G} {product_sql('g', 'g')}")
+def permute_roundtrip(spark, sf):
+    """The square of the permuted matrix, permuted back."""
+    p = algebra.random_permutation(40, 1, spark)
+    p = write_table(p, "permutation")
+    g = algebra.permute(square(spark, sf), p, p)
+    return algebra.permute(multiply.spgemm(g, g), algebra.inverse(p), algebra.inverse(p)).df
+
+
+# --- layout ---------------------------------------------------------------------------------------
+
+
+@query("row_ptr", f"WITH {S}, n AS (SELECT s_suppkey AS i, count(s.i) AS n FROM supplier LEFT JOIN s ON s.i = s_suppkey GROUP BY 1) SELECT i, (sum(n) OVER (ORDER BY i))::BIGINT AS ptr FROM n")
+def row_ptr(spark, sf):
+    return layout.pointers(supplier_part(spark, sf), "i")
+
+
+@query("col_ptr", f"WITH {S}, n AS (SELECT p_partkey AS j, count(s.i) AS n FROM part LEFT JOIN s ON s.j = p_partkey GROUP BY 1) SELECT j, (sum(n) OVER (ORDER BY j))::BIGINT AS ptr FROM n")
+def col_ptr(spark, sf):
+    return layout.pointers(supplier_part(spark, sf), "j")
+
+
+@query("row_displacements", f"WITH {S}, n AS (SELECT s_suppkey AS i, count(s.i) AS n FROM supplier LEFT JOIN s ON s.i = s_suppkey GROUP BY 1) SELECT i, (sum(n) OVER (ORDER BY i) - n)::BIGINT AS ptr FROM n")
+def row_displacements(spark, sf):
+    return layout.exclusive_pointers(supplier_part(spark, sf), "i")
+
+
+@query("row_nnz_from_ptr", f"WITH {S} SELECT s_suppkey AS i, count(s.i) AS n FROM supplier LEFT JOIN s ON s.i = s_suppkey GROUP BY 1")
+def row_nnz_from_ptr(spark, sf):
+    return layout.counts_of_pointers(layout.pointers(supplier_part(spark, sf), "i"), "i")
+
+
+@query("csr_rows", f"WITH {G} SELECT i, (row_number() OVER (PARTITION BY i ORDER BY j) - 1)::BIGINT AS pos, j, v FROM g")
+def csr_rows(spark, sf):
+    return layout.flattened(layout.compressed_rows(square(spark, sf), "i"), "i")
+
+
+@query("csc_columns", f"WITH {G} SELECT j, (row_number() OVER (PARTITION BY j ORDER BY i) - 1)::BIGINT AS pos, i, v FROM g")
+def csc_columns(spark, sf):
+    return layout.flattened(layout.compressed_rows(square(spark, sf), "j"), "j")
+
+
+@query("row_ranks", f"WITH {G} SELECT i, j, v, row_number() OVER (ORDER BY i, j) AS rank FROM g")
+def row_ranks(spark, sf):
+    return layout.ranked(square(spark, sf).df, ["i", "j"], "rank")
+
+
+@query("tile_index", f"WITH {G} SELECT i, j, v, i // 10 // 2 AS tile_r, i // 10 % 2 AS slice, j // 20 AS tile_c, i % 10 AS local_i, j % 20 AS local_j FROM g")
+def tile_index(spark, sf):
+    return layout.tiles(square(spark, sf), 2, 2, 2)
+
+
+@query("tile_nnz_balance", f"""WITH {G}, t AS (SELECT i // 10 AS a, j // 20 AS b, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT count(*) AS n_tiles, max(n) AS max_nnz, sum(n)::BIGINT AS total_nnz, max(n) * 8 / sum(n)::DOUBLE AS imbalance FROM t""")
+def tile_nnz_balance(spark, sf):
+    return layout.tile_balance(square(spark, sf), 2, 2, 2)
+
+
+@query("nnz_stats", f"WITH {S} SELECT count(*) AS nnz, count(DISTINCT i) AS n_rows, count(DISTINCT j) AS n_cols FROM s")
+def nnz_stats(spark, sf):
+    s = supplier_part(spark, sf)
+    rows = s.df.groupBy("i").agg(F.count("*").alias("n")).agg(F.sum("n").alias("nnz"), F.count("*").alias("n_rows"))
+    return rows.crossJoin(layout.nonempty(s, "j").agg(F.count("*").alias("n_cols")))  # one row each
+
+
+@query("matrix_info", f"""WITH {S}, n AS (SELECT s_suppkey AS i, count(s.i) AS n FROM supplier LEFT JOIN s ON s.i = s_suppkey GROUP BY 1), p AS (SELECT count(*) AS c FROM part)
+SELECT count(*) AS nrows, any_value(c) AS ncols, sum(n)::BIGINT AS nnz, sum(n) * 100.0::DOUBLE / (count(*) * any_value(c)) AS density, avg(n) AS avg_row, max(n) AS max_row, min(n) AS min_row FROM n, p""")
+def matrix_info(spark, sf):
+    return layout.info(supplier_part(spark, sf))
+
+
+@query("validate_matrix", f"WITH {S} SELECT count(*) AS nnz, 0::BIGINT AS n_bad_row, count(*) FILTER (WHERE j >= 100) AS n_bad_col, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, 0::BIGINT AS n_repeated FROM s")
+def validate_matrix(spark, sf):
+    s = supplier_part(spark, sf)
+    return layout.validate(SparseMatrix(s.df, s.nrows, 100))
+
+
+@query("nonempty_mask", f"WITH {G} SELECT DISTINCT j AS k FROM g")
+def nonempty_mask(spark, sf):
+    return layout.nonempty(square(spark, sf), "j")
+
+
+@query("packed_bitmask", f"WITH {G}, k AS (SELECT DISTINCT j AS k FROM g) SELECT k // 8 AS word, bit_or(1 << (k % 8)::INT)::BIGINT AS mask FROM k GROUP BY 1")
+def packed_bitmask(spark, sf):
+    return layout.packed_mask(layout.nonempty(square(spark, sf), "j"))
+
+
+@query("mask_intersection", f"""WITH {G}, a AS (SELECT DISTINCT j AS k FROM g WHERE i % 4 = 0), b AS (SELECT DISTINCT i AS k FROM g WHERE j % 4 = 1), c AS (SELECT k FROM a INTERSECT SELECT k FROM b)
+SELECT k // 8 AS word, bit_or(1 << (k % 8)::INT)::BIGINT AS mask FROM c GROUP BY 1""")
+def mask_intersection(spark, sf):
+    g = square(spark, sf)
+    a, b = g.with_df(g.df.where("i % 4 = 0")), g.with_df(g.df.where("j % 4 = 1"))
+    return layout.masks_intersected(layout.packed_mask(layout.nonempty(a, "j")), layout.packed_mask(layout.nonempty(b, "i")))
+
+
+@query("compress_a", f"WITH {G} SELECT i, j, v FROM g WHERE i % 4 = 0 AND j IN (SELECT i FROM g WHERE j % 4 = 1)")
+def compress_a(spark, sf):
+    g = square(spark, sf)
+    return layout.reduced_operands(g.with_df(g.df.where("i % 4 = 0")), g.with_df(g.df.where("j % 4 = 1")))[0].df
+
+
+@query("compress_b", f"WITH {G} SELECT i, j, v FROM g WHERE j % 4 = 1 AND i IN (SELECT j FROM g WHERE i % 4 = 0)")
+def compress_b(spark, sf):
+    g = square(spark, sf)
+    return layout.reduced_operands(g.with_df(g.df.where("i % 4 = 0")), g.with_df(g.df.where("j % 4 = 1")))[1].df
+
+
+@query("densify", f"WITH {G} SELECT i, " + ", ".join(f'coalesce(sum(v) FILTER (WHERE j = {k}), 0) AS "{k}"' for k in range(40)) + " FROM g GROUP BY i")
+def densify(spark, sf):
+    return square(spark, sf).df.groupBy("i").pivot("j", list(range(40))).agg(F.sum("v")).fillna(0.0)
+
+
+@query("matrix_checksum", f"""WITH {S}, t AS (SELECT ((xor(xor(i << 40, j << 16), CAST(CAST(CAST(v AS FLOAT) AS BIT) AS INTEGER)::BIGINT))::HUGEINT * {layout.CHECKSUM_FACTOR}) % 18446744073709551616 AS t FROM s)
+SELECT CAST((sum(t) + {layout.CHECKSUM_OFFSET}) % 18446744073709551616 AS VARCHAR) AS checksum FROM t""")
+def matrix_checksum(spark, sf):
+    return layout.checksum(supplier_part(spark, sf))
+
+
+# --- generators -----------------------------------------------------------------------------------
+
+
+def _stencil_sql(kind: str, n: int) -> str:
+    d = generators.STENCILS[kind]
+    dims, index = "xyz"[:d], " + ".join(f"({c}) * {n**k}" for k, c in enumerate("xyz"[:d]))
+    moved = " + ".join(f"(d{c} <> 0)::INT" for c in dims)
+    column = " + ".join(f"({c} + d{c}) * {n**k}" for k, c in enumerate(dims))
+    value = {"9pt": "CASE m WHEN 0 THEN 8 WHEN 1 THEN -2 ELSE -1 END", "27pt": "CASE m WHEN 0 THEN 26 WHEN 1 THEN -4 ELSE -1 END"}.get(kind, f"CASE m WHEN 0 THEN {2 * d} ELSE -1 END")
+    source = ", ".join(f"(SELECT range AS {c} FROM range({n})), (SELECT range AS d{c} FROM range(-1, 2))" for c in dims)
+    inside = " AND ".join(f"{c} + d{c} BETWEEN 0 AND {n - 1}" for c in dims)
+    few = "" if kind in ("9pt", "27pt") else " AND m <= 1"
+    return f"SELECT ({index})::BIGINT AS i, ({column})::BIGINT AS j, ({value})::DOUBLE AS v FROM (SELECT *, {moved} AS m FROM {source}) WHERE {inside}{few}"
+
+
+def _restriction_sql(d: int, n: int) -> str:
+    dims, fine = "xyz"[:d], 2 * n - 1
+    row = " + ".join(f"{c} * {n**k}" for k, c in enumerate(dims))
+    column = " + ".join(f"(2 * {c} + d{c}) * {fine**k}" for k, c in enumerate(dims))
+    moved = " + ".join(f"(d{c} <> 0)::INT" for c in dims)
+    source = ", ".join(f"(SELECT range AS {c} FROM range({n})), (SELECT range AS d{c} FROM range(-1, 2))" for c in dims)
+    inside = " AND ".join(f"2 * {c} + d{c} BETWEEN 0 AND {fine - 1}" for c in dims)
+    return f"SELECT ({row})::BIGINT AS i, ({column})::BIGINT AS j, pow(0.5, {moved} + {d})::DOUBLE AS v FROM {source} WHERE {inside}"
+
+
+def _prolongation_sql(d: int, n: int) -> str:
+    return f"SELECT j AS i, i AS j, v * {2**d} AS v FROM ({_restriction_sql(d, n)})"
+
+
+for _kind, _n in (("3pt", 50), ("5pt", 12), ("9pt", 12), ("7pt", 6), ("27pt", 6)):
+    query(f"stencil_{generators.STENCILS[_kind]}d_{_kind}", _stencil_sql(_kind, _n))(lambda spark, sf, k=_kind, n=_n: generators.stencil(spark, k, *[n] * generators.STENCILS[k]).df)
+for _d, _n in ((1, 20), (2, 6), (3, 4)):
+    query(f"restrict_{_d}d", _restriction_sql(_d, _n))(lambda spark, sf, d=_d, n=_n: generators.restriction(spark, *[n] * d).df)
+    query(f"prolong_{_d}d", _prolongation_sql(_d, _n))(lambda spark, sf, d=_d, n=_n: generators.prolongation(spark, *[n] * d).df)
+
+
+def _galerkin_sql(d: int, n: int, kind: str) -> str:
+    return f"WITH r AS ({_restriction_sql(d, n)}), p AS ({_prolongation_sql(d, n)}), a AS ({_stencil_sql(kind, 2 * n - 1)}), ra AS ({product_sql('r', 'a')}) {product_sql('ra', 'p')}"
+
+
+def _galerkin(d: int, n: int, kind: str):
+    def run(spark, sf):
+        sizes, fine = [n] * d, [2 * n - 1] * d
+        return multiply.triple_product(generators.restriction(spark, *sizes), generators.stencil(spark, kind, *fine), generators.prolongation(spark, *sizes)).df
+
+    return run
+
+
+query("galerkin_rap_1d", _galerkin_sql(1, 20, "3pt"))(_galerkin(1, 20, "3pt"))
+query("galerkin_rap_2d", _galerkin_sql(2, 6, "5pt"))(_galerkin(2, 6, "5pt"))
+
+
+@query("restrict_t_times_a", f"WITH r AS ({_restriction_sql(2, 6)}), a AS ({_stencil_sql('5pt', 6)}) {product_sql('r', 'a', 'j, i')}")
+def restrict_t_times_a(spark, sf):
+    return multiply.spgemm(generators.restriction(spark, 6, 6).T, generators.stencil(spark, "5pt", 6, 6)).df
+
+
+@query("band_columns", "SELECT y AS i, x AS j, 1.0::DOUBLE AS v FROM (SELECT range AS x FROM range(60)), (SELECT range AS y FROM range(60)) WHERE x % 3 = 2 AND y >= x AND y < x + CASE WHEN x < 30 THEN x + 1 ELSE 60 - x END")
+def band_columns(spark, sf):
+    return generators.banded(spark, 60, 3, 2, "j").df
+
+
+# --- clustering -----------------------------------------------------------------------------------
+
+
+def _mcl_sql(rounds: int, tolerance: float, axis: str = "i", both: bool = False, counts: bool = False) -> str:
+    norm = lambda t: f"SELECT i, j, v / sum(v) OVER (PARTITION BY {axis}) AS v FROM {t}"
+    parts = [NT, f"l0 AS ({norm('nt')})", f"r0 AS (SELECT * FROM {'l0' if both else 'nt'})"]
+    tail = []
+    for k in range(rounds):
+        parts += [
+            f"e{k} AS ({product_sql(f'l{k}', f'r{k}')})",
+            f"q{k} AS (SELECT i, j, v * v AS v FROM e{k})",
+            f"f{k} AS ({norm(f'q{k}')})",
+            f"l{k + 1} AS (SELECT * FROM f{k} WHERE abs(v) > {tolerance})",
+            f"r{k + 1} AS (SELECT * FROM l{k + 1})",
+        ]
+        tail.append(f"SELECT {k}::BIGINT AS iter, (SELECT count(*) FROM f{k}) AS nnz, (SELECT count(*) FROM l{k + 1}) AS nnz_pruned")
+    return f"WITH {', '.join(parts)} " + (" UNION ALL ".join(tail) if counts else f"SELECT i, j, round(v, 6) AS v FROM l{rounds}")
+
+
+def _rounded(m: SparseMatrix) -> DataFrame:
+    return m.df.withColumn("v", F.round("v", 6))
+
+
+@query("mcl_1iter", _mcl_sql(1, 0.01))
+def mcl_1iter(spark, sf):
+    return _rounded(mcl(nation_trade(spark, sf), 1, 0.01)[0])
+
+
+@query("mcl_3iter", _mcl_sql(3, 0.002))
+def mcl_3iter(spark, sf):
+    return _rounded(mcl(nation_trade(spark, sf), 3, 0.002)[0])
+
+
+@query("mcl_col_variant", _mcl_sql(2, 0.01, "j", True))
+def mcl_col_variant(spark, sf):
+    return _rounded(mcl(nation_trade(spark, sf), 2, 0.01, axis="j", normalize_right=True)[0])
+
+
+@query("mcl_nnz_trace", _mcl_sql(3, 0.002, counts=True))
+def mcl_nnz_trace(spark, sf):
+    a = nation_trade(spark, sf)
+    return trace(a, mcl(a, 3, 0.002)[1])
+
+
+# --- incremental updates --------------------------------------------------------------------------
+
+SPLIT = f"""{G}, r AS (SELECT *, row_number() OVER (ORDER BY (i * 7919 + j * 104729 + 1) % 1000003, i, j) AS n FROM g),
+u AS (SELECT i, j, v, CASE WHEN (n - 1) // 30 < 4 THEN (n - 1) // 30 ELSE -1 END AS batch FROM r)"""
+
+
+@query("inc_split", f"WITH {SPLIT} SELECT i, j, v, batch FROM u")
+def inc_split(spark, sf):
+    return incremental.disjoint_updates(square(spark, sf), 4, 30)
+
+
+@query("inc_apply", f"WITH {SPLIT} SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM u WHERE batch <= 0 UNION ALL SELECT i, j, v FROM g WHERE i < 10) GROUP BY 1, 2")
+def inc_apply(spark, sf):
+    g = square(spark, sf)
+    u = incremental.disjoint_updates(g, 4, 30)
+    base = incremental.apply_update(g.with_df(u.where("batch = -1")), g.with_df(u.where("batch = 0")))
+    return incremental.apply_update(base, g.with_df(g.df.where("i < 10"))).df
+
+
+@query("inc_batches_nnz", f"""WITH {SPLIT}, b AS (SELECT range AS k FROM range(4)), m AS (SELECT k, i, j, v FROM u, b WHERE batch <= k),
+c AS (SELECT DISTINCT x.k, x.i, y.j FROM m x JOIN m y ON x.k = y.k AND x.j = y.i)
+SELECT k AS batch_idx, (SELECT count(*) FROM m WHERE m.k = b.k) AS nnz_a, (SELECT count(*) FROM c WHERE c.k = b.k) AS nnz_c FROM b""")
+def inc_batches_nnz(spark, sf):
+    g = square(spark, sf)
+    rows = [(r["batch_idx"], r["nnz_a_global"], r["nnz_c_global"]) for r in incremental.run_batches(g, g, 4, 30)]
+    return spark.createDataFrame(rows, "batch_idx long, nnz_a long, nnz_c long")
+
+
+@query("inc_delta_equals_full", f"WITH {G} {product_sql('g', 'g')}")
+def inc_delta_equals_full(spark, sf):
+    """G G from the product of a part of G and the rest of it as an update."""
+    g = square(spark, sf)
+    u = write_table(incremental.disjoint_updates(g, 1, 100), "updates")
+    a, d = g.with_df(u.where("batch = -1")), g.with_df(u.where("batch = 0"))
+    return incremental.delta_product(a, d, a, d, multiply.spgemm(a, a)).df
+
+
+@query("hamilton_alloc", f"""WITH {S}, n AS (SELECT i AS rank, count(*) AS n FROM s GROUP BY 1),
+q AS (SELECT rank, n, 1000 * n // sum(n) OVER () AS q, (1000 * n) % (sum(n) OVER ()) AS rem FROM n),
+w AS (SELECT rank, n, q + (row_number() OVER (ORDER BY rem DESC, rank) <= 1000 - sum(q) OVER ())::INT AS want, n // 10 AS cap FROM q),
+c AS (SELECT rank, n, least(want, cap) AS got, cap - least(want, cap) AS room, sum(want - least(want, cap)) OVER () AS over FROM w)
+SELECT rank, n, (got + greatest(0, least(room, over - coalesce(sum(room) OVER (ORDER BY room DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS alloc FROM c""")
+def hamilton_alloc(spark, sf):
+    sizes = supplier_part(spark, sf).df.groupBy(F.col("i").alias("rank")).agg(F.count("*").alias("n"))
+    return incremental.apportion(sizes, 1000, 10)
+
+
+# --- benchmark times, from events -----------------------------------------------------------------
+
+METRICS = """m AS (SELECT user_id % 8 AS rank, event_id % 6 AS round, event_type AS phase, value AS ms,
+  CASE user_id % 4 WHEN 0 THEN 'archaea' WHEN 1 THEN 'eukarya' WHEN 2 THEN 'mouse_gene' ELSE 'ldoor' END AS matrix,
+  CASE event_id % 3 WHEN 0 THEN 'async' WHEN 1 THEN 'summa' ELSE 'workstealing' END AS impl,
+  CASE event_id % 4 WHEN 0 THEN 16 WHEN 1 THEN 64 ELSE 256 END AS ngpus,
+  CASE event_id % 5 WHEN 0 THEN '2x2' WHEN 1 THEN '4x4' ELSE '8x8' END AS grid
+  FROM events WHERE value > 0)"""
+
+
+def metrics(spark, sf) -> DataFrame:
+    """Rows shaped like benchmark times, derived from ``events``."""
+    pick = lambda key, first, second, other, third=None: F.when(key == 0, first).when(key == 1, second).otherwise(other) if third is None else F.when(key == 0, first).when(key == 1, second).when(key == 2, other).otherwise(third)
+    e, u = F.col("event_id"), F.col("user_id")
+    return load(spark, sf, "events").where("value > 0").select(
+        (u % 8).alias("rank"), (e % 6).alias("round"), F.col("event_type").alias("phase"), F.col("value").alias("ms"),
+        pick(u % 4, "archaea", "eukarya", "mouse_gene", "ldoor").alias("matrix"),
+        pick(e % 3, "async", "summa", "workstealing").alias("impl"),
+        pick(e % 4, 16, 64, 256).alias("ngpus"),
+        pick(e % 5, "2x2", "4x4", "8x8").alias("grid"),
+    )
+
+
+@query("log_mean_runtime", f"WITH {METRICS} SELECT ngpus, impl, round(avg(ms), 6) AS avg_ms FROM m WHERE phase = 'click' AND round <> 0 GROUP BY 1, 2")
+def log_mean_runtime(spark, sf):
+    return loganalytics.mean_runtime(metrics(spark, sf), "click", ["ngpus", "impl"]).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("log_runtime_pivot", f"""WITH {METRICS} SELECT matrix, ngpus, round(coalesce(avg(ms) FILTER (WHERE impl = 'async'), 0), 6) AS async,
+round(coalesce(avg(ms) FILTER (WHERE impl = 'summa'), 0), 6) AS summa, round(coalesce(avg(ms) FILTER (WHERE impl = 'workstealing'), 0), 6) AS workstealing FROM m GROUP BY 1, 2""")
+def log_runtime_pivot(spark, sf):
+    names = ["async", "summa", "workstealing"]
+    out = loganalytics.pivoted(metrics(spark, sf), ["matrix", "ngpus"], "impl", "ms", names, 0.0)
+    return out.select("matrix", "ngpus", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("log_phase_breakdown", f"WITH {METRICS}, a AS (SELECT impl, phase, rank, avg(ms) AS ms FROM m GROUP BY ALL) SELECT impl, phase, round(avg(ms), 6) AS avg_ms FROM a GROUP BY ALL")
+def log_phase_breakdown(spark, sf):
+    return loganalytics.phase_breakdown(metrics(spark, sf), ["impl"]).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("log_rank_breakdown", f"WITH {METRICS} SELECT impl, phase, rank, round(avg(ms), 6) AS avg_ms FROM m GROUP BY ALL")
+def log_rank_breakdown(spark, sf):
+    return loganalytics.rank_breakdown(metrics(spark, sf), ["impl"]).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("log_comm_time", f"""WITH {METRICS}, a AS (SELECT impl, rank, phase, avg(ms) AS ms FROM m WHERE phase IN ('click', 'view') GROUP BY ALL), b AS (SELECT impl, rank, sum(ms) AS ms FROM a GROUP BY ALL)
+SELECT impl, round(max(ms), 6) AS comm_ms FROM b GROUP BY ALL""")
+def log_comm_time(spark, sf):
+    return loganalytics.comm_time(metrics(spark, sf), ["impl"], ["click", "view"]).withColumn("comm_ms", F.round("comm_ms", 6))
+
+
+@query("log_strong_scaling", f"WITH {METRICS}, a AS (SELECT ngpus, impl, phase, avg(ms) AS ms FROM m GROUP BY ALL) SELECT ngpus, impl, round(sum(ms), 6) AS total_ms FROM a GROUP BY ALL")
+def log_strong_scaling(spark, sf):
+    return loganalytics.strong_scaling(metrics(spark, sf), ["ngpus", "impl"]).withColumn("total_ms", F.round("total_ms", 6))
+
+
+@query("log_geomean_speedup", f"""WITH {METRICS}, a AS (SELECT impl, matrix, avg(ms) AS ms FROM m WHERE ngpus = 256 AND matrix IN ('archaea', 'eukarya', 'isolates_subgraph4', 'mouse_gene') GROUP BY ALL)
+SELECT a.impl, round(exp(avg(ln(a.ms / o.ms))), 6) AS speedup, count(*) AS n_matrices FROM a JOIN a o ON o.matrix = a.matrix AND o.impl = 'async' WHERE a.impl <> 'async' GROUP BY 1""")
+def log_geomean_speedup(spark, sf):
+    out = loganalytics.geomean_speedup(metrics(spark, sf), "async", 256, ["archaea", "eukarya", "isolates_subgraph4", "mouse_gene"])
+    return out.withColumn("speedup", F.round("speedup", 6))
+
+
+@query("log_comm_volume", f"""WITH {METRICS}, a AS (SELECT ngpus, matrix, grid, rank, sum(floor(ms))::BIGINT AS bytes FROM m GROUP BY ALL), g AS (SELECT ngpus, matrix, grid, avg(bytes) AS bytes FROM a GROUP BY ALL)
+SELECT ngpus, matrix, round(arg_min(bytes, grid), 6) AS small_grid_bytes, round(arg_max(bytes, grid), 6) AS large_grid_bytes, count(*) AS n_grids FROM g GROUP BY 1, 2 HAVING count(*) > 1""")
+def log_comm_volume(spark, sf):
+    volume = metrics(spark, sf).groupBy("ngpus", "matrix", "grid", "rank").agg(F.sum(F.floor("ms")).alias("bytes"))
+    out = loganalytics.grid_extremes(volume)
+    return out.withColumns({c: F.round(c, 6) for c in ("small_grid_bytes", "large_grid_bytes")})
+
+
+@query("log_mcl_totals", f"WITH {METRICS}, a AS (SELECT matrix, impl, round, max(ms) AS ms FROM m GROUP BY ALL) SELECT matrix, impl, round(sum(ms), 6) AS total_ms FROM a GROUP BY ALL")
+def log_mcl_totals(spark, sf):
+    return loganalytics.clustering_totals(metrics(spark, sf), ["matrix", "impl"]).withColumn("total_ms", F.round("total_ms", 6))
+
+
+@query("log_mcl_series", f"WITH {METRICS}, a AS (SELECT matrix, impl, round, max(ms) AS ms FROM m GROUP BY ALL) SELECT matrix, impl, (row_number() OVER (PARTITION BY matrix, impl ORDER BY round) - 1)::INT AS pos, ms FROM a")
+def log_mcl_series(spark, sf):
+    return loganalytics.clustering_series(metrics(spark, sf), ["matrix", "impl"]).select("matrix", "impl", F.posexplode("series").alias("pos", "ms"))
+
+
+@query("log_describe", f"""WITH {METRICS} SELECT ngpus, impl, count(ms) AS count, round(avg(ms), 6) AS mean, round(stddev_samp(ms), 6) AS std, min(ms) AS min,
+round(quantile_cont(ms, 0.25), 6) AS q25, round(quantile_cont(ms, 0.5), 6) AS q50, round(quantile_cont(ms, 0.75), 6) AS q75, max(ms) AS max FROM m GROUP BY 1, 2""")
+def log_describe(spark, sf):
+    out = loganalytics.describe(metrics(spark, sf), ["ngpus", "impl"], "ms")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+@query("batch_stats", f"""WITH {METRICS} SELECT impl, count(*) AS n, round(sum(ms), 6) AS total_ms, round(avg(ms), 6) AS avg_ms, round(coalesce(stddev_samp(ms), 0), 6) AS std_ms, min(ms) AS min_ms, max(ms) AS max_ms
+FROM m WHERE round >= 3 GROUP BY 1""")
+def batch_stats(spark, sf):
+    records = metrics(spark, sf).select("impl", F.col("round").alias("batch_idx"), F.col("ms").alias("spgemm_ms"))
+    return incremental.batch_stats(records, 3, ["impl"]).withColumns({c: F.round(c, 6) for c in ("total_ms", "avg_ms", "std_ms")})
+
+
+@query("mtx_roundtrip", f"WITH {G} SELECT i, j, v FROM g")
+def mtx_roundtrip(spark, sf):
+    """G written as Matrix Market text and read again."""
+    import uuid
+
+    from sparkmat.shared import shared_dir
+    from sparkmat.sources.matrix_market import read_mtx, write_mtx
+
+    path = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex}"
+    write_mtx(square(spark, sf), path)
+    return read_mtx(spark, path).df
