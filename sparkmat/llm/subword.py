@@ -112,8 +112,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                     inner = np.ones(len(pairs), bool)
                     inner[ends[(ends > 0) & (ends < len(words))] - 1] = False  # the last word of a text and the first of the next
                     summed = np.concatenate([[0], np.cumsum(pairs * inner)])
-                    last = np.maximum(ends - 1, ends - length)
-                    total += np.where(length > 1, summed[last] - summed[ends - length], 0)
+                    first, last = np.minimum(ends - length, len(pairs)), np.maximum(ends - 1, 0)
+                    total += np.where(length > 1, summed[last] - summed[first], 0)
                     count += np.maximum(length - 1, 0)
                 z = model.bias + total / np.maximum(count, 1)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))})
