@@ -14,10 +14,11 @@ sets.
 
 Copies with equal sets form a class first; only its smallest doc_id is
 sketched into bands.  Within a band's bucket each member is compared with the
-bucket's leader (its least id), never all with all.  Members that so far fell
-into another component than their leader are then compared with the bucket's
-members of other components, so that no candidate pair between different
-components stays unchecked.  Components come from alternating large-star and
+bucket's leader (its least id).  Buckets whose members then still lie in
+different components are cut by set size and compared block by block, across
+components only, by their registers; what these don't rule out is confirmed on
+the full sets.  So no candidate pair between different components stays
+unchecked, and a large group of copies costs one comparison a member.  Components come from alternating large-star and
 small-star steps over tables in the shared folder; no links, sketches or
 components pass the driver.
 
@@ -48,8 +49,10 @@ PERCENT = 75
 M, ROWS = 128, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 1
 MARGIN = 12.5
-#: Members compared with one leader in a group.
-GROUP = 128
+#: Members compared with one leader in a group; members of a block.
+GROUP, BLOCK = 128, 1024
+#: Equal registers without which J >= 0.75 is beyond seven standard deviations.
+LEAST_EQUAL = 60
 
 FACTORS = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +172,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     sizes = pairs.groupBy("a").agg(F.count("*").alias("_n"))
     dealt = pairs.join(sizes, "a").withColumn("part", F.expr(f"pmod(xxhash64(b), 1 + _n div {GROUP})")).drop("_n")
     wanted = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    ids = write_table(wanted.select("id").distinct(), "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     rows = wanted.join(texts, "id").select("a", "part", "id", "text")
 
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -182,6 +186,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return rows.groupBy("a", "part").applyInPandas(verify, "a long, b long")
 
 
+def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b), a < b, of members (key, rep) of one bucket that lie in different components.
+
+    A bucket is cut by size: a member of size class t (a factor of 4/3 each)
+    can only be linked with members of classes t - 1 to t + 1.  What is left is
+    compared in blocks of about BLOCK members, two blocks a group, so that
+    groups stay small and pairs that the registers rule out are never emitted.
+    """
+    named = write_table(_labelled(members, labels, "rep", "component"), "members")
+    mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key")
+    size = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / PERCENT))).alias("size")
+    rows = named.join(mixed, "key", "left_semi").join(classes.select("rep", "n_shingles", "registers", size), "rep")
+    rows = write_table(rows.withColumn("t", F.explode(F.array("size", F.col("size") - 1))), "members")
+    counts = rows.groupBy("key", "t").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.expr(f"1 + count(*) div {BLOCK}").alias("blocks")).where("_c < _d")
+    dealt = (
+        rows.join(counts.select("key", "t", "blocks"), ["key", "t"])
+        .withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
+        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "size", "n_shingles", "registers")
+    )
+
+    names = ["key", "t", "low", "high"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, low, high, group in _groups(batches, names):
+            rep, component, size, n, block = (np.concatenate([g.column(c).to_numpy() for g in group]) for c in ("rep", "component", "size", "n_shingles", "block"))
+            regs = np.frombuffer(b"".join(r for g in group for r in g.column("registers").to_pylist()), "<u2").reshape(-1, M)
+            first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            for x in first:
+                # a pair belongs to the lower of its size classes, and within a block to its lesser id
+                y = second[(component[second] != component[x]) & (np.minimum(size[second], size[x]) == t) & ((rep[second] > rep[x]) | (low != high))]
+                y = y[(regs[y] == regs[x]).sum(axis=1) >= LEAST_EQUAL]
+                if len(y):
+                    _, kept = likely(np.repeat(regs[x][None], len(y), axis=0), regs[y], np.full(len(y), float(n[x])), n[y].astype(float))
+                    a.append(np.minimum(rep[x], rep[y[kept]]))
+                    b.append(np.maximum(rep[x], rep[y[kept]]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, int, int, list[pa.RecordBatch]]]:
+    """From rows sorted by the names: the last three of them, and the group's rows."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in names]
+        if not batch.num_rows:
+            continue
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for start, end in zip([0, *change], [*change, batch.num_rows], strict=True):
+            key = tuple(int(c[start]) for c in columns)
+            if held and key != last:
+                yield *last[1:], held
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield *last[1:], held
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From links (a, b), a row (id, component) for each id that isn't its component's least."""
     edges = write_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -214,17 +282,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = _bands(classes)
     leaders = bands.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).where("a < _last").drop("_last")
     members = bands.join(leaders, "key").where("rep <> a")
-    pairs = members.select("a", F.col("rep").alias("b")).distinct()
+    pairs = write_table(members.select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = write_table(_confirmed(write_table(_plausible(pairs, classes), "pairs"), docs, classes), "links")
     labels = components(links)
 
-    # members that lie in another component than their leader, against the bucket's other components
-    apart = write_table(_labelled(_labelled(members, labels, "a", "ca"), labels, "rep", "cb").where("ca <> cb").select("key", F.col("rep").alias("b"), "cb"), "apart")
-    among = bands.join(apart.select("key").distinct(), "key", "left_semi")
-    others = _labelled(among, labels, "rep", "ca").select("key", F.col("rep").alias("a"), "ca")
-    crossed = apart.join(others, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossed = crossed.join(pairs, ["a", "b"], "left_anti")
-    more = write_table(_confirmed(write_table(_plausible(crossed, classes), "pairs"), docs, classes), "links")
+    # what lies in one bucket but in different components
+    crossed = _crossed(bands.join(leaders.select("key"), "key", "left_semi"), labels, classes).join(pairs, ["a", "b"], "left_anti")
+    more = write_table(_confirmed(write_table(crossed, "pairs"), docs, classes), "links")
     labels = components(links.unionByName(more))
 
     of_class = _labelled(classes.select("h", "rep"), labels, "rep", "component_id").select("h", "component_id")
