@@ -32,7 +32,7 @@ INF = np.int32(2**31 - 1)
 #: Pieces longer than this get a tree of their own.
 BATCHED_BYTES = 64
 #: Chunks whose ids a worker keeps before it starts anew (memory, not results, depends on it).
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 100_000
 #: A single space between two characters that aren't white space always begins a match of the pattern.
 SAFE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 DOUBLE_SPACE = re.compile(r"\s\s")
@@ -233,7 +233,7 @@ def _bpe(key: int, value: tuple) -> Bpe:
     return _HELD[key]
 
 
-def _slices(batch: pa.RecordBatch, bytes_at_once: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _slices(batch: pa.RecordBatch, bytes_at_once: int = 800_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Row ranges of about so many characters, with their texts."""
     texts = [t or "" for t in batch.column("text").to_pylist()]
     start = held = 0
@@ -273,6 +273,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, digests: bo
                     columns["ids"] = pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], pa.list_(pa.int64()))
                     columns["decoded"] = pa.array(decoded, pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
+        bpe.old = {}  # an idle worker keeps one generation only
 
     return docs.select(id_column, "text").mapInArrow(run, schema)
 
