@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkmat.llm.common import table, write_table
 
-SEGMENT_WORDS = 100_000
+SEGMENT_WORDS = 40_000
 BLOCK_WORDS = 200_000
 WINDOW = 10
 #: Candidates looked at together.
@@ -222,7 +222,8 @@ def _scan(index: DataFrame, block: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 n_words = np.array(row["n_words"], np.int64)
                 lists = _lists(row["terms"], row["counts"], row["postings"], block["vocabulary"])
                 hit, begin, pairs = _matches(n_words, lists, block)
@@ -314,7 +315,8 @@ def find_proximity(index: DataFrame, queries: list[tuple[int, str]], within: int
         wanted, vocabulary = held.value
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 n_words = np.array(row["n_words"], np.int64)
                 begin = np.cumsum(n_words + 1) - (n_words + 1)
                 df, start, keys = _lists(row["terms"], row["counts"], row["postings"], vocabulary)
