@@ -17,7 +17,7 @@ sketched into bands.  Within a band's bucket each member is compared with the
 bucket's leader (its least id).  Buckets whose members then still lie in
 different components are cut by set size and compared block by block, across
 components only, by their registers; what these don't rule out is confirmed on
-the full sets.  So no candidate pair between different components stays
+the full sets of the block.  So no candidate pair between different components stays
 unchecked, and a large group of copies costs one comparison a member.  Components come from alternating large-star and
 small-star steps over tables in the shared folder; no links, sketches or
 components pass the driver.
@@ -51,6 +51,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 1
 MARGIN = 12.5
 #: Members compared with one leader in a group; members of a block.
 GROUP, BLOCK = 128, 1024
+#: Shingles of a block's members together, about.
+BLOCK_SHINGLES = 500_000
 #: Equal registers without which J >= 0.75 is beyond seven standard deviations.
 LEAST_EQUAL = 60
 
@@ -136,16 +138,18 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """A row (rep, key) for each class and band."""
+    """A row (rep, key, band) for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = np.arange(1, M // ROWS + 1, dtype=np.uint64) * STEP
         for batch in batches:
             regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u8").reshape(-1, M // ROWS)
             keys = _mixed(regs ^ salts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), M // ROWS)), pa.array(keys.ravel())], names=["rep", "key"])
+            rep = np.repeat(batch.column("rep").to_numpy(), M // ROWS)
+            band = np.tile(np.arange(M // ROWS), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(keys.ravel()), pa.array(band)], names=["rep", "key", "band"])
 
-    return classes.select("rep", "registers").mapInArrow(run, "rep long, key long")
+    return classes.select("rep", "registers").mapInArrow(run, "rep long, key long, band long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -186,48 +190,103 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return rows.groupBy("a", "part").applyInPandas(verify, "a long, b long")
 
 
-def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b), a < b, of members (key, rep) of one bucket that lie in different components.
+class _Block:
+    """The members of two blocks of a bucket, and the pairs between them that are to be looked at."""
+
+    def __init__(self, t: int, low: int, high: int, group: list[pa.RecordBatch]):
+        self.rows = pa.Table.from_batches(group).combine_chunks()
+        self.rep, self.component, self.size, n, block, band = (self.rows.column(c).to_numpy() for c in ("rep", "component", "size", "n_shingles", "block", "band"))
+        self.n, self.t, self.low, self.high, self.band = n.astype(float), t, low, high, int(band[0])
+        self.regs = np.frombuffer(b"".join(self.rows.column("registers").to_pylist()), "<u2").reshape(-1, M)
+        self.keys = self.regs.view("<u8")
+        self.first, self.second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+
+    def partners(self, x: int, roots: np.ndarray) -> np.ndarray:
+        """Members of other roots that the registers don't rule out.
+
+        A pair belongs to the lower of its size classes, to the first band that
+        it shares, and within one block to its lesser id: so to one block only.
+        """
+        y = self.second[(roots[self.second] != roots[x]) & (np.minimum(self.size[self.second], self.size[x]) == self.t)]
+        if self.low == self.high:
+            y = y[self.rep[y] > self.rep[x]]
+        y = y[(self.regs[y] == self.regs[x]).sum(axis=1) >= LEAST_EQUAL]
+        y = y[(self.keys[y] == self.keys[x]).argmax(axis=1) == self.band]
+        if len(y):
+            y = y[likely(np.repeat(self.regs[x][None], len(y), axis=0), self.regs[y], np.full(len(y), self.n[x]), self.n[y])[1]]
+        return y
+
+    def involved(self) -> np.ndarray:
+        out = np.zeros(len(self.rep), bool)
+        for x in self.first:
+            y = self.partners(x, self.component)
+            out[y] = True
+            out[x] |= len(y) > 0
+        return out
+
+    def links(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Confirmed links that join components; what they join is not looked at again."""
+        roots = self.component.copy()
+        length = np.fromiter(map(len, sets), np.int64, len(sets))
+        for x in self.first:
+            y = self.partners(x, roots)
+            if not len(y):
+                continue
+            other = np.concatenate([sets[k] for k in y])
+            at = np.minimum(np.searchsorted(sets[x], other), length[x] - 1)
+            common = np.add.reduceat((sets[x][at] == other).astype(np.int64), np.cumsum(length[y]) - length[y])
+            for k in y[100 * common >= PERCENT * (length[x] + length[y] - common)]:
+                if roots[k] != roots[x]:
+                    roots[roots == roots[k]] = roots[x]
+                    yield int(min(self.rep[x], self.rep[k])), int(max(self.rep[x], self.rep[k]))
+
+
+def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members (rep, key, band) of one bucket that lie in different components.
 
     A bucket is cut by size: a member of size class t (a factor of 4/3 each)
     can only be linked with members of classes t - 1 to t + 1.  What is left is
-    compared in blocks of about BLOCK members, two blocks a group, so that
-    groups stay small and pairs that the registers rule out are never emitted.
+    compared in blocks of about BLOCK members, two blocks a group, so groups
+    stay small.  Members that have a partner their registers don't rule out
+    meet again with their texts; pairs are never emitted, only links.
     """
+    names = ["key", "t", "low", "high"]
     named = write_table(_labelled(members, labels, "rep", "component"), "members")
     mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key")
     size = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / PERCENT))).alias("size")
-    rows = named.join(mixed, "key", "left_semi").join(classes.select("rep", "n_shingles", "registers", size), "rep")
+    rows = named.join(mixed, "key", "left_semi").join(classes.select("rep", "n_shingles", "registers", "h", size), "rep")
     rows = write_table(rows.withColumn("t", F.explode(F.array("size", F.col("size") - 1))), "members")
-    counts = rows.groupBy("key", "t").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.expr(f"1 + count(*) div {BLOCK}").alias("blocks")).where("_c < _d")
+    counts = rows.groupBy("key", "t").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(n_shingles) div {BLOCK_SHINGLES})").alias("blocks")).where("_c < _d")
     dealt = (
         rows.join(counts.select("key", "t", "blocks"), ["key", "t"])
         .withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "size", "n_shingles", "registers")
+        .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "rep", "component", "size", "n_shingles", "registers", "h")
     )
 
-    names = ["key", "t", "low", "high"]
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, low, high, group in _groups(batches, names):
-            rep, component, size, n, block = (np.concatenate([g.column(c).to_numpy() for g in group]) for c in ("rep", "component", "size", "n_shingles", "block"))
-            regs = np.frombuffer(b"".join(r for g in group for r in g.column("registers").to_pylist()), "<u2").reshape(-1, M)
-            first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            a: list[np.ndarray] = []
-            b: list[np.ndarray] = []
-            for x in first:
-                # a pair belongs to the lower of its size classes, and within a block to its lesser id
-                y = second[(component[second] != component[x]) & (np.minimum(size[second], size[x]) == t) & ((rep[second] > rep[x]) | (low != high))]
-                y = y[(regs[y] == regs[x]).sum(axis=1) >= LEAST_EQUAL]
-                if len(y):
-                    _, kept = likely(np.repeat(regs[x][None], len(y), axis=0), regs[y], np.full(len(y), float(n[x])), n[y].astype(float))
-                    a.append(np.minimum(rep[x], rep[y[kept]]))
-                    b.append(np.maximum(rep[x], rep[y[kept]]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, "a long, b long").distinct()
+            block = _Block(t, low, high, group)
+            kept = block.involved()
+            if kept.any():
+                yield from block.rows.filter(pa.array(kept)).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, low, high, group in _groups(batches, names):
+            texts = [x for g in group for x in g.column("text").to_pylist()]
+            sets = [shingles(x) for x in texts]
+            # an id may stand for several texts: those of this class
+            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == h for s, h in zip(sets, (h for g in group for h in g.column("h").to_pylist()), strict=True)]
+            rows = pa.Table.from_batches(group).filter(pa.array(own)).combine_chunks()
+            if rows.num_rows:
+                found = list(_Block(t, low, high, rows.to_batches()).links([s for s, o in zip(sets, own, strict=True) if o]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    involved = write_table(dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, dealt.schema), "involved")
+    ids = write_table(involved.select(F.col("rep").alias("id")).distinct(), "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").withColumnRenamed("id", "rep")
+    together = involved.join(texts, "rep").repartition(*names).sortWithinPartitions(*names)
+    return write_table(together.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, int, int, list[pa.RecordBatch]]]:
@@ -287,8 +346,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     # what lies in one bucket but in different components
-    crossed = _crossed(bands.join(leaders.select("key"), "key", "left_semi"), labels, classes).join(pairs, ["a", "b"], "left_anti")
-    more = write_table(_confirmed(write_table(crossed, "pairs"), docs, classes), "links")
+    more = _crossed(bands.join(leaders.select("key"), "key", "left_semi"), labels, classes, docs)
     labels = components(links.unionByName(more))
 
     of_class = _labelled(classes.select("h", "rep"), labels, "rep", "component_id").select("h", "component_id")
