@@ -12,8 +12,9 @@ belongs to the template; the other leaves are slots, and their texts content.
 
 Content is what slots hold outside of menus, headers, footers, sidebars,
 notices, adverts, forms, comments and the like, known by tag, role, class and
-id.  Where a page marks its article (``article`` or ``main``), its texts alone
-are the content, and constant ones stay: the author put them there.
+id.  Where a page marks its article (``article`` or ``main``), the slots inside
+alone are the content; an article that is constant in whole (as copies of one
+page are) stays whole, since a template holds no article.
 
 The alignments are counted in each task before they are summed by host, and
 the pages' trees meet their host's reference in a join that can be split, so
@@ -238,7 +239,8 @@ def match(a, b) -> tuple[int, list[tuple[int, int]]]:
 
 def blocks_of(root: Node, template: frozenset | set) -> list[str]:
     """The texts of the article in page order."""
-    marked: list[str] = []
+    marked: list[str] = []  # all texts of the marked article
+    varying: list[str] = []  # those of them in slots
     slots: list[str] = []
 
     def walk(node: Node, path: str, inside: bool, header: bool) -> None:
@@ -248,16 +250,19 @@ def blocks_of(root: Node, template: frozenset | set) -> list[str]:
             if isinstance(c, str):
                 if header:
                     continue
+                slot = not template or key_of(path, c) not in template
                 if inside:
                     marked.append(c)
-                elif not template or key_of(path, c) not in template:
+                    if slot:
+                        varying.append(c)
+                elif slot:
                     slots.append(c)
             elif c.kind != GONE:
                 under = (header or c.kind == HEADER) and not (c.tag in HEADINGS and inside)
                 walk(c, path, inside, under and c.kind != ARTICLE)
 
     walk(root, "", False, False)
-    return marked or slots
+    return varying or marked or slots
 
 
 def host_of(url: str | None) -> str:

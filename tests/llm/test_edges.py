@@ -342,6 +342,16 @@ def test_html_by_join(spark, monkeypatch):
     assert {r.page_id: r.text for r in htmltext.extract(pages, htmltext.induce(pages)).collect()} == {k: f"text {k}" for k in range(5)}
 
 
+def test_html_template_inside_articles(spark):
+    def page(k, text):
+        return (k, "http://h/x", f"<div class=top>Welcome</div><article><h2>Title {text}</h2><p>Read our paper every day</p><p>Story {text}</p></article>")
+
+    rows = [page(k, k) for k in range(6)] + [(k, "http://copies/x", "<article><p>all of it</p></article>") for k in range(10, 13)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(pages, htmltext.induce(pages)).collect()}
+    assert got == {k: f"Title {k}\n\nStory {k}" for k in range(6)} | {k: "all of it" for k in range(10, 13)}
+
+
 def brute_match(a, b):
     if isinstance(a, int) or isinstance(b, int):
         return int(isinstance(a, int) and isinstance(b, int))
