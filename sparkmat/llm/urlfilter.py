@@ -10,7 +10,7 @@ rarely its context was seen.  The score is the mean log-likelihood difference
 per character; the threshold is calibrated on the ruled URLs of the held-out
 fold (crc32 of page_id), where the sum of both error rates is least.
 
-SYMBOLS ** ORDER bounds what reaches the driver and is broadcast (about 2.6
+SYMBOLS ** ORDER bounds what reaches the driver and is broadcast (about 5.8
 million numbers), however many URLs there are; a URL's counts are summed in its
 task first, so a host that holds a third of all pages loads no task.
 
@@ -34,9 +34,9 @@ from sparkmat.llm.common import table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 ORDER = 4
-#: Symbol 0 fills the places before the first character, 1 ends a URL, 2 is any character not listed; all digits are one symbol.
-LISTED = "abcdefghijklmnopqrstuvwxyz0/.-_?=&%#:"
-SYMBOLS = 40
+#: Symbol 0 fills the places before the first character, 1 ends a URL, 2 is any character not listed; a rule may turn on one digit, so each is a symbol.
+LISTED = "abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&%#:"
+SYMBOLS = 49
 #: Weight of the shorter context, in observations.
 SHORTER = 2.0
 BINS, REACH = 4001, 10.0
@@ -46,8 +46,6 @@ def _symbols() -> np.ndarray:
     out = np.full(256, 2, np.int64)
     for k, c in enumerate(LISTED):
         out[ord(c)] = 3 + k
-    for c in "123456789":
-        out[ord(c)] = out[ord("0")]
     for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
         out[ord(c)] = out[ord(c.lower())]
     return out

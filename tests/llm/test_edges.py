@@ -298,6 +298,14 @@ def test_url_rules_and_models(spark):
     assert urlfilter.filter_urls(pages.limit(0), urlfilter.RULES).collect() == []
 
 
+def test_url_model_tells_digits_apart(spark):
+    """A rule that only a digit tells from its neighbours is learned for hosts under no rule."""
+    urls = [f"http://example.org/en/{k % 9 + 1}" for k in range(900)] + [f"http://example.net/en/{d}" for d in range(1, 10)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: r.verdict for r in urlfilter.filter_urls(pages, urlfilter.RULES).where("rule IS NULL").collect()}
+    assert got == {f"http://example.net/en/{d}": "block" if d == 1 else "allow" for d in range(1, 10)}
+
+
 def test_character_model_by_brute_force():
     urls = ["http://a.b/c1", "ab", "ba/ab"]
     counts = np.bincount(np.concatenate([urlfilter.grams(u) for u in urls]), minlength=urlfilter.SYMBOLS**urlfilter.ORDER).astype(float)
