@@ -1,14 +1,18 @@
 """Main text of web pages by wrapper induction.
 
 Every page is read as a tree of block elements with its texts as leaves.  The
-tree of a host's reference page (its least page_id) is aligned with that of
-each other page of the host by simple tree matching: nodes match only under
+leaves (path and text) that TEMPLATE_SHARE of a host's pages hold are counted
+over all pages of the host; for each of them the page that holds most of them
+is a reference, so every such leaf is in one (mostly a single page, or one for
+each layout).  The trees of the references are aligned with that of each page
+of the host by simple tree matching: nodes match only under
 matching parents and in order, and the matching of most nodes is found by
 dynamic programming over the children (siblings of equal shape form a run;
 runs are aligned, and in aligned runs the members one by one, so long lists
 cost no more than their length).  Counted over all pages of the host, a leaf
 that keeps its text in at least TEMPLATE_SHARE of them (and in two at least)
 belongs to the template; the other leaves are slots, and their texts content.
+Pages of equal trees count once, pages without leaves not at all.
 
 Content is what slots hold outside of menus, headers, footers, sidebars,
 notices, adverts, forms, comments and the like, known by tag, role, class and
@@ -17,7 +21,7 @@ alone are the content; an article that is constant in whole (as copies of one
 page are) stays whole, since a template holds no article.
 
 The alignments are counted in each task before they are summed by host, and
-the pages' trees meet their host's reference in a join that can be split, so
+the pages' trees meet their host's references in a join that can be split, so
 a host may hold any share of the pages.  Templates up to TEMPLATE_BYTES are
 sent to the executors; beyond that pages are joined with their host's template.
 
@@ -188,6 +192,14 @@ def tree_of(node: Node, path: str = "") -> list:
     return [node.label, [key_of(path, c) if isinstance(c, str) else tree_of(c, path) for c in node.children if isinstance(c, str) or c.kind != GONE]]
 
 
+def leaves_of(tree) -> Iterator[int]:
+    if isinstance(tree, int):
+        yield tree
+    else:
+        for c in tree[1]:
+            yield from leaves_of(c)
+
+
 def _shape(tree) -> str:
     if isinstance(tree, int):
         return "#"
@@ -276,29 +288,42 @@ def induce(pages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts = [host_of(u) for u in batch.column("url").to_pylist()]
-            trees = [json.dumps(tree_of(parse(h.as_py())), separators=(",", ":")) for h in batch.column("html")]
-            yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "host": pa.array(hosts, pa.string()), "tree": pa.array(trees, pa.string())})
-
-    kind = dict(pages.dtypes)["page_id"]
-    trees = write_table(pages.select("page_id", "url", "html").mapInArrow(read, f"page_id {kind}, host string, tree string"), "trees")
-    references = trees.groupBy("host").agg(F.min_by("tree", F.coalesce("page_id", F.lit(2**62))).alias("reference"), F.count("*").alias("n_pages")).where("n_pages > 1")
+            trees = [tree_of(parse(h.as_py())) for h in batch.column("html")]
+            texts = [json.dumps(t, separators=(",", ":")) for t in trees]
+            leaves = [list(dict.fromkeys(leaves_of(t))) for t in trees]
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "tree": pa.array(texts, pa.string()), "leaves": pa.array(leaves, pa.list_(pa.int64()))})
+
+    trees = write_table(pages.select("url", "html").mapInArrow(read, "host string, tree string, leaves array<long>"), "trees")
+    # copies of a page are one page; a page without leaves says nothing of the template
+    distinct = trees.where("size(leaves) > 0").groupBy("host", F.xxhash64("tree").alias("id")).agg(F.first("tree").alias("tree"), F.first("leaves").alias("leaves"))
+    distinct = write_table(distinct, "pages")
+    n_pages = distinct.groupBy("host").agg(F.count("*").alias("n_pages")).where("n_pages > 1")
+    often = f"n > 1 AND n >= {TEMPLATE_SHARE} * n_pages"
+
+    # the leaves that may be constant, at most 1 / TEMPLATE_SHARE times those of a page, and for each the page that has the most of them
+    seen = distinct.select("host", F.explode("leaves").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    frequent = seen.join(n_pages, "host").where(often).groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("frequent"))
+    frequent = write_table(frequent, "frequent")
+    shared = distinct.join(frequent, "host").select("host", "id", F.array_intersect("leaves", "frequent").alias("own"))
+    fullest = shared.select("host", "id", F.size("own").alias("n"), F.explode("own").alias("key")).groupBy("host", "key").agg(F.max(F.struct("n", "id")).alias("page"))
+    chosen = fullest.select("host", "page.id").distinct()
+    references = distinct.join(chosen, ["host", "id"]).groupBy("host").agg(F.sort_array(F.collect_list("tree")).alias("references"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple[str, int], int] = {}
             known: dict[str, list] = {}
-            for host, text, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "reference")), strict=True):
+            for host, text, own in zip(batch.column("host").to_pylist(), batch.column("tree").to_pylist(), batch.column("references"), strict=True):
                 if host not in known:
-                    known[host] = json.loads(reference)
-                for a, b in match(known[host], json.loads(text))[1]:
-                    if a == b:
-                        counts[host, a] = counts.get((host, a), 0) + 1
+                    known[host] = [json.loads(r) for r in own.as_py()]
+                tree = json.loads(text)
+                for key in {a for r in known[host] for a, b in match(r, tree)[1] if a == b}:
+                    counts[host, key] = counts.get((host, key), 0) + 1
             hosts, keys = zip(*counts, strict=True) if counts else ((), ())
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "key": pa.array(keys, pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    same = trees.join(references, "host").select("host", "tree", "reference").mapInArrow(align, "host string, key long, n long")
-    summed = same.groupBy("host", "key").agg(F.sum("n").alias("n"))
-    kept = summed.join(references.select("host", "n_pages"), "host").where(f"n > 1 AND n >= {TEMPLATE_SHARE} * n_pages")
+    same = distinct.join(references, "host").select("host", "tree", "references").mapInArrow(align, "host string, key long, n long")
+    kept = same.groupBy("host", "key").agg(F.sum("n").alias("n")).join(n_pages, "host").where(often)
     return write_table(kept.select("host", "key"), "templates")
 
 

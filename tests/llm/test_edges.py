@@ -360,6 +360,17 @@ def test_html_template_inside_articles(spark):
     assert got == {k: f"Title {k}\n\nStory {k}" for k in range(6)} | {k: "all of it" for k in range(10, 13)}
 
 
+@pytest.mark.parametrize("first", [None, "", "<h1>Error</h1><p>try again</p>"])
+def test_html_template_whatever_the_first_page(spark, first):
+    """Two layouts share the greeting; neither the empty nor the error pages, nor their copies, hide it."""
+    greeting = "<div class=top>Welcome</div>"
+    rows = [(k, "http://h/x", first) for k in range(20)]
+    rows += [(k, "http://h/x", f"{greeting}<p>text {k}</p>" if k % 2 else f"<ul><li>item {k}</ul>{greeting}<section><p>text {k}</section>") for k in range(20, 30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(pages, htmltext.induce(pages)).collect()}
+    assert all(got[k] == (f"text {k}" if k % 2 else f"item {k}\n\ntext {k}") for k in range(20, 30))
+
+
 def brute_match(a, b):
     if isinstance(a, int) or isinstance(b, int):
         return int(isinstance(a, int) and isinstance(b, int))
