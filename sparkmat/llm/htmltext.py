@@ -6,10 +6,10 @@ over all pages of the host; for each of them the page that holds most of them
 is a reference, so every such leaf is in one (mostly a single page, or one for
 each layout).  The trees of the references are aligned with that of each page
 of the host by simple tree matching: nodes match only under
-matching parents and in order, and the matching of most nodes is found by
-dynamic programming over the children (siblings of equal shape form a run;
-runs are aligned, and in aligned runs the members one by one, so long lists
-cost no more than their length).  Counted over all pages of the host, a leaf
+matching parents and in order, and the matching of most nodes, and of most
+equal leaves among those, is found by dynamic programming over the children
+(leaves that can't be constant are alike there, so equal subtrees abound: they
+are matched once, and at the ends of lists they need no table).  Counted over all pages of the host, a leaf
 that keeps its text in at least TEMPLATE_SHARE of them (and in two at least)
 belongs to the template; the other leaves are slots, and their texts content.
 Pages of equal trees count once, pages without leaves not at all.
@@ -38,6 +38,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,9 @@ TEMPLATE_SHARE = 0.5
 TEMPLATE_BYTES = 16_000_000
 #: Plain elements nested deeper are taken as part of the one around them.
 MAX_DEPTH = 150
+#: Larger tables of an alignment are halved until they fit (8 bytes a cell); a matcher holds so many subtrees and pairs.
+TABLE_CELLS = 1_000_000
+MATCHER_SIZE = 200_000
 
 #: Raw text up to its end tag, comments, other tags, text.
 TOKEN = re.compile(
@@ -200,53 +204,107 @@ def leaves_of(tree) -> Iterator[int]:
             yield from leaves_of(c)
 
 
-def _shape(tree) -> str:
-    if isinstance(tree, int):
-        return "#"
-    inner = list(dict.fromkeys(map(_shape, tree[1])))
-    return f"{tree[0]}({','.join(inner)})"
-
-
-def _runs(children: list) -> list[tuple[str, list]]:
-    out: list[tuple[str, list]] = []
-    for c in children:
-        shape = _shape(c)
-        if out and out[-1][0] == shape:
-            out[-1][1].append(c)
-        else:
-            out.append((shape, [c]))
-    return out
+class Matcher:
+    """Simple tree matching; equal subtrees have one number, and each pair of numbers is matched once.
+
+    Of the matchings of most nodes, one of most equal leaves is taken: a pair counts NODE, and 1 more for equal leaves other than 0 (see ``only``).
+    """
+
+    NODE = 2**32
+
+    def __init__(self):
+        self.numbers: dict = {}
+        self.nodes: list = []  # by number: a leaf's key, or label and numbers of the children
+        self.whole: list[int] = []  # by number: the score of the subtree with itself
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def number(self, tree) -> int:
+        node = tree if isinstance(tree, int) else (tree[0], tuple(map(self.number, tree[1])))
+        found = self.numbers.setdefault(node, len(self.nodes))
+        if found == len(self.nodes):
+            self.nodes.append(node)
+            self.whole.append(self.NODE + ((node != 0) if isinstance(node, int) else sum(self.whole[c] for c in node[1])))
+        return found
+
+    def score(self, a: int, b: int) -> int:
+        return self.whole[a] if a == b else self.matched(a, b)[0]
+
+    def matched(self, a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+        """The score of two different subtrees and the pairs of their children."""
+        if (a, b) not in self.known:
+            x, y = self.nodes[a], self.nodes[b]
+            if isinstance(x, int) or isinstance(y, int):
+                self.known[a, b] = self.NODE * (isinstance(x, int) and isinstance(y, int)), []
+            elif x[0] != y[0]:
+                self.known[a, b] = 0, []
+            else:
+                pairs = self.aligned(x[1], y[1])
+                self.known[a, b] = self.NODE + sum(self.score(*p) for p in pairs), pairs
+        return self.known[a, b]
+
+    def aligned(self, xs: tuple, ys: tuple) -> list[tuple[int, int]]:
+        """The pairs, in order, of greatest score."""
+        # equal first or last children are always a best pair, so long lists of like items cost their length
+        head = next((k for k, (x, y) in enumerate(zip(xs, ys)) if x != y), min(len(xs), len(ys)))  # noqa: B905
+        first, xs, ys = list(zip(xs[:head], ys[:head], strict=True)), xs[head:], ys[head:]
+        tail = next((k for k, (x, y) in enumerate(zip(xs[::-1], ys[::-1])) if x != y), min(len(xs), len(ys)))  # noqa: B905
+        last = list(zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True))
+        xs, ys = xs[: len(xs) - tail], ys[: len(ys) - tail]
+        if not xs or not ys:
+            return first + last
+        if min(len(xs), len(ys)) > 1 and len(xs) * len(ys) > TABLE_CELLS:  # halves, which need one row of the table each
+            half = len(xs) // 2
+            both = self._table(xs[:half], ys, last=True)[-1] + self._table(xs[half:][::-1], ys[::-1], last=True)[-1][::-1]
+            cut = int(both.argmax())
+            return first + self.aligned(xs[:half], ys[:cut]) + self.aligned(xs[half:], ys[cut:]) + last
+        best = self._table(xs, ys)
+        pairs = []
+        i, j = len(xs), len(ys)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((xs[i], ys[j]))
+        return first + pairs[::-1] + last
+
+    def _table(self, xs: tuple, ys: tuple, last: bool = False) -> list[np.ndarray]:
+        """The best scores of the beginnings of xs with those of ys: all rows, or the last one."""
+        kinds, place = np.unique(ys, return_inverse=True)
+        gains: dict[int, np.ndarray] = {}
+        rows = [np.zeros(len(ys) + 1, np.int64)]
+        for x in xs:
+            if x not in gains:
+                gains[x] = np.array([self.score(x, y) for y in kinds.tolist()], np.int64)
+            row = np.zeros(len(ys) + 1, np.int64)
+            np.maximum.accumulate(np.maximum(rows[-1][1:], rows[-1][:-1] + gains[x][place]), out=row[1:])
+            if last:
+                rows.clear()
+            rows.append(row)
+        return rows
+
+    def leaves(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """The leaves matched, by their keys."""
+        x, y = self.nodes[a], self.nodes[b]
+        if isinstance(x, int) and isinstance(y, int):
+            yield x, y
+        elif not isinstance(x, int) and not isinstance(y, int) and x[0] == y[0]:
+            for c, d in zip(x[1], x[1], strict=True) if a == b else self.matched(a, b)[1]:
+                yield from self.leaves(c, d)
+
+
+def match(a, b, matcher: Matcher | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the number of nodes matched, and the leaves matched (their keys)."""
+    matcher = matcher or Matcher()
+    x, y = matcher.number(a), matcher.number(b)
+    return matcher.score(x, y) // Matcher.NODE, list(matcher.leaves(x, y))
 
 
-def match(a, b) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the number of nodes matched, and the leaves matched (their keys)."""
-    if isinstance(a, int) or isinstance(b, int):
-        return (1, [(a, b)]) if isinstance(a, int) and isinstance(b, int) else (0, [])
-    if a[0] != b[0]:
-        return 0, []
-    rows, columns = _runs(a[1]), _runs(b[1])
-    # the matching of most nodes for each pair of beginnings; pairs of runs are aligned member by member
-    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, (shape, own) in enumerate(rows):
-        for j, (other_shape, other) in enumerate(columns):
-            gain = 0
-            if shape == other_shape or shape.partition("(")[0] == other_shape.partition("(")[0]:
-                parts = [match(x, y) for x, y in zip(own, other)]  # noqa: B905  the shorter run ends the pairs
-                gain = sum(p[0] for p in parts)
-                found[i, j] = gain, [leaf for p in parts for leaf in p[1]]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain)
-    leaves: list[tuple[int, int]] = []
-    i, j = len(rows), len(columns)
-    while i and j:
-        if (i - 1, j - 1) in found and best[i][j] == best[i - 1][j - 1] + found[i - 1, j - 1][0]:
-            leaves += found[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[-1][-1] + 1, leaves
+def only(tree, keys: set[int]):
+    """The tree with 0 in place of the leaves that aren't in ``keys``."""
+    return (tree if tree in keys else 0) if isinstance(tree, int) else [tree[0], [only(c, keys) for c in tree[1]]]
 
 
 def blocks_of(root: Node, template: frozenset | set) -> list[str]:
@@ -307,22 +365,27 @@ def induce(pages: DataFrame) -> DataFrame:
     shared = distinct.join(frequent, "host").select("host", "id", F.array_intersect("leaves", "frequent").alias("own"))
     fullest = shared.select("host", "id", F.size("own").alias("n"), F.explode("own").alias("key")).groupBy("host", "key").agg(F.max(F.struct("n", "id")).alias("page"))
     chosen = fullest.select("host", "page.id").distinct()
-    references = distinct.join(chosen, ["host", "id"]).groupBy("host").agg(F.sort_array(F.collect_list("tree")).alias("references"))
+    references = distinct.join(chosen, ["host", "id"]).groupBy("host").agg(F.sort_array(F.collect_list("tree")).alias("references")).join(frequent, "host")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple[str, int], int] = {}
-            known: dict[str, list] = {}
-            for host, text, own in zip(batch.column("host").to_pylist(), batch.column("tree").to_pylist(), batch.column("references"), strict=True):
+            known: dict[str, tuple[set, list]] = {}
+            matcher = Matcher()
+            for k, (host, text) in enumerate(zip(batch.column("host").to_pylist(), batch.column("tree").to_pylist(), strict=True)):
                 if host not in known:
-                    known[host] = [json.loads(r) for r in own.as_py()]
-                tree = json.loads(text)
-                for key in {a for r in known[host] for a, b in match(r, tree)[1] if a == b}:
+                    keys = set(batch.column("frequent")[k].as_py())
+                    known[host] = keys, [only(json.loads(r), keys) for r in batch.column("references")[k].as_py()]
+                keys, own = known[host]
+                tree = only(json.loads(text), keys)
+                for key in {a for r in own for a, b in match(r, tree, matcher)[1] if a == b and a in keys}:
                     counts[host, key] = counts.get((host, key), 0) + 1
+                if len(matcher.nodes) + len(matcher.known) > MATCHER_SIZE:
+                    matcher = Matcher()
             hosts, keys = zip(*counts, strict=True) if counts else ((), ())
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "key": pa.array(keys, pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    same = distinct.join(references, "host").select("host", "tree", "references").mapInArrow(align, "host string, key long, n long")
+    same = distinct.join(references, "host").select("host", "tree", "references", "frequent").mapInArrow(align, "host string, key long, n long")
     kept = same.groupBy("host", "key").agg(F.sum("n").alias("n")).join(n_pages, "host").where(often)
     return write_table(kept.select("host", "key"), "templates")
 

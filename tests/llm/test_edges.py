@@ -390,6 +390,23 @@ def test_tree_matching():
     assert htmltext.match(a, a)[0] == brute_match(a, a)
 
 
+def test_tree_matching_keeps_constant_paragraphs(spark, monkeypatch):
+    rows = [(k, "http://h/x", "".join(f"<p>text {k} {n}</p>" for n in range(2 + k)) + "<p>Read on</p>" + "<p>last</p>" * (k % 2)) for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(pages, htmltext.induce(pages)).collect()}
+    assert got == {k: "\n\n".join(f"text {k} {n}" for n in range(2 + k)) for k in range(8)}
+    rng = random.Random(9)
+
+    def tree(depth):
+        return rng.randint(1, 3) if depth == 0 or rng.random() < 0.3 else [rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randint(0, 5))]]
+
+    for cells in (1_000_000, 3):
+        monkeypatch.setattr(htmltext, "TABLE_CELLS", cells)
+        for _ in range(300):
+            a, b = ["r", [tree(2) for _ in range(5)]], ["r", [tree(2) for _ in range(6)]]
+            assert htmltext.match(a, b)[0] == brute_match(a, b)
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"),
              (4, 0, None, None), (5, 0, "", ""), (6, 0, None, None), (6, 1, "user", None), (None, 0, "user", "lost"), (7, 1, "user", "late"), (7, 0, "user", "early"), (7, 0, "user", "early")]
