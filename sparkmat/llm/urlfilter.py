@@ -8,7 +8,7 @@ symbols are summed over all ruled URLs; shorter contexts follow as marginals,
 and each order is smoothed towards the next shorter one in proportion to how
 rarely its context was seen.  The score is the mean log-likelihood difference
 per character; the threshold is calibrated on the ruled URLs of the held-out
-fold (crc32 of page_id), where the sum of both error rates is least.
+fold (crc32 of page_id), by models counted without it, where the sum of both error rates is least.
 
 SYMBOLS ** ORDER bounds what reaches the driver and is broadcast (about 5.8
 million numbers), however many URLs there are; a URL's counts are summed in its
@@ -136,34 +136,41 @@ HELD_OUT = "coalesce(crc32(CAST(CAST(page_id AS string) AS binary)) % 5 = 0, fal
 
 
 def fit(ruled: DataFrame) -> UrlModel:
-    """The models of the URLs with a verdict, from all of them."""
+    """The models of the URLs with a verdict, from all of them; the threshold is that of models without the held-out fold, on that fold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls, verdicts = batch.column("url").to_pylist(), np.array(batch.column("verdict").to_pylist(), object)
-            for verdict in ("allow", "block"):
-                own = [grams(u) for u, v in zip(urls, verdicts, strict=True) if v == verdict]
-                if own:
-                    gram, n = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"verdict": pa.array([verdict] * len(gram)), "gram": pa.array(gram), "n": pa.array(n)})
-
-    known = ruled.where("verdict IS NOT NULL")
-    summed = known.where(f"NOT {HELD_OUT}").select("url", "verdict").mapInArrow(count, "verdict string, gram long, n long").groupBy("verdict", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = {}
-    for verdict in ("allow", "block"):
-        own = summed[summed["verdict"] == verdict]
-        counts[verdict] = np.bincount(own["gram"].to_numpy(np.int64), weights=own["n"].to_numpy(float), minlength=SYMBOLS**ORDER) if len(own) else None
-    if counts["allow"] is None or counts["block"] is None:
+            own: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for url, *fold in zip(*(batch.column(c).to_pylist() for c in ("url", "verdict", "held")), strict=True):
+                own.setdefault(tuple(fold), []).append(grams(url))
+            for (verdict, held), found in own.items():
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"verdict": pa.array([verdict] * len(gram)), "held": pa.array([held] * len(gram)), "gram": pa.array(gram), "n": pa.array(n)})
+
+    known = ruled.where("verdict IS NOT NULL").withColumn("held", F.expr(HELD_OUT))
+    summed = known.select("url", "verdict", "held").mapInArrow(count, "verdict string, held boolean, gram long, n long").groupBy("verdict", "held", "gram").agg(F.sum("n").alias("n")).toPandas()
+
+    def difference(rows) -> np.ndarray | None:
+        counts = []
+        for verdict in ("allow", "block"):
+            own = rows[rows["verdict"] == verdict]
+            if not len(own):
+                return None
+            counts.append(np.bincount(own["gram"].to_numpy(np.int64), weights=own["n"].to_numpy(float), minlength=SYMBOLS**ORDER))
+        return (log_probabilities(counts[0]) - log_probabilities(counts[1])).astype(np.float32)
+
+    whole, part = difference(summed), difference(summed[~summed["held"].astype(bool)])
+    if whole is None:
         return UrlModel(np.zeros(SYMBOLS**ORDER, np.float32), 0.0)
-    model = UrlModel((log_probabilities(counts["allow"]) - log_probabilities(counts["block"])).astype(np.float32), 0.0)
+    if part is None:  # a verdict is in the held-out fold only: nothing to calibrate with
+        return UrlModel(whole, 0.0)
     width = 2 * REACH / (BINS - 1)
-    scored = score_urls(known.where(HELD_OUT), model)
+    scored = score_urls(known.where("held"), UrlModel(part, 0.0))
     bins = scored.groupBy("verdict", F.round((F.greatest(F.lit(-REACH), F.least(F.lit(REACH), "score")) + REACH) / width).cast("int").alias("bin")).count().toPandas()
     hist = {v: np.zeros(BINS) for v in ("allow", "block")}
     for row in bins.itertuples():
         hist[row.verdict][row.bin] += row.count
-    model.threshold = _threshold(hist["allow"], hist["block"]) * width - REACH
-    return model
+    return UrlModel(whole, _threshold(hist["allow"], hist["block"]) * width - REACH)
 
 
 def _threshold(allow: np.ndarray, block: np.ndarray) -> float:

@@ -306,6 +306,13 @@ def test_url_model_tells_digits_apart(spark):
     assert got == {f"http://example.net/en/{d}": "block" if d == 1 else "allow" for d in range(1, 10)}
 
 
+def test_url_model_counts_all_ruled_urls(spark):
+    urls = [f"http://{'a.org/' if k % 2 else 'b.com/de/'}{k}" for k in range(60)]
+    ruled = urlfilter.split_and_rule(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), urlfilter.RULES)
+    tables = [urlfilter.log_probabilities(np.bincount(np.concatenate([urlfilter.grams(u) for u in urls[k::2]]), minlength=urlfilter.SYMBOLS**urlfilter.ORDER).astype(float)) for k in (1, 0)]
+    assert np.allclose(urlfilter.fit(ruled).difference, tables[0] - tables[1], atol=1e-5)
+
+
 def test_character_model_by_brute_force():
     urls = ["http://a.b/c1", "ab", "ba/ab"]
     counts = np.bincount(np.concatenate([urlfilter.grams(u) for u in urls]), minlength=urlfilter.SYMBOLS**urlfilter.ORDER).astype(float)
