@@ -6,33 +6,73 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Folders still there, with their session; and the folder of each table that is in use.
+_WRITTEN: dict[str, SparkSession] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder that the driver and all executors see, named by ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made and set.
+    Where that is unset, a local session gets a temporary folder; on a cluster,
+    whose machines would each write to a disk of their own, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sparkmat-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there."""
+    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there.
+
+    The table lasts until ``drop_tables``, the end of its ``scratch`` block or the end of Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _drop(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_tables(*tables: DataFrame | None) -> None:
+    """Delete tables of ``write_table`` that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        if table is not None and table in _PATHS:
+            _drop(_PATHS.pop(table))
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those given to the function it yields (which returns them)."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_PATHS[table])
+        return table
+
+    yield keep
+    for path in set(_WRITTEN) - before - kept:
+        _drop(path)
 
 
 _SHIPPED: set[str] = set()
@@ -57,9 +97,8 @@ def ship(spark: SparkSession) -> None:
 
 @atexit.register
 def _drop_tables() -> None:
-    for spark, path in _WRITTEN:
+    for path in list(_WRITTEN):
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _drop(path)
         except Exception:  # the session may be gone; the shared folder is the cluster's to clean then
             return
