@@ -5,9 +5,16 @@ number of lines (references).  From it follow the shared keys, those of two
 documents or more, with the keeper, the smallest doc_id.  In front stand cuckoo
 filters of the shared keys, one for each shard of the key space: they tell that
 a line surely isn't shared, so that only the few others are joined with the
-exact table, which decides.  ``insert_documents`` and ``delete_documents``
-change the table and the filters, so a dedup can be taken back document by
-document; the outcome is always that of a fresh build.
+exact table, which decides.  References and filters meet by shard: a partition
+is sorted, each filter before its references, and passes through one task as a
+stream that holds one filter; a shard of very many references (a line that is
+everywhere) is dealt over several parts, each with a copy of its filter.  No
+filter is collected or broadcast, so any number of them works the same way.
+
+``insert_documents`` and ``delete_documents`` change the table and the filters,
+so a dedup can be taken back document by document; the outcome is always that
+of a fresh build.  Once shards have grown to twice their size, they are split
+anew.
 
 A key (128-bit digest) is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z
 lower-cased; keys under MIN_CHARS code points are never dropped.
@@ -35,8 +42,8 @@ from sparkmat.llm.common import table, write_table
 MIN_CHARS = 10
 #: Shared keys meant for one shard's filter.
 SHARD_KEYS = 20_000
-#: The filters are sent to the executors up to this size; beyond it every key is joined with the exact table.
-FILTER_BYTES = 32_000_000
+#: References of one shard that one task takes, about.
+PART_ROWS = 500_000
 SLOTS, KICKS = 4, 500
 
 
@@ -172,9 +179,14 @@ def build_index(docs: DataFrame) -> LineIndex:
     return _index(write_table(references_of(docs), "references"))
 
 
+def _shards(keys: int) -> int:
+    """How many shards, a power of two, make at most SHARD_KEYS keys each on average."""
+    return 1 << (max(0, keys - 1) // SHARD_KEYS).bit_length()
+
+
 def _index(references: DataFrame) -> LineIndex:
     shared = write_table(_shared(references), "shared")
-    n_shards = 1 << max(0, (shared.count() // SHARD_KEYS).bit_length())
+    n_shards = _shards(shared.count())
     return LineIndex(references, shared, write_table(_filters(shared, n_shards), "filters"), n_shards)
 
 
@@ -191,6 +203,9 @@ def delete_documents(index: LineIndex, ids: DataFrame) -> LineIndex:
 def _changed(index: LineIndex, references: DataFrame) -> LineIndex:
     """Brings the filters up to date by inserting and deleting the keys that became or ceased to be shared."""
     shared = write_table(_shared(references), "shared")
+    wanted = _shards(shared.count())
+    if wanted > 2 * index.n_shards:
+        return LineIndex(references, shared, write_table(_filters(shared, wanted), "filters"), wanted)
     keys = ["k1", "k2"]
     changes = shared.join(index.shared, keys, "left_anti").select(*keys, F.lit(True).alias("added")).unionByName(
         index.shared.join(shared, keys, "left_anti").select(*keys, F.lit(False).alias("added")))
@@ -215,27 +230,34 @@ def _changed(index: LineIndex, references: DataFrame) -> LineIndex:
     return LineIndex(references, shared, filters, index.n_shards)
 
 
-def _maybe_shared(index: LineIndex, references: DataFrame) -> DataFrame:
-    """The references whose keys pass the filters; all of them where the filters are too large to send."""
-    size = index.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
-    if size > FILTER_BYTES:
-        return references
-    n_shards = index.n_shards
-    held = references.sparkSession.sparkContext.broadcast({r.shard: bytes(r.slots) for r in index.filters.toLocalIterator()})  # at most FILTER_BYTES
+def _maybe_shared(index: LineIndex) -> DataFrame:
+    """The references (k1, k2, doc_id) whose keys pass their shard's filter."""
+    rows = index.references.select("k1", "k2", "doc_id", _shard(index.n_shards))
+    parts = write_table(rows.groupBy("shard").agg(F.expr(f"1 + count(*) div {PART_ROWS}").alias("parts")).where("parts > 1"), "parts")
+    dealt = rows.join(parts, "shard", "left").select("shard", F.expr("pmod(xxhash64(doc_id), coalesce(parts, 1L))").alias("part"), F.lit(None).cast("binary").alias("slots"), "k1", "k2", "doc_id")
+    none = [F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "doc_id")]
+    copies = index.filters.join(parts, "shard", "left").select("shard", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1L)")).alias("part"), "slots", *none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {s: CuckooFilter.from_bytes(raw) for s, raw in held.value.items()}
+        held, own = None, -1  # the filter at hand and its shard
         for batch in batches:
-            k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
-            shard = (k2.view(np.uint64) >> np.uint64(8)).astype(np.int64) & (n_shards - 1)
-            passed = np.zeros(len(k1), bool)
-            for s in np.unique(shard).tolist():
-                if s in filters:
-                    own = np.flatnonzero(shard == s)
-                    passed[own] = filters[s].contains(k1[own])
-            yield batch.filter(pa.array(passed))
-
-    return references.mapInArrow(run, references.schema)
+            if not batch.num_rows:
+                continue
+            shards = batch.column("shard").to_numpy()
+            slots = batch.column("slots")
+            is_filter = slots.is_valid().to_numpy(zero_copy_only=False)
+            k1 = batch.column("k1").fill_null(0).to_numpy()
+            passed = np.zeros(len(shards), bool)
+            turns = np.flatnonzero(is_filter | np.diff(shards, prepend=-1).astype(bool))
+            for start, end in zip(turns.tolist(), [*turns[1:].tolist(), len(shards)], strict=True):
+                if is_filter[start]:
+                    held, own, start = CuckooFilter.from_bytes(slots[start].as_py()), shards[start], start + 1
+                if own == shards[end - 1] and start < end:
+                    passed[start:end] = held.contains(k1[start:end])
+            yield batch.select(["k1", "k2", "doc_id"]).filter(pa.array(passed))
+
+    together = copies.unionByName(dealt).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("slots").isNull())
+    return together.mapInArrow(run, "k1 long, k2 long, doc_id long")
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
@@ -243,10 +265,10 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
 
     Where ``docs`` has columns of these names, they are replaced.
     """
-    found = _maybe_shared(index, index.references).join(index.shared, ["k1", "k2"]).where("doc_id <> keeper")
+    found = _maybe_shared(index).join(index.shared, ["k1", "k2"]).where("doc_id <> keeper")
     drops = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.flatten(F.collect_set(F.array("k1", "k2"))).alias("_drop"))
     docs = docs.drop("n_lines", "n_dropped")
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
