@@ -8,8 +8,10 @@ leftmost pair of least rank.  A merge changes three leaves: that of the merged
 token, that of its left live neighbour, and that of the token swallowed (which
 becomes infinite); each is a point update of logarithmic cost.
 
-The trees of many short pieces of like length are held as the columns of one
-numpy array and advanced together; a long piece has a tree of its own.
+The trees of many pieces of like length are held as the columns of one numpy
+array and advanced together; a very long piece, or a few of a size, have trees
+of their own.  A worker keeps the ids of short chunks of text (CACHED_CHUNKS of
+CACHED_CHARS characters at most), never those of long ones.
 
 Cases: a null text is encoded as the empty text (no ids); rows are independent,
 so repeated rows and ids are encoded alike; a text of any length is encoded
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,11 +32,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 INF = np.int32(2**31 - 1)
-#: Pieces longer than this get a tree of their own.
-BATCHED_BYTES = 64
-#: Chunks whose ids a worker keeps before it starts anew (memory, not results, depends on it).
-CACHED_CHUNKS = 100_000
-#: A single space between two characters that aren't white space always begins a match of the pattern.
+#: Pieces longer than this get a tree of their own, and so do those over SHORT_BYTES of a size that has fewer than MANY pieces.
+BATCHED_BYTES, SHORT_BYTES, MANY = 16_384, 64, 24
+#: Bytes of the pieces that are advanced together.
+TOGETHER_BYTES = 262_144
+#: Chunks whose ids a worker keeps before it starts anew, and the longest of them (memory, not results, depends on it).
+CACHED_CHUNKS, CACHED_CHARS = 100_000, 64
+#: Longer texts are encoded in sections, longer chunks by this many matches at a time.
+SECTION_CHARS, LONG_CHARS, MATCHES = 1_000_000, 4096, 20_000
+#: The fixed value of the pattern for which SAFE_SPLIT and the shortcut for ASCII letters hold; by any other, texts are split as a whole.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A single space between two characters that aren't white space always begins a match of the known pattern.
 SAFE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 DOUBLE_SPACE = re.compile(r"\s\s")
 
@@ -59,7 +68,7 @@ class Bpe:
     """An encoder and decoder for one vocabulary; a worker keeps one for all its tasks."""
 
     def __init__(self, ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), pattern == KNOWN_PATTERN
         self.keys, self.values = pairs
         self.pairs = dict(zip(self.keys.tolist(), self.values.tolist(), strict=True))
         self.bytes_of = {r: t for t, r in ranks.items()}
@@ -76,16 +85,21 @@ class Bpe:
         return np.where(self.keys[at] == key, self.values[at], INF)
 
     def _merge_alone(self, piece: bytes) -> list[int]:
-        """One segment tree in plain lists, for long pieces."""
+        """One segment tree, for long pieces: 28 to 44 bytes for each of the piece."""
         n, inf, pairs = len(piece), int(INF), self.pairs
-        tok = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
+        first = self.of_byte[np.frombuffer(piece, np.uint8)]
         size = 1 << max(1, (n - 1).bit_length())
-        tree = [inf] * (2 * size)
-        for p in range(n - 1):
-            tree[size + p] = pairs.get(tok[p] << 32 | tok[p + 1], inf)
-        for x in range(size - 1, 0, -1):
-            tree[x] = min(tree[2 * x], tree[2 * x + 1])
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        whole = np.full(2 * size, inf, np.int32)
+        for k in range(0, n - 1, 1 << 20):
+            part = first[k : k + (1 << 20) + 1]
+            whole[size + k : size + k + len(part) - 1] = self._pair_ranks(part[:-1], part[1:])
+        level = size
+        while level > 1:
+            level >>= 1
+            whole[level : 2 * level] = np.minimum(whole[2 * level : 4 * level : 2], whole[2 * level + 1 : 4 * level : 2])
+        tree, tok = array("i", whole.tobytes()), array("i", first.astype(np.int32).tobytes())
+        del whole, first
+        nxt, prv = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
 
         def put(p: int, value: int) -> None:
             x = size + p
@@ -173,13 +187,15 @@ class Bpe:
         for piece in set(pieces):
             if piece in self.ranks:
                 out[piece] = self.ranks[piece].to_bytes(4, "little")
-            elif len(piece) > BATCHED_BYTES:
-                out[piece] = np.array(self._merge_alone(piece), "<u4").tobytes()
             else:
                 groups.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(piece)
         for size, group in groups.items():
-            for k in range(0, len(group), 4096):
-                part = group[k : k + 4096]
+            if size > BATCHED_BYTES or size > SHORT_BYTES and len(group) < MANY:
+                out.update((piece, np.array(self._merge_alone(piece), "<u4").tobytes()) for piece in group)
+                continue
+            count = max(MANY, TOGETHER_BYTES // size)
+            for k in range(0, len(group), count):
+                part = group[k : k + count]
                 tok = self._merge_together(part, size)
                 live = tok >= 0
                 ids, ends = tok[live].astype("<u4").tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
@@ -200,27 +216,53 @@ class Bpe:
         unseen: set[str] = set()
         for text in texts:
             plain = not DOUBLE_SPACE.search(text) and not text[:1].isspace() and not text[-1:].isspace()
-            keys = text.split(" ") if plain else SAFE_SPLIT.split(text)
+            keys = [text] if not self.known else text.split(" ") if plain else SAFE_SPLIT.split(text)
             keys[0] = " " + keys[0]
             chunked.append(keys)
             unseen.update(set(keys).difference(cache))
         wanted: dict[str, list[bytes]] = {}
+        long: dict[str, bytes] = {}  # what isn't kept
         for key in unseen:
             if key in old:
                 cache[key] = old[key]
-            elif key.isascii() and key.isalpha():  # one match of the pattern
+            elif self.known and key.isascii() and key.isalpha():  # one match of the pattern
                 wanted[key] = [b" " + key.encode()]
+            elif len(key) > LONG_CHARS:
+                long[key] = self._encode_long(key[1:] if key[0] == " " else " " + key)
             else:
                 chunk = key[1:] if key[0] == " " else " " + key
-                wanted[key] = [m.encode() for m in self.pattern.findall(chunk)]
+                wanted[key] = [m.encode("utf-8", "replace") for m in self.pattern.findall(chunk)]
         merged = self.encode_pieces(p for own in wanted.values() for p in own)
         for key, own in wanted.items():
-            cache[key] = merged[own[0]] if len(own) == 1 else b"".join([merged[p] for p in own])
-        return [b"".join(map(cache.__getitem__, keys)) for keys in chunked]
+            ids = merged[own[0]] if len(own) == 1 else b"".join([merged[p] for p in own])
+            (cache if len(key) <= CACHED_CHARS else long)[key] = ids
+        if not long:
+            return [b"".join(map(cache.__getitem__, keys)) for keys in chunked]
+        return [b"".join([cache[k] if k in cache else long[k] for k in keys]) for keys in chunked]
+
+    def _encode_long(self, chunk: str) -> bytes:
+        """The ids of a long chunk, whose matches aren't held all at once."""
+        out, own = [], []
+        for m in self.pattern.finditer(chunk):
+            own.append(m[0].encode("utf-8", "replace"))
+            if len(own) == MATCHES:
+                merged = self.encode_pieces(own)
+                out.append(b"".join(map(merged.__getitem__, own)))
+                own = []
+        merged = self.encode_pieces(own)
+        return b"".join([*out, *map(merged.__getitem__, own)])
+
+    def encode(self, text: str) -> bytes:
+        """The ids of one text of any length, by sections that begin where a match begins."""
+        out, at = [], 0
+        while self.known and len(text) - at > SECTION_CHARS and (m := SAFE_SPLIT.search(text, at + SECTION_CHARS)):
+            out += self.encode_batch([text[at : m.start()]])
+            at = m.start()
+        return b"".join([*out, *self.encode_batch([text[at:]])])
 
     def decode(self, ids: bytes) -> bytes:
-        of = self.bytes_of
-        return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        of, whole = self.bytes_of.__getitem__, np.frombuffer(ids, "<u4")
+        return b"".join([b"".join(map(of, whole[k : k + SECTION_CHARS].tolist())) for k in range(0, len(whole), SECTION_CHARS)])
 
 
 _HELD: dict[int, Bpe] = {}
@@ -253,7 +295,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, digests: bo
     task is simply run again.
     """
     spark: SparkSession = docs.sparkSession
-    ranks = load_ranks(vocabulary)
+    ranks = load_ranks(vocabulary)  # on the driver, whose path it is
     held = spark.sparkContext.broadcast((ranks, pair_table(ranks), pattern))  # the vocabulary: about 50,000 tokens
     key = hash((vocabulary, pattern, len(ranks)))
     kind = dict(docs.dtypes)[id_column]
@@ -263,7 +305,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, digests: bo
         bpe = _bpe(key, held.value)
         for whole in batches:
             for batch, texts in _slices(whole):
-                ids = bpe.encode_batch(texts)
+                ids = bpe.encode_batch(texts) if len(texts) > 1 else [bpe.encode(texts[0])]
                 decoded = [bpe.decode(i) for i in ids]
                 columns = {id_column: batch.column(id_column), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())}
                 if digests:

@@ -71,6 +71,45 @@ def test_bpe_pieces_like_the_library():
         assert own.decode(ids) == text.encode()
 
 
+def test_bpe_of_long_texts(monkeypatch):
+    """Sections, long chunks, many long pieces at once, other patterns; and what a worker keeps of text without spaces."""
+    import tiktoken
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    pairs = bpe.pair_table(ranks)
+    rng = random.Random(6)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(3000))
+    unspaced = ["".join(rng.choice("etaoinshrdlué漢") for _ in range(n)) for n in [700] * 40 + [3000] * 3 + [40_000]]
+    dotted = "".join(rng.choice(["ab", "cd", ".", "1", "漢字"]) for _ in range(9000))
+    texts = [prose, " ".join(unspaced[:44]), dotted, prose + unspaced[-1] + " " + prose, "x" * 70_000]
+    for pattern in (P.PATTERN, r"\p{L}+|[^\p{L}]+"):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        own = bpe.Bpe(ranks, pairs, pattern)
+        for size in (1_000_000, 500):
+            monkeypatch.setattr(bpe, "SECTION_CHARS", size)
+            monkeypatch.setattr(bpe, "MATCHES", size)
+            for text in texts:
+                ids = own.encode(text)
+                assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+                assert own.decode(ids) == text.encode()
+    assert P.PATTERN == bpe.KNOWN_PATTERN
+    monkeypatch.undo()
+    own = bpe.Bpe(ranks, pairs, P.PATTERN)
+    for k in range(20):
+        own.encode_batch([" ".join("".join(rng.choice("abcdefgh") for _ in range(2000)) for _ in range(20))])
+    assert sum(map(len, own.cache)) < 1000
+
+
+def test_bpe_decodes_what_it_encodes(spark, docs, texts, none):
+    path = P.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(docs, path, P.PATTERN, digests=False).drop("decoded")
+    got = Counter((r.doc_id, bytes(r.decoded)) for r in bpe.decode_documents(encoded, path).collect())
+    assert got == Counter((i, (t or "").encode()) for i, t in texts)
+    null = spark.createDataFrame([(1, None, "x"), (2, [], "y")], "doc_id long, ids array<long>, decoded string")
+    assert [bytes(r.decoded) for r in bpe.decode_documents(null, path).collect()] == [b"", b""]
+    assert bpe.decode_documents(encoded.limit(0), path).collect() == []
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -176,11 +215,29 @@ def test_line_dedup_and_its_reversal(spark, docs, texts, none):
     assert kept.count() == docs.count() and set(kept.columns) == {*docs.columns, "n_lines", "n_dropped"}
 
 
-def test_line_dedup_without_filters(spark, docs, monkeypatch):
-    index = linededup.build_index(docs)
-    want = sorted((r.doc_id or 0, r.text or "") for r in linededup.dedup_lines(docs, index).collect())
-    monkeypatch.setattr(linededup, "FILTER_BYTES", -1)
-    assert sorted((r.doc_id or 0, r.text or "") for r in linededup.dedup_lines(docs, index).collect()) == want
+def test_line_dedup_of_many_shards_that_grow(spark, monkeypatch):
+    """Shards of few keys, in parts; inserts that outgrow the filters and then the shards; all by way of filters."""
+    rng = random.Random(5)
+    lines = [f"a line of text number {k}" for k in range(400)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(12)) + "\na line found in every one") for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 8)
+    monkeypatch.setattr(linededup, "PART_ROWS", 20)
+    first = linededup.build_index(frame.where("doc_id < 10"))
+    some = linededup.insert_documents(first, frame.where("doc_id >= 10 AND doc_id < 14"))
+    grown = linededup.insert_documents(some, frame.where("doc_id >= 14"))
+    assert first.n_shards <= some.n_shards < grown.n_shards
+    con = duckdb.connect()
+    documents = frame.toPandas()  # noqa: F841  DuckDB reads it
+    want = {r[0]: r[1:] for r in con.execute(linededup.OP9_SQL).fetchall()}
+
+    def outcome(index):
+        return {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in linededup.dedup_lines(frame, index).collect()}
+
+    assert outcome(grown) == want == outcome(linededup.build_index(frame))
+    passed = {(r.k1, r.k2) for r in linededup._maybe_shared(grown).collect()}
+    shared = {(r.k1, r.k2) for r in grown.shared.collect()}
+    assert shared <= passed and len(passed) < grown.references.select("k1", "k2").distinct().count()
 
 
 def test_cuckoo_filter():
@@ -522,6 +579,26 @@ def test_tree_matching_keeps_constant_paragraphs(spark):
     assert html_texts(page_rows(spark, rows)) == {k: "\n\n".join(f"text {k} {n}" for n in range(2 + k)) for k in range(8)}
 
 
+def test_chat_of_a_long_conversation(spark):
+    """100,000 turns, and a snapshot that lacks the last of them."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    long = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.expr("concat('turn ', id)").alias("text"))
+    frame = long.unionByName(long.where("turn < 99999").withColumn("conv_id", F.lit(2)))
+    began = time.perf_counter()
+    got = [(r.conv_id, r.n_turns, r.n_copies) for r in chat.render(chat.collapse_snapshots(frame)).select("conv_id", "n_turns", "n_copies").collect()]
+    assert got == [(1, 100_000, 1)] and time.perf_counter() - began < 30
+
+
+def test_chat_of_the_table(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    got = chat.op10_chat(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({chat.OP10_SQL})").fetchall())
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"),
              (4, 0, None, None), (5, 0, "", ""), (6, 0, None, None), (6, 1, "user", None), (None, 0, "user", "lost"), (7, 1, "user", "late"), (7, 0, "user", "early"), (7, 0, "user", "early")]
