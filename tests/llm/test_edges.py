@@ -134,23 +134,57 @@ def brute_contamination(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(40_000, 200_000), (50, 30)])
+def brute_near(text, items, window=10, near=20):
+    """The number of items with a window whose words stand within ``near`` words."""
+    words, found = WORD.findall(lower(text)), set()
+    whole = set(words)
+    spans = [frozenset(words[k : k + near]) for k in range(max(1, len(words) - near + 1))]
+    for item, own in items:
+        own = WORD.findall(lower(own))
+        size = min(window, len(own))
+        wanted = [w for k in range(len(own) - size + 1) if (w := set(own[k : k + size])) and w <= whole]
+        if item is not None and any(w <= s for w in wanted for s in spans):
+            found.add(item)
+    return len(found)
+
+
+@pytest.mark.parametrize("sizes", [(40_000, 200_000, 20_000), (50, 60, 25)])
 def test_decontamination(spark, docs, texts, none, monkeypatch, sizes):
+    """By one block, and by many with items in pieces."""
     monkeypatch.setattr(decontam, "SEGMENT_WORDS", sizes[0])
     monkeypatch.setattr(decontam, "BLOCK_WORDS", sizes[1])
+    monkeypatch.setattr(decontam, "PIECE_WORDS", sizes[2])
     items = [(1, texts[4][1]), (2, "éa"), (2, "x1 the"), (None, "beta beta"), (7, None), (8, "..."), (9, texts[8][1][100:400]), (9, texts[8][1][100:400])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.find_contamination(decontam.build_index(docs), bench).drop("spans", "items").collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute_contamination(texts, items), key=key)
+    shuffled = texts[4][1].split()
+    shuffled = " ".join([*shuffled[9::-1], "omega", *shuffled[10:]])
+    items.append((10, shuffled))
+    assert decontam.blocks_of(bench, 10)[1] == 1 or sizes[1] == 60
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_contamination(decontam.build_index(docs), bench).drop("spans", "items", "near").collect()
+    want = [(*w, brute_near(t, items)) for w, (_, t) in zip(brute_contamination(texts, items), texts, strict=True)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert any(r.n_near > r.n_items for r in got)
     assert decontam.find_contamination(decontam.build_index(none), bench).collect() == []
     clean = decontam.find_contamination(decontam.build_index(docs), bench.limit(0))
     assert not any(r.contaminated for r in clean.collect())
 
 
-def test_proximity(spark):
+def test_decontamination_of_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    got = [tuple(r) for r in decontam.op2_decontamination(spark, sf).collect()]
+    want = [(*w, brute_near(t, items)) for w, (_, t) in zip(brute_contamination(rows, items), rows, strict=True)]
+    assert sorted(got) == sorted(want) and any(r[5] for r in got)
+
+
+@pytest.mark.parametrize("block", [200_000, 1])
+def test_proximity(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
     texts = [(1, "a b c d e f a"), (2, "c x x x x a"), (3, None), (4, "b a")]
     index = decontam.build_index(spark.createDataFrame(texts, "doc_id long, text string"))
-    got = {(r.doc_id, r.query_id, r.start, r.end) for r in decontam.find_proximity(index, [(1, "a c"), (2, "zz"), (3, "")], 3).collect()}
+    got = {(r.doc_id, r.query_id, r.start, r.end) for r in decontam.find_proximity(index, spark.createDataFrame([(1, "a c"), (2, "zz"), (3, "")], "item_id long, text string"), 3).collect()}
     want = set()
     for doc, text in texts:
         words = (text or "").split()
