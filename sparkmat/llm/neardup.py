@@ -12,9 +12,9 @@ set sizes, make J >= 0.75 implausible are dropped (log-likelihood ratio above
 MARGIN: beyond five standard deviations); all others are confirmed on the full
 sets.
 
-Copies with equal sets form a class first; only its smallest doc_id is
-sketched into bands.  Within a band's bucket each member is compared with the
-bucket's leader (its least id).  Buckets whose members then still lie in
+Copies with equal sets form a class first, with a number of its own and its
+smallest doc_id as representative; only the class goes into bands.  Within a band's bucket each member is compared with the
+bucket's leader (its least class).  Buckets whose members then still lie in
 different components are cut by set size and compared block by block, across
 components only, by their registers; what these don't rule out is confirmed on
 the full sets of the block.  So no candidate pair between different components stays
@@ -26,7 +26,8 @@ Cases: without words (null, empty or blank text) a document has an empty set
 and is linked with nothing; with fewer than five words the whole sequence is
 its one shingle; a row with a null doc_id is linked with nothing, has no
 component and is kept; rows with equal doc_id are judged by their own texts,
-and each gets its text's component; an empty table gives an empty result.
+and each gets its text's component, even where one doc_id is the representative
+of several classes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm.common import table, write_table
+from sparkmat.llm.common import drop_tables, table, write_table
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -49,8 +50,8 @@ PERCENT = 75
 M, ROWS = 128, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 1
 MARGIN = 12.5
-#: Members compared with one leader in a group; members of a block.
-GROUP, BLOCK = 128, 1024
+#: Members compared with one leader in a group, and their shingles together, about; members of a block.
+GROUP, GROUP_SHINGLES, BLOCK = 128, 500_000, 1024
 #: Shingles of a block's members together, about.
 BLOCK_SHINGLES = 500_000
 #: Equal registers without which J >= 0.75 is beyond seven standard deviations.
@@ -130,7 +131,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 own = shingles(text.as_py())
                 n.append(len(own))
-                h.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                h.append(_digest(own) if len(own) else None)
                 regs.append(registers(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "h": pa.array(h, pa.binary()), "registers": pa.array(regs, pa.binary())})
 
@@ -138,23 +139,23 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """A row (rep, key, band) for each class and band."""
+    """A row (cid, key, band) for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = np.arange(1, M // ROWS + 1, dtype=np.uint64) * STEP
         for batch in batches:
             regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u8").reshape(-1, M // ROWS)
             keys = _mixed(regs ^ salts).view(np.int64)
-            rep = np.repeat(batch.column("rep").to_numpy(), M // ROWS)
+            cid = np.repeat(batch.column("cid").to_numpy(), M // ROWS)
             band = np.tile(np.arange(M // ROWS), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(keys.ravel()), pa.array(band)], names=["rep", "key", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(keys.ravel()), pa.array(band)], names=["cid", "key", "band"])
 
-    return classes.select("rep", "registers").mapInArrow(run, "rep long, key long, band long")
+    return classes.select("cid", "registers").mapInArrow(run, "cid long, key long, band long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the registers don't rule out."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
+    """The pairs (a, b) of classes that the registers don't rule out, with the shingles ``n`` of b."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,32 +163,40 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 part = batch.slice(k, 2000)
                 a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, M) for c in ("ra", "rb"))
                 _, kept = likely(a, b, part.column("na").to_numpy().astype(float), part.column("nb").to_numpy().astype(float))
-                yield part.select(["a", "b"]).filter(pa.array(kept))
+                yield part.select(["a", "b", "nb"]).rename_columns(["a", "b", "n"]).filter(pa.array(kept))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, n long")
+
+
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _with_texts(rows: DataFrame, cid: str, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the digest ``h`` of their class ``cid`` and ``text``; where several texts have the representative's doc_id, a row for each (equal ones once), of which those of another digest are to be passed over."""
+    reps = write_table(rows.select(F.col(cid).alias("cid")).distinct().join(classes.select("cid", "rep", "h"), "cid"), "reps")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps.select("rep").distinct(), "rep", "left_semi").groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    return rows.drop("h").join(reps.select(F.col("cid").alias(cid), "rep", "h"), cid).join(texts, "rep").drop("rep")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked.
+    """The pairs (a, b) whose full sets are linked, from (a, b, n).
 
-    The members b of a leader a come in groups of about GROUP, each with the
-    leader's text, so a leader of very many members is spread over many tasks.
+    The members b of a leader a come in groups of about GROUP members and
+    GROUP_SHINGLES shingles, each with the leader's text, so a leader of very
+    many members is spread over many tasks.
     """
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    dealt = pairs.join(sizes, "a").withColumn("part", F.expr(f"pmod(xxhash64(b), 1 + _n div {GROUP})")).drop("_n")
+    sizes = pairs.groupBy("a").agg(F.expr(f"1 + greatest(count(*) div {GROUP}, sum(n) div {GROUP_SHINGLES})").alias("_parts"))
+    dealt = pairs.join(sizes, "a").withColumn("part", F.expr("pmod(xxhash64(b), _parts)"))
     wanted = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    ids = write_table(wanted.select("id").distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    rows = wanted.join(texts, "id").select("a", "part", "id", "text")
 
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a = key[0]
-        sets = [shingles(t) for t in group["text"]]
-        leaders = [own for own, i in zip(sets, group["id"], strict=True) if i == a]
-        out = sorted({i for own, i in zip(sets, group["id"], strict=True) if i != a and len(own) and any(len(lead) and linked(lead, own) for lead in leaders)})
-        return pd.DataFrame({"a": [a] * len(out), "b": out}, dtype="int64")
+        sets = {i: own for i, text, h in zip(group["id"], group["text"], group["h"], strict=True) if _digest(own := shingles(text)) == bytes(h)}
+        lead = sets.pop(key[0])
+        out = sorted(i for i, own in sets.items() if linked(lead, own))
+        return pd.DataFrame({"a": [key[0]] * len(out), "b": out}, dtype="int64")
 
-    return rows.groupBy("a", "part").applyInPandas(verify, "a long, b long")
+    return _with_texts(wanted, "id", docs, classes).groupBy("a", "part").applyInPandas(verify, "a long, b long")
 
 
 class _Block:
@@ -195,7 +204,7 @@ class _Block:
 
     def __init__(self, t: int, low: int, high: int, group: list[pa.RecordBatch]):
         self.rows = pa.Table.from_batches(group).combine_chunks()
-        self.rep, self.component, self.size, n, block, band = (self.rows.column(c).to_numpy() for c in ("rep", "component", "size", "n_shingles", "block", "band"))
+        self.cid, self.component, self.size, n, block, band = (self.rows.column(c).to_numpy() for c in ("cid", "component", "size", "n_shingles", "block", "band"))
         self.n, self.t, self.low, self.high, self.band = n.astype(float), t, low, high, int(band[0])
         self.regs = np.frombuffer(b"".join(self.rows.column("registers").to_pylist()), "<u2").reshape(-1, M)
         self.keys = self.regs.view("<u8")
@@ -209,7 +218,7 @@ class _Block:
         """
         y = self.second[(roots[self.second] != roots[x]) & (np.minimum(self.size[self.second], self.size[x]) == self.t)]
         if self.low == self.high:
-            y = y[self.rep[y] > self.rep[x]]
+            y = y[self.cid[y] > self.cid[x]]
         y = y[(self.regs[y] == self.regs[x]).sum(axis=1) >= LEAST_EQUAL]
         y = y[(self.keys[y] == self.keys[x]).argmax(axis=1) == self.band]
         if len(y):
@@ -217,7 +226,7 @@ class _Block:
         return y
 
     def involved(self) -> np.ndarray:
-        out = np.zeros(len(self.rep), bool)
+        out = np.zeros(len(self.cid), bool)
         for x in self.first:
             y = self.partners(x, self.component)
             out[y] = True
@@ -238,11 +247,11 @@ class _Block:
             for k in y[100 * common >= PERCENT * (length[x] + length[y] - common)]:
                 if roots[k] != roots[x]:
                     roots[roots == roots[k]] = roots[x]
-                    yield int(min(self.rep[x], self.rep[k])), int(max(self.rep[x], self.rep[k]))
+                    yield int(min(self.cid[x], self.cid[k])), int(max(self.cid[x], self.cid[k]))
 
 
 def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between members (rep, key, band) of one bucket that lie in different components.
+    """Links (a, b) between members (cid, key, band) of one bucket that lie in different components.
 
     A bucket is cut by size: a member of size class t (a factor of 4/3 each)
     can only be linked with members of classes t - 1 to t + 1.  What is left is
@@ -251,17 +260,17 @@ def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
     meet again with their texts; pairs are never emitted, only links.
     """
     names = ["key", "t", "low", "high"]
-    named = write_table(_labelled(members, labels, "rep", "component"), "members")
+    named = write_table(_labelled(members, labels, "cid", "component"), "members")
     mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key")
     size = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / PERCENT))).alias("size")
-    rows = named.join(mixed, "key", "left_semi").join(classes.select("rep", "n_shingles", "registers", "h", size), "rep")
+    rows = named.join(mixed, "key", "left_semi").join(classes.select("cid", "n_shingles", "registers", "h", size), "cid")
     rows = write_table(rows.withColumn("t", F.explode(F.array("size", F.col("size") - 1))), "members")
     counts = rows.groupBy("key", "t").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(n_shingles) div {BLOCK_SHINGLES})").alias("blocks")).where("_c < _d")
     dealt = (
         rows.join(counts.select("key", "t", "blocks"), ["key", "t"])
-        .withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
+        .withColumn("block", F.expr("pmod(xxhash64(cid), blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "rep", "component", "size", "n_shingles", "registers", "h")
+        .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "cid", "component", "size", "n_shingles", "registers", "h")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,17 +284,14 @@ def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
         for t, low, high, group in _groups(batches, names):
             texts = [x for g in group for x in g.column("text").to_pylist()]
             sets = [shingles(x) for x in texts]
-            # an id may stand for several texts: those of this class
-            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == h for s, h in zip(sets, (h for g in group for h in g.column("h").to_pylist()), strict=True)]
+            own = [_digest(s) == h for s, h in zip(sets, (h for g in group for h in g.column("h").to_pylist()), strict=True)]
             rows = pa.Table.from_batches(group).filter(pa.array(own)).combine_chunks()
             if rows.num_rows:
                 found = list(_Block(t, low, high, rows.to_batches()).links([s for s, o in zip(sets, own, strict=True) if o]))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     involved = write_table(dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, dealt.schema), "involved")
-    ids = write_table(involved.select(F.col("rep").alias("id")).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").withColumnRenamed("id", "rep")
-    together = involved.join(texts, "rep").repartition(*names).sortWithinPartitions(*names)
+    together = _with_texts(involved, "cid", docs, classes).repartition(*names).sortWithinPartitions(*names)
     return write_table(together.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
@@ -319,7 +325,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = write_table(small, "links")
+        before, edges = edges, write_table(small, "links")
+        drop_tables(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.expr("CAST(xxhash64(u, v) AS decimal(20, 0))"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -334,14 +341,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     sketches = write_table(sketch(docs), "sketches")
     whole = "h IS NOT NULL AND doc_id IS NOT NULL"
-    classes = write_table(
-        sketches.where(whole).groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")),
-        "classes",
-    )
+    classes = sketches.where(whole).groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
+    classes = write_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # the numbers hold from here on
     bands = _bands(classes)
-    leaders = bands.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).where("a < _last").drop("_last")
-    members = bands.join(leaders, "key").where("rep <> a")
-    pairs = write_table(members.select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    leaders = bands.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("_last")).where("a < _last").drop("_last")
+    members = bands.join(leaders, "key").where("cid <> a")
+    pairs = write_table(members.select("a", F.col("cid").alias("b")).distinct(), "pairs")
     links = write_table(_confirmed(write_table(_plausible(pairs, classes), "pairs"), docs, classes), "links")
     labels = components(links)
 
@@ -349,7 +354,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _crossed(bands.join(leaders.select("key"), "key", "left_semi"), labels, classes, docs)
     labels = components(links.unionByName(more))
 
-    of_class = _labelled(classes.select("h", "rep"), labels, "rep", "component_id").select("h", "component_id")
+    of_class = _labelled(classes.select("h", "rep", "cid"), labels, "cid", "_component")
+    least = of_class.groupBy("_component").agg(F.min("rep").alias("component_id"))
+    of_class = of_class.join(least, "_component").select("h", "component_id")
     known = sketches.where(whole).select("doc_id", "n_shingles", "h").join(of_class, "h", "left").drop("h")
     alone = sketches.where(f"NOT ({whole})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
