@@ -7,8 +7,12 @@ at its beginning or end differs from the same bytes inside.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose sums a worker keeps before it starts anew (memory, not results, depends on it).
@@ -112,15 +116,23 @@ def prefix_features(words: list[bytes], sizes: tuple[int, ...], bits: int) -> tu
     return (np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(owner)
 
 
-def labelled_sample(docs, labels, columns: list[str], limit: int, folds: int = 5):
-    """Up to ``limit`` rows (doc_id, text, *columns) with all labels given and the id's crc32 not a multiple of ``folds``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int, encode: Callable[[str | None], bytes], folds: int = 5) -> list:
+    """Up to ``limit`` rows (doc_id, features, *columns) with all labels given and the id's crc32 not a multiple of ``folds``.
 
     The rows come in the order of a hash of the id, so the sample is the same
-    on every run; one row for each labelled id.  Only these rows reach the driver.
+    on every run; one row for each labelled id, where an id is repeated that of
+    its least text.  Only these rows reach the driver, as what ``encode`` makes
+    of the texts on the executors: at most a number for each row of the table of features.
     """
-    from pyspark.sql import functions as F
-
     given = labels.dropna(subset=["doc_id", *columns]).where(F.expr(f"crc32(CAST(CAST(doc_id AS string) AS binary)) % {folds} <> 0"))
     few = given.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").collect()  # at most ``limit`` labels are broadcast
-    return sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", *columns).agg(F.min("text").alias("text"))  # at most ``limit`` labels are broadcast
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [encode(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"features": pa.array(found, pa.binary()), **{c: batch.column(c) for c in ("doc_id", *columns)}})
+
+    kinds = dict(rows.dtypes)
+    schema = "features binary, " + ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *columns))
+    return sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: r.doc_id)

@@ -11,8 +11,9 @@ Words are runs of bytes other than ASCII white space, in their own case.
 
 Cases: a null or empty text has no features and scores as the layer's bias;
 with labels of one kind only, or none, every score is that kind's rate (0.5
-without any); rows with equal ids are scored one by one; rows with a null
-doc_id are scored and not held out.
+without any); rows with equal ids are scored one by one, and the least of their
+texts is trained on; rows with a null doc_id are scored and not held out; a text
+of any length is scored whole; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -61,12 +62,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return used, (total[used] / total.sum()).astype(np.float32)
 
 
-def train(texts: list[str | None], y: np.ndarray, seed: int = 0) -> Model:
+def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 0) -> Model:
+    """A model from the features of texts and their labels."""
     n, n_pos = len(y), int(y.sum()) if len(y) else 0
     if n_pos in (0, n):
         rate = n_pos / n if n else 0.5
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
-    docs = [features(t) for t in texts]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
@@ -122,8 +123,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
-    rows = labelled_sample(docs, labels, ["quality"], limit)
-    return train([r.text for r in rows], np.array([float(r.quality == 1) for r in rows]))
+    def encode(text: str | None) -> bytes:
+        used, share = features(text)
+        return used.astype("<u4").tobytes() + share.astype("<f4").tobytes()
+
+    def decode(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        half = len(raw) // 2
+        return np.frombuffer(raw[:half], "<u4").astype(np.int64), np.frombuffer(raw[half:], "<f4")
+
+    rows = labelled_sample(docs, labels, ["quality"], limit, encode)
+    return train([decode(bytes(r.features)) for r in rows], np.array([float(r.quality == 1) for r in rows]))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

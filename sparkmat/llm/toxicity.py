@@ -15,8 +15,9 @@ The query's chain is made of the categories that ``labels`` has: low quality
 
 Cases: a null or empty text has no features and gets the models' base rates; a
 category without examples of either kind has the constant probability of its
-rate (0 without any rows); rows with equal ids are scored one by one; labels
-with nulls aren't used.
+rate (0 without any rows); rows with equal ids are scored one by one, and the
+least of their texts is trained on; labels with nulls aren't used; a text of any
+length is scored whole; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -100,9 +101,8 @@ class Chain:
     threshold: float
 
 
-def train_chain(texts: list[str | None], labels: dict[str, np.ndarray]) -> Chain:
-    """A chain in the order of ``labels`` (category to 0/1 by text)."""
-    rows = [features(t) for t in texts]
+def train_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray]) -> Chain:
+    """A chain in the order of ``labels`` (category to 0/1 by row) from the features of texts."""
     n = len(rows)
     fold = np.random.default_rng(1).permutation(n) % FOLDS
     earlier = np.zeros((n, 0))
@@ -161,8 +161,8 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
-    rows = labelled_sample(docs, labels, ["quality", "toxic"], limit)
-    return train_chain([r.text for r in rows], {
+    rows = labelled_sample(docs, labels, ["quality", "toxic"], limit, lambda text: features(text).astype("<u4").tobytes())
+    return train_chain([np.frombuffer(r.features, "<u4").astype(np.int64) for r in rows], {
         "low_quality": np.array([float(r.quality == 0) for r in rows]),
         "toxic": np.array([float(r.toxic == 1) for r in rows]),
     })

@@ -322,6 +322,14 @@ def test_near_duplicates(spark, docs, texts, none, monkeypatch):
     assert neardup.near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_with_one_id_for_two_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (5, a), (3, a + " more"), (4, "some " + b), (7, a), (8, b)]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, h string, component_id int")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect())
+    assert got == Counter([(5, 3, False), (5, 4, False), (5, 3, False), (3, 3, True), (4, 4, True), (7, 3, False), (8, 4, False)])
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     for overlap in (0.3, 0.6, 0.9):
@@ -345,11 +353,18 @@ def test_toxicity(spark, none):
             own[5], own[30] = rng.choice(["vileness", "vilest", "scumbag"]), "vileword"
         texts.append(" ".join(own))
     quality_low = np.array([float(k % 7 == 0) for k in range(500)])
-    chain = toxicity.train_chain(texts, {"low_quality": quality_low, "toxic": np.array(toxic)})
-    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(900, None), (901, ""), (None, texts[0])], "doc_id long, text string")
-    got = {r.doc_id: r.flagged for r in toxicity.score_documents(frame, chain).collect()}
+    chain = toxicity.train_chain([toxicity.features(t) for t in texts], {"low_quality": quality_low, "toxic": np.array(toxic)})
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(900, None), (901, ""), (None, texts[0]), (902, " ".join(texts) * 20), (903, texts[1]), (903, texts[0])], "doc_id long, text string")
+    clashing = frame.withColumns({"flagged": frame.text, "p_toxic": frame.text})
+    rows = toxicity.score_documents(clashing, chain).collect()
+    got = {r.doc_id: r.flagged for r in rows}
+    assert got[902] and sorted(r.flagged for r in rows if r.doc_id == 903) == [False, True]
     assert np.mean([got[k] == bool(toxic[k]) for k in range(500)]) > 0.98
     assert got[None] and not got[900] and not got[901]
+    labels = spark.createDataFrame([(k, 1, int(toxic[k]), "x") for k in range(500)] + [(903, 1, 1, "x"), (None, 1, 1, "x"), (904, None, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    fitted = toxicity.fit(clashing.unionByName(clashing), labels)  # repeated ids are trained on once
+    once = toxicity.fit(frame, labels)
+    assert fitted.threshold == once.threshold and all((x.weights == y.weights).all() for x, y in zip(fitted.links, once.links, strict=True))
     empty = toxicity.fit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert not any(r.flagged for r in toxicity.score_documents(frame, empty).collect())
     assert toxicity.score_documents(none, chain).collect() == []
@@ -359,9 +374,13 @@ def test_subword_scores_agree(spark, none):
     rng = random.Random(4)
     good = [" ".join(rng.choices(["plain", "prose", "reads", "well", "enough"], k=40)) for _ in range(120)]
     bad = [" ".join(w + "***" for w in rng.choices(["junk", "noise", "spam"], k=40)) for _ in range(120)]
-    model = subword.train(good + bad, np.array([1.0] * 120 + [0.0] * 120))
-    rows = [(0, good[0]), (1, bad[0]), (2, None), (3, ""), (4, "one"), (5, good[1] + " " + bad[1])]
-    got = {r.doc_id: r.score for r in subword.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    model = subword.train([subword.features(t) for t in good + bad], np.array([1.0] * 120 + [0.0] * 120))
+    rows = [(0, good[0]), (1, bad[0]), (2, None), (3, ""), (4, "one"), (5, good[1] + " " + bad[1]), (6, " ".join(good + bad) * 10), (None, "plain")]
+    frame = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in subword.score_documents(frame, model).collect()}
+    labels = spark.createDataFrame([(0, 1), (1, 0), (5, 1), (5, 1), (6, None)], "doc_id long, quality int")
+    once, twice = (subword.fit(f, labels) for f in (frame, frame.unionByName(frame)))
+    assert once.bias == twice.bias and (once.outputs == twice.outputs).all()
     for i, text in rows:
         used, share = subword.features(text)
         assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.bias + (model.outputs[used] * share).sum()))), abs=1e-4)
