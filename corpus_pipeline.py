@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmat.llm import bpe, decontam, linededup, neardup, quality
-from sparkmat.llm.common import table, write_table
+from sparkmat.llm.common import drop_tables, scratch, table, write_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        before = docs
+        with scratch() as keep:  # a stage's own tables go with it, its predecessor's output once it is written
+            docs = keep(write_table(stage(spark, docs, sf_dir), name.replace(" ", "_")))
+        drop_tables(before)
     return STAGES[-1][1](spark, docs, sf_dir)
