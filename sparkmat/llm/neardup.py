@@ -172,14 +172,15 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _with_texts(rows: DataFrame, cid: str, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rows`` with the digest ``h`` of their class ``cid`` and ``text``; where several texts have the representative's doc_id, a row for each (equal ones once), of which those of another digest are to be passed over."""
-    reps = write_table(rows.select(F.col(cid).alias("cid")).distinct().join(classes.select("cid", "rep", "h"), "cid"), "reps")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps.select("rep").distinct(), "rep", "left_semi").groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    return rows.drop("h").join(reps.select(F.col("cid").alias(cid), "rep", "h"), cid).join(texts, "rep").drop("rep")
+def _texts(reps: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(rep, text) of the doc_ids in ``reps``; of ids in ``repeated`` a row for each different text, of which only that of the class's digest counts."""
+    ids = write_table(reps.select("rep").distinct(), "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
+    often = texts.join(repeated, "rep", "left_semi").groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text")).select("rep", "text")
+    return texts.join(repeated, "rep", "left_anti").unionByName(often)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, repeated: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are linked, from (a, b, n).
 
     The members b of a leader a come in groups of about GROUP members and
@@ -196,7 +197,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
         out = sorted(i for i, own in sets.items() if linked(lead, own))
         return pd.DataFrame({"a": [key[0]] * len(out), "b": out}, dtype="int64")
 
-    return _with_texts(wanted, "id", docs, classes).groupBy("a", "part").applyInPandas(verify, "a long, b long")
+    wanted = write_table(wanted.join(classes.select(F.col("cid").alias("id"), "rep", "h"), "id"), "wanted")
+    return wanted.join(_texts(wanted, docs, repeated), "rep").select("a", "part", "id", "h", "text").groupBy("a", "part").applyInPandas(verify, "a long, b long")
 
 
 class _Block:
@@ -250,7 +252,7 @@ class _Block:
                     yield int(min(self.cid[x], self.cid[k])), int(max(self.cid[x], self.cid[k]))
 
 
-def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Links (a, b) between members (cid, key, band) of one bucket that lie in different components.
 
     A bucket is cut by size: a member of size class t (a factor of 4/3 each)
@@ -263,14 +265,14 @@ def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
     named = write_table(_labelled(members, labels, "cid", "component"), "members")
     mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key")
     size = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / PERCENT))).alias("size")
-    rows = named.join(mixed, "key", "left_semi").join(classes.select("cid", "n_shingles", "registers", "h", size), "cid")
+    rows = named.join(mixed, "key", "left_semi").join(classes.select("cid", "rep", "n_shingles", "registers", "h", size), "cid")
     rows = write_table(rows.withColumn("t", F.explode(F.array("size", F.col("size") - 1))), "members")
     counts = rows.groupBy("key", "t").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(n_shingles) div {BLOCK_SHINGLES})").alias("blocks")).where("_c < _d")
     dealt = (
         rows.join(counts.select("key", "t", "blocks"), ["key", "t"])
         .withColumn("block", F.expr("pmod(xxhash64(cid), blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "cid", "component", "size", "n_shingles", "registers", "h")
+        .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "cid", "rep", "component", "size", "n_shingles", "registers", "h")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +293,7 @@ def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     involved = write_table(dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, dealt.schema), "involved")
-    together = _with_texts(involved, "cid", docs, classes).repartition(*names).sortWithinPartitions(*names)
+    together = involved.join(_texts(involved, docs, repeated), "rep").repartition(*names).sortWithinPartitions(*names)
     return write_table(together.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
@@ -343,15 +345,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = "h IS NOT NULL AND doc_id IS NOT NULL"
     classes = sketches.where(whole).groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
     classes = write_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # the numbers hold from here on
+    repeated = write_table(sketches.where(whole).groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("n")).where("n > 1").select("rep"), "repeated")
     bands = _bands(classes)
     leaders = bands.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("_last")).where("a < _last").drop("_last")
     members = bands.join(leaders, "key").where("cid <> a")
     pairs = write_table(members.select("a", F.col("cid").alias("b")).distinct(), "pairs")
-    links = write_table(_confirmed(write_table(_plausible(pairs, classes), "pairs"), docs, classes), "links")
+    links = write_table(_confirmed(write_table(_plausible(pairs, classes), "pairs"), docs, repeated, classes), "links")
     labels = components(links)
 
     # what lies in one bucket but in different components
-    more = _crossed(bands.join(leaders.select("key"), "key", "left_semi"), labels, classes, docs)
+    more = _crossed(bands.join(leaders.select("key"), "key", "left_semi"), labels, classes, docs, repeated)
     labels = components(links.unionByName(more))
 
     of_class = _labelled(classes.select("h", "rep", "cid"), labels, "cid", "_component")
