@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm.common import table
+from sparkmat.llm.common import table, write_table
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 ORDER = 4
@@ -196,7 +196,7 @@ def score_urls(rows: DataFrame, model: UrlModel) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, url, host, path, rule, verdict and score of every page (page_id, url)."""
-    ruled = split_and_rule(pages, rules)
+    ruled = write_table(split_and_rule(pages, rules), "ruled")  # read by the fit, its calibration and the scores
     model = fit(ruled)
     judged = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
     return score_urls(ruled, model).withColumn("verdict", F.coalesce("verdict", judged))
