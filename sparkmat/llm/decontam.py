@@ -282,7 +282,7 @@ def _matches(n_words: np.ndarray, lists: tuple, block: dict, near: int) -> tuple
             edge -= np.bincount(at + windows.shape[1], minlength=length + 1)[: length + 1]
             doc = np.searchsorted(begin, at, "right") - 1
             pairs.append(np.unique(doc * n_items + item[own]))
-        close += [np.unique(doc * n_items + item[own]) for own, doc in _near(lists, windows, near, begin, n_words)]
+        close += [] if not near else [np.unique(doc * n_items + item[own]) for own, doc in _near(lists, windows, near, begin, n_words)]
     return np.cumsum(edge)[:length] > 0, begin, np.unique(np.concatenate(pairs)), np.unique(np.concatenate(close))
 
 
@@ -365,7 +365,7 @@ def find_contamination(index: DataFrame, benchmark: DataFrame, window: int = WIN
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the
     merged hit ``spans`` (in words) and the sorted ``items`` of exact matches;
     n_near and ``near`` are the items with a window whose words stand within
-    ``near`` consecutive words.
+    ``near`` consecutive words (0: none are looked for).
     """
     rounds = _in_rounds(index, benchmark, window, lambda index, held: _scan(index, held, near), "found")
     found = rounds[0]
