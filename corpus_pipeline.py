@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(decontam.build_index(docs), table(spark, sf_dir, "benchmark"))
+    found = decontam.find_contamination(decontam.build_index(docs), table(spark, sf_dir, "benchmark"), near=0)
     gone = write_table(found.where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
