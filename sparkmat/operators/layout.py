@@ -47,6 +47,39 @@ def counts_of_pointers(ptr: DataFrame, axis: str = "i") -> DataFrame:
     return ptr.join(before, axis, "left").select(axis, (F.col("ptr") - F.coalesce("_b", F.lit(0))).alias("n"))
 
 
+def check_pointers(ptr: DataFrame, nnz: int, axis: str = "i") -> DataFrame:
+    """One row about end pointers (axis, ptr): how many, those below the one before or below 0, and whether the last is ``nnz``."""
+    before = ptr.select((F.col(axis) + 1).alias(axis), F.col("ptr").alias("_b"))
+    return ptr.join(before, axis, "left").agg(
+        F.count("*").alias("n_ptr"),
+        F.count_if(F.col("ptr") < F.coalesce("_b", F.lit(0))).alias("n_decreasing"),
+        F.coalesce(F.max_by("ptr", axis) == nnz, F.lit(nnz == 0)).alias("ends_at_nnz"),
+    )
+
+
+def owners(ptr: DataFrame, positions: DataFrame, axis: str = "i", block: int = 4096) -> DataFrame:
+    """(pos, axis): the row or column whose segment holds each position, from end pointers; positions outside have no row.
+
+    Segments and positions meet by blocks of positions, an equi-join; a segment
+    is in as many blocks as it spans.
+    """
+    before = ptr.select((F.col(axis) + 1).alias(axis), F.col("ptr").alias("_b"))
+    held = ptr.join(before, axis, "left").select(axis, F.coalesce("_b", F.lit(0)).alias("_b"), F.col("ptr").alias("_e")).where("_b < _e")
+    spanned = held.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_b") / F.lit(block)), F.floor((F.col("_e") - 1) / F.lit(block)))))
+    asked = positions.select("pos", F.floor(F.col("pos") / F.lit(block)).alias("_block"))
+    return asked.join(spanned, "_block").where("pos >= _b AND pos < _e").select("pos", axis)
+
+
+def element_range(a: SparseMatrix, first: int, end: int) -> SparseMatrix:
+    """The entries with places first .. end - 1 (from 0) in the order of rows and columns."""
+    return a.with_df(ranked(a.df, ["i", "j"], "_n").where((F.col("_n") > first) & (F.col("_n") <= end)))
+
+
+def row_blocks(a: SparseMatrix, blocks: int) -> DataFrame:
+    """(block, n_rows, nnz): rows dealt to blocks by the remainder of their index, as a 1D layout does."""
+    return a.df.groupBy((F.col("i") % blocks).alias("block")).agg(F.count_distinct("i").alias("n_rows"), F.count("*").alias("nnz"))
+
+
 def exclusive_pointers(a: SparseMatrix, axis: str = "i") -> DataFrame:
     """(axis, ptr): where each row or column begins."""
     return running_sum(axis_counts(a, axis), [axis], "n", "ptr").select(axis, (F.col("ptr") - F.col("n")).alias("ptr"))

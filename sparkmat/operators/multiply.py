@@ -3,13 +3,13 @@
 All strategies give the same matrix and differ in how rows meet:
 
 * ``shuffle``    both sides are hash-partitioned on the contraction index;
-* ``broadcast``  B goes to every executor, if its entries are at most BROADCAST_NNZ;
+* ``broadcast``  B is written once and goes to every executor, if its entries are at most BROADCAST_NNZ;
 * ``semijoin``   each side is first reduced to contraction indices the other has;
 * ``summa``      2D tiles: A's tiles are replicated along tile columns, B's along tile rows;
-* ``hier``       2D tiles with A's tile rows cut into slices, as a join on (tile, index);
+* ``hier``       2D-1D: B's tiles stay where they are, A's rows, in slices, go to each tile column;
 * ``row1d``      the result's rows are dealt first, then joined with the rows of B they need;
 * ``salted``     each contraction index is split into ``slices`` parts, for very frequent ones;
-* ``auto``       ``broadcast`` where B is small enough, else ``shuffle`` (adaptive execution splits skewed joins).
+* ``auto``       a plain join: adaptive execution sends a side that turns out small to all, else splits skewed keys.
 
 Sums are aggregated partially before the second shuffle.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmat.matrix import SparseMatrix
+from sparkmat.shared import write_table
 
 #: Entries of 24 bytes that are sent to every executor at most.
 BROADCAST_NNZ = 1_000_000
@@ -50,7 +51,10 @@ def spgemm(a: SparseMatrix, b: SparseMatrix, strategy: str = "auto", grid: int =
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}")
     left, right = _sides(a, b)
-    if strategy in ("auto", "broadcast"):
+    if strategy == "auto":
+        joined = left.join(right, "k")
+    elif strategy == "broadcast":
+        right = write_table(right, "operand")  # counted and sent without being computed twice
         joined = left.join(F.broadcast(right) if is_small(right) else right, "k")
     elif strategy == "shuffle":
         joined = left.hint("merge").join(right, "k")
@@ -69,20 +73,29 @@ def spgemm(a: SparseMatrix, b: SparseMatrix, strategy: str = "auto", grid: int =
         h = math.ceil(max(a.nrows, a.ncols, b.ncols, 1) / (grid * slices))
         w = h * slices
         tile = lambda column: F.floor(F.col(column) / F.lit(w))
-        left = left.withColumns({"r": tile("i"), "s": F.floor(F.col("i") / F.lit(h)) % slices, "t": tile("k")})
-        right = right.withColumns({"t": tile("k"), "c": tile("j")})
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
         if strategy == "summa":
-            tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long")))
-            left = left.withColumn("c", tiles)
-            right = right.withColumn("r", tiles)
-            joined = left.join(right, ["r", "c", "t", "k"])
-        else:
-            joined = left.join(right, ["t", "k"])
-        keys = ["r", "c", "s", "i", "j"]
-        return SparseMatrix(joined.groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("v")).select("i", "j", "v"), a.nrows, b.ncols)
+            left = left.withColumn("r", tile("i")).withColumn("c", every(grid))
+            right = right.withColumn("c", tile("j")).withColumn("r", every(grid))
+            joined = left.join(right, ["r", "c", "k"])
+        else:  # the slices of a tile column share its tile of B
+            left = left.withColumn("s", F.floor(F.col("i") / F.lit(h))).withColumn("c", every(grid))
+            right = right.withColumn("c", tile("j"))
+            joined = left.join(right, ["c", "k"])
     return SparseMatrix(_summed(joined).select("i", "j", "v"), a.nrows, b.ncols)
 
 
+def spgemm_chunked(a: SparseMatrix, b: SparseMatrix, chunks: int, strategy: str = "auto") -> SparseMatrix:
+    """C = A B for a shuffle that must stay small: A's rows in ``chunks`` blocks, one product after another, each written into the shared folder."""
+    h = max(1, math.ceil(a.nrows / chunks))
+    right = b.with_df(write_table(b.df, "operand"))
+    parts = [write_table(spgemm(a.with_df(a.df.where((F.col("i") >= k * h) & (F.col("i") < (k + 1) * h))), right, strategy).df, "chunk") for k in range(chunks)]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    return SparseMatrix(df, a.nrows, b.ncols)
+
+
 def fused_multiply_add(c: SparseMatrix | None, a: SparseMatrix, b: SparseMatrix, strategy: str = "auto") -> SparseMatrix:
     """C + A B; None for C is the empty matrix."""
     from sparkmat.operators.algebra import add

@@ -2,21 +2,27 @@
 
 Base matrices: S supplier x part, O part x order, CP customer x part (sums of
 quantities; O counts), NT customer x supplier nations (dense), G a square one
-of 40 x 40, E transitions between event types.
+(supplier x part modulo the number of suppliers), U hour x user (counts of
+events), CS customer x supplier nation, E transitions between event types.
+All are made of whole tables and grow with them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkmat.functions.text import parse_size
 from sparkmat.matrix import SparseMatrix
 from sparkmat.operators import algebra, incremental, layout, loganalytics, multiply
 from sparkmat.plans.mcl import mcl, trace
-from sparkmat.shared import write_table
-from sparkmat.sources import generators
+from sparkmat.shared import shared_dir, write_table
+from sparkmat.sources import generators, logs
+from sparkmat.sources.catalog import MATRICES, matrices, read_benchmark_csv, write_benchmark_csv
+from sparkmat.sources.matrix_market import read_mtx, write_mtx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,8 +71,20 @@ def nation_trade(spark, sf):
 
 
 def square(spark, sf):
-    df = load(spark, sf, "lineitem").where("l_orderkey % 97 = 0").groupBy((F.col("l_suppkey") % 40).alias("i"), (F.col("l_partkey") % 40).alias("j")).agg(F.sum("l_quantity").alias("v"))
-    return SparseMatrix.of(df, 40, 40)
+    n = load(spark, sf, "supplier").count()
+    df = load(spark, sf, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % n).alias("j")).agg(F.sum("l_quantity").alias("v"))
+    return SparseMatrix.of(df, n, n, "l_suppkey", "j")
+
+
+def hour_user(spark, sf):
+    df = load(spark, sf, "events").groupBy(F.hour("ts").alias("i"), "user_id").agg(F.count("*").alias("v"))
+    return SparseMatrix.of(df, 24, load(spark, sf, "customer").count(), "i", "user_id")
+
+
+def customer_nation(spark, sf):
+    lines, orders, suppliers = (load(spark, sf, t) for t in ("lineitem", "orders", "supplier"))
+    df = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(suppliers, lines.l_suppkey == suppliers.s_suppkey).groupBy("o_custkey", "s_nationkey").agg(F.sum("l_quantity").alias("v"))
+    return SparseMatrix.of(df, load(spark, sf, "customer").count(), 25, "o_custkey", "s_nationkey")
 
 
 def event_transitions(spark, sf):
@@ -84,7 +102,11 @@ O = "o AS (SELECT l_partkey AS i, l_orderkey AS j, count(*)::DOUBLE AS v FROM li
 CP = "cp AS (SELECT o_custkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 NT = """nt AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
-G = "g AS (SELECT l_suppkey % 40 AS i, l_partkey % 40 AS j, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1, 2)"
+N = "(SELECT count(*) FROM supplier)"
+G = f"g AS (SELECT l_suppkey AS i, l_partkey % {N} AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+U = "u AS (SELECT hour(ts)::BIGINT AS i, user_id AS j, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2)"
+CS = """cs AS (SELECT o_custkey AS i, s_nationkey::BIGINT AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 
 
 def product_sql(a: str, b: str, left="i, j", right="i, j") -> str:
@@ -210,28 +232,29 @@ def inflate(spark, sf):
     return algebra.inflate(nation_trade(spark, sf)).df.withColumn("v", F.round("v", 9))
 
 
-@query("prune", f"WITH {G} SELECT i, j, v FROM g WHERE abs(v) > 25")
+@query("prune", f"WITH {G} SELECT i, j, v FROM g WHERE abs(v) > 150")
 def prune(spark, sf):
-    return algebra.prune(square(spark, sf), 25.0).df
+    return algebra.prune(square(spark, sf), 150.0).df
 
 
-@query("self_loops", f"WITH {G} SELECT i, j, v FROM g WHERE i <> j UNION ALL SELECT range AS i, range AS j, 1.0::DOUBLE AS v FROM range(40)")
+@query("self_loops", f"WITH {G} SELECT i, j, v FROM g WHERE i <> j UNION ALL SELECT k AS i, k AS j, 1.0::DOUBLE AS v FROM (SELECT unnest(range({N})) AS k)")
 def self_loops(spark, sf):
     return algebra.set_self_loops(square(spark, sf)).df
 
 
-@query("permute_symmetric", f"WITH {G} SELECT (i * 7 + 3) % 40 AS i, (j * 7 + 3) % 40 AS j, v FROM g")
+@query("permute_symmetric", f"WITH {G} SELECT (i * 7 + 3) % {N} AS i, (j * 7 + 3) % {N} AS j, v FROM g")
 def permute_symmetric(spark, sf):
-    p = algebra.arithmetic_permutation(40, 7, 3, spark)
-    return algebra.permute(square(spark, sf), p, p).df
+    g = square(spark, sf)
+    p = algebra.arithmetic_permutation(g.nrows, 7, 3, spark)
+    return algebra.permute(g, p, p).df
 
 
 @query("permute_roundtrip", f"WITH {G} {product_sql('g', 'g')}")
 def permute_roundtrip(spark, sf):
     """The square of the permuted matrix, permuted back."""
-    p = algebra.random_permutation(40, 1, spark)
-    p = write_table(p, "permutation")
-    g = algebra.permute(square(spark, sf), p, p)
+    g = square(spark, sf)
+    p = write_table(algebra.random_permutation(g.nrows, 1, spark), "permutation")
+    g = algebra.permute(g, p, p)
     return algebra.permute(multiply.spgemm(g, g), algebra.inverse(p), algebra.inverse(p)).df
 
 
@@ -273,12 +296,12 @@ def row_ranks(spark, sf):
     return layout.ranked(square(spark, sf).df, ["i", "j"], "rank")
 
 
-@query("tile_index", f"WITH {G} SELECT i, j, v, i // 10 // 2 AS tile_r, i // 10 % 2 AS slice, j // 20 AS tile_c, i % 10 AS local_i, j % 20 AS local_j FROM g")
+@query("tile_index", f"WITH {G}, d AS (SELECT ({N} + 3) // 4 AS h, ({N} + 1) // 2 AS w) SELECT i, j, v, i // h // 2 AS tile_r, i // h % 2 AS slice, j // w AS tile_c, i % h AS local_i, j % w AS local_j FROM g, d")
 def tile_index(spark, sf):
     return layout.tiles(square(spark, sf), 2, 2, 2)
 
 
-@query("tile_nnz_balance", f"""WITH {G}, t AS (SELECT i // 10 AS a, j // 20 AS b, count(*) AS n FROM g GROUP BY 1, 2)
+@query("tile_nnz_balance", f"""WITH {G}, t AS (SELECT i // (({N} + 3) // 4) AS a, j // (({N} + 1) // 2) AS b, count(*) AS n FROM g GROUP BY 1, 2)
 SELECT count(*) AS n_tiles, max(n) AS max_nnz, sum(n)::BIGINT AS total_nnz, max(n) * 8 / sum(n)::DOUBLE AS imbalance FROM t""")
 def tile_nnz_balance(spark, sf):
     return layout.tile_balance(square(spark, sf), 2, 2, 2)
@@ -313,29 +336,27 @@ def packed_bitmask(spark, sf):
     return layout.packed_mask(layout.nonempty(square(spark, sf), "j"))
 
 
-@query("mask_intersection", f"""WITH {G}, a AS (SELECT DISTINCT j AS k FROM g WHERE i % 4 = 0), b AS (SELECT DISTINCT i AS k FROM g WHERE j % 4 = 1), c AS (SELECT k FROM a INTERSECT SELECT k FROM b)
+@query("mask_intersection", f"""WITH {U}, {CS}, c AS (SELECT DISTINCT j AS k FROM u INTERSECT SELECT DISTINCT i AS k FROM cs)
 SELECT k // 8 AS word, bit_or(1 << (k % 8)::INT)::BIGINT AS mask FROM c GROUP BY 1""")
 def mask_intersection(spark, sf):
-    g = square(spark, sf)
-    a, b = g.with_df(g.df.where("i % 4 = 0")), g.with_df(g.df.where("j % 4 = 1"))
-    return layout.masks_intersected(layout.packed_mask(layout.nonempty(a, "j")), layout.packed_mask(layout.nonempty(b, "i")))
+    u, cs = hour_user(spark, sf), customer_nation(spark, sf)
+    return layout.masks_intersected(layout.packed_mask(layout.nonempty(u, "j")), layout.packed_mask(layout.nonempty(cs, "i")))
 
 
-@query("compress_a", f"WITH {G} SELECT i, j, v FROM g WHERE i % 4 = 0 AND j IN (SELECT i FROM g WHERE j % 4 = 1)")
+@query("compress_a", f"WITH {U}, {CS} SELECT j AS i, i AS j, v FROM cs WHERE i IN (SELECT j FROM u)")
 def compress_a(spark, sf):
-    g = square(spark, sf)
-    return layout.reduced_operands(g.with_df(g.df.where("i % 4 = 0")), g.with_df(g.df.where("j % 4 = 1")))[0].df
+    """Of nations x customers only the customers that are users meet something in users x hours."""
+    return layout.reduced_operands(customer_nation(spark, sf).T, hour_user(spark, sf).T)[0].df
 
 
-@query("compress_b", f"WITH {G} SELECT i, j, v FROM g WHERE j % 4 = 1 AND i IN (SELECT j FROM g WHERE i % 4 = 0)")
+@query("compress_b", f"WITH {U}, {CS} SELECT i, j, v FROM cs WHERE i IN (SELECT j FROM u)")
 def compress_b(spark, sf):
-    g = square(spark, sf)
-    return layout.reduced_operands(g.with_df(g.df.where("i % 4 = 0")), g.with_df(g.df.where("j % 4 = 1")))[1].df
+    return layout.reduced_operands(hour_user(spark, sf), customer_nation(spark, sf))[1].df
 
 
-@query("densify", f"WITH {G} SELECT i, " + ", ".join(f'coalesce(sum(v) FILTER (WHERE j = {k}), 0) AS "{k}"' for k in range(40)) + " FROM g GROUP BY i")
+@query("densify", f"WITH {CS} SELECT i, " + ", ".join(f'coalesce(sum(v) FILTER (WHERE j = {k}), 0) AS "{k}"' for k in range(25)) + " FROM cs GROUP BY i")
 def densify(spark, sf):
-    return square(spark, sf).df.groupBy("i").pivot("j", list(range(40))).agg(F.sum("v")).fillna(0.0)
+    return customer_nation(spark, sf).df.groupBy("i").pivot("j", list(range(25))).agg(F.sum("v")).fillna(0.0)
 
 
 @query("matrix_checksum", f"""WITH {S}, t AS (SELECT ((xor(xor(i << 40, j << 16), CAST(CAST(CAST(v AS FLOAT) AS BIT) AS INTEGER)::BIGINT))::HUGEINT * {layout.CHECKSUM_FACTOR}) % 18446744073709551616 AS t FROM s)
@@ -452,37 +473,67 @@ def mcl_nnz_trace(spark, sf):
 
 # --- incremental updates --------------------------------------------------------------------------
 
-SPLIT = f"""{G}, r AS (SELECT *, row_number() OVER (ORDER BY (i * 7919 + j * 104729 + 1) % 1000003, i, j) AS n FROM g),
-u AS (SELECT i, j, v, CASE WHEN (n - 1) // 30 < 4 THEN (n - 1) // 30 ELSE -1 END AS batch FROM r)"""
+SPLIT = f"""{G}, z AS (SELECT greatest(1, floor(count(*) * 5 / 100.0 + 0.5))::BIGINT AS size FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY (i * 7919 + j * 104729 + 1) % 1000003, i, j) AS n FROM g),
+u AS (SELECT i, j, v, CASE WHEN (n - 1) // size < 4 THEN (n - 1) // size ELSE -1 END AS batch FROM r, z)"""
+
+
+def percent(m: SparseMatrix, size: str = "5%") -> int:
+    return parse_size(size, m.nnz())
 
 
 @query("inc_split", f"WITH {SPLIT} SELECT i, j, v, batch FROM u")
 def inc_split(spark, sf):
-    return incremental.disjoint_updates(square(spark, sf), 4, 30)
+    g = square(spark, sf)
+    return incremental.disjoint_updates(g, 4, percent(g))
 
 
-@query("inc_apply", f"WITH {SPLIT} SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM u WHERE batch <= 0 UNION ALL SELECT i, j, v FROM g WHERE i < 10) GROUP BY 1, 2")
+@query("inc_apply", f"WITH {SPLIT} SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM u WHERE batch <= 0 UNION ALL SELECT j AS i, i AS j, v FROM g) GROUP BY 1, 2")
 def inc_apply(spark, sf):
     g = square(spark, sf)
-    u = incremental.disjoint_updates(g, 4, 30)
+    u = incremental.disjoint_updates(g, 4, percent(g))
     base = incremental.apply_update(g.with_df(u.where("batch = -1")), g.with_df(u.where("batch = 0")))
-    return incremental.apply_update(base, g.with_df(g.df.where("i < 10"))).df
+    return incremental.apply_update(base, g.T).df
 
 
-@query("inc_batches_nnz", f"""WITH {SPLIT}, b AS (SELECT range AS k FROM range(4)), m AS (SELECT k, i, j, v FROM u, b WHERE batch <= k),
+@query("inc_last_wins", f"""WITH {G}, b AS (SELECT l_suppkey AS i, l_partkey % {N} AS j, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+SELECT i, j, sum(v) AS v FROM (SELECT * FROM b UNION ALL SELECT j AS i, i AS j, v FROM g) GROUP BY 1, 2""")
+def inc_last_wins(spark, sf):
+    """A base of lines with repeated keys, of which the last line's quantity counts, and an update."""
+    g = square(spark, sf)
+    lines = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % g.ncols).alias("j"), F.col("l_quantity").alias("v"), "l_orderkey", "l_linenumber")
+    return incremental.apply_update(g.with_df(incremental.last_wins(lines, ["l_orderkey", "l_linenumber", "v"])), g.T).df
+
+
+BATCHES = f"""WITH {SPLIT}, b AS (SELECT range AS k FROM range(4)), m AS (SELECT k, i, j, v FROM u, b WHERE batch <= k),
 c AS (SELECT DISTINCT x.k, x.i, y.j FROM m x JOIN m y ON x.k = y.k AND x.j = y.i)
-SELECT k AS batch_idx, (SELECT count(*) FROM m WHERE m.k = b.k) AS nnz_a, (SELECT count(*) FROM c WHERE c.k = b.k) AS nnz_c FROM b""")
-def inc_batches_nnz(spark, sf):
+SELECT k AS batch_idx, (SELECT count(*) FROM m WHERE m.k = b.k) AS nnz_a, (SELECT count(*) FROM c WHERE c.k = b.k) AS nnz_c FROM b"""
+RECORD = "batch_idx long, is_warmup int, update_size long, nnz_a_global long, nnz_b_global long, nnz_c_global long, spgemm_ms double, csum_a_global string, csum_b_global string"
+
+
+def batch_records(spark, sf) -> DataFrame:
     g = square(spark, sf)
-    rows = [(r["batch_idx"], r["nnz_a_global"], r["nnz_c_global"]) for r in incremental.run_batches(g, g, 4, 30)]
-    return spark.createDataFrame(rows, "batch_idx long, nnz_a long, nnz_c long")
+    return spark.createDataFrame(list(incremental.run_batches(g, g, 4, percent(g), warmup=1)), RECORD)  # a row for each batch
+
+
+@query("inc_batches_nnz", BATCHES)
+def inc_batches_nnz(spark, sf):
+    return batch_records(spark, sf).select("batch_idx", F.col("nnz_a_global").alias("nnz_a"), F.col("nnz_c_global").alias("nnz_c"))
+
+
+@query("inc_batches_csv", f"SELECT batch_idx, (batch_idx < 1)::INT AS is_warmup, nnz_a, nnz_c, true AS timed FROM ({BATCHES})")
+def inc_batches_csv(spark, sf):
+    """The record of each batch, written as CSV and read again."""
+    path = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    write_benchmark_csv(batch_records(spark, sf), path)
+    return read_benchmark_csv(spark, path, RECORD).select("batch_idx", "is_warmup", F.col("nnz_a_global").alias("nnz_a"), F.col("nnz_c_global").alias("nnz_c"), (F.col("spgemm_ms") > 0).alias("timed"))
 
 
 @query("inc_delta_equals_full", f"WITH {G} {product_sql('g', 'g')}")
 def inc_delta_equals_full(spark, sf):
     """G G from the product of a part of G and the rest of it as an update."""
     g = square(spark, sf)
-    u = write_table(incremental.disjoint_updates(g, 1, 100), "updates")
+    u = write_table(incremental.disjoint_updates(g, 1, percent(g)), "updates")
     a, d = g.with_df(u.where("batch = -1")), g.with_df(u.where("batch = 0"))
     return incremental.delta_product(a, d, a, d, multiply.spgemm(a, a)).df
 
@@ -499,7 +550,7 @@ def hamilton_alloc(spark, sf):
 
 # --- benchmark times, from events -----------------------------------------------------------------
 
-METRICS = """m AS (SELECT user_id % 8 AS rank, event_id % 6 AS round, event_type AS phase, value AS ms,
+METRICS = """m AS (SELECT event_id, user_id % 8 AS rank, event_id % 6 AS round, event_type AS phase, value AS ms,
   CASE user_id % 4 WHEN 0 THEN 'archaea' WHEN 1 THEN 'eukarya' WHEN 2 THEN 'mouse_gene' ELSE 'ldoor' END AS matrix,
   CASE event_id % 3 WHEN 0 THEN 'async' WHEN 1 THEN 'summa' ELSE 'workstealing' END AS impl,
   CASE event_id % 4 WHEN 0 THEN 16 WHEN 1 THEN 64 ELSE 256 END AS ngpus,
@@ -512,7 +563,7 @@ def metrics(spark, sf) -> DataFrame:
     pick = lambda key, first, second, other, third=None: F.when(key == 0, first).when(key == 1, second).otherwise(other) if third is None else F.when(key == 0, first).when(key == 1, second).when(key == 2, other).otherwise(third)
     e, u = F.col("event_id"), F.col("user_id")
     return load(spark, sf, "events").where("value > 0").select(
-        (u % 8).alias("rank"), (e % 6).alias("round"), F.col("event_type").alias("phase"), F.col("value").alias("ms"),
+        "event_id", (u % 8).alias("rank"), (e % 6).alias("round"), F.col("event_type").alias("phase"), F.col("value").alias("ms"),
         pick(u % 4, "archaea", "eukarya", "mouse_gene", "ldoor").alias("matrix"),
         pick(e % 3, "async", "summa", "workstealing").alias("impl"),
         pick(e % 4, 16, 64, 256).alias("ngpus"),
@@ -596,11 +647,131 @@ def batch_stats(spark, sf):
 @query("mtx_roundtrip", f"WITH {G} SELECT i, j, v FROM g")
 def mtx_roundtrip(spark, sf):
     """G written as Matrix Market text and read again."""
-    import uuid
-
-    from sparkmat.shared import shared_dir
-    from sparkmat.sources.matrix_market import read_mtx, write_mtx
-
     path = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex}"
     write_mtx(square(spark, sf), path)
     return read_mtx(spark, path).df
+
+
+# --- pointers, places, chunks ----------------------------------------------------------------------
+
+
+@query("ptr_after_filter", f"WITH {S}, k AS (SELECT * FROM s WHERE abs(v) > 30), n AS (SELECT s_suppkey AS i, count(k.i) AS n FROM supplier LEFT JOIN k ON k.i = s_suppkey GROUP BY 1) SELECT i, (sum(n) OVER (ORDER BY i))::BIGINT AS ptr FROM n")
+def ptr_after_filter(spark, sf):
+    """The pointers of what a filter leaves."""
+    return layout.pointers(algebra.prune(supplier_part(spark, sf), 30.0), "i")
+
+
+@query("ptr_check", f"""WITH {S}, n AS (SELECT s_suppkey AS i, count(s.i) AS n FROM supplier LEFT JOIN s ON s.i = s_suppkey GROUP BY 1),
+p AS (SELECT (i * 7 + 3) % {N} AS i, (sum(n) OVER (ORDER BY i))::BIGINT AS ptr FROM n), q AS (SELECT i, ptr, ptr - coalesce(lag(ptr) OVER (ORDER BY i), 0) AS d FROM p)
+SELECT 'right' AS kind, count(*) AS n_ptr, 0::BIGINT AS n_decreasing, true AS ends_at_nnz FROM n
+UNION ALL SELECT 'disordered', count(*), count(*) FILTER (WHERE d < 0), arg_max(ptr, i) = (SELECT count(*) FROM s) FROM q""")
+def ptr_check(spark, sf):
+    """Pointers as they should be, and in disorder."""
+    s = supplier_part(spark, sf)
+    ptr, nnz = layout.pointers(s, "i"), s.nnz()
+    moved = ptr.select(((F.col("i") * 7 + 3) % s.nrows).alias("i"), "ptr")
+    return layout.check_pointers(ptr, nnz).withColumn("kind", F.lit("right")).unionByName(layout.check_pointers(moved, nnz).withColumn("kind", F.lit("disordered")))
+
+
+@query("position_owners", f"WITH {S}, r AS (SELECT i, row_number() OVER (ORDER BY i, j) - 1 AS pos FROM s) SELECT pos, i FROM r WHERE pos % 100 = 0")
+def position_owners(spark, sf):
+    """The row of every hundredth entry, by its place."""
+    s = supplier_part(spark, sf)
+    return layout.owners(layout.pointers(s, "i"), spark.range(0, s.nnz(), 100).withColumnRenamed("id", "pos"))
+
+
+@query("element_range", f"WITH {S}, r AS (SELECT *, row_number() OVER (ORDER BY i, j) - 1 AS pos FROM s) SELECT i, j, v FROM r WHERE pos >= 1000 AND pos < 3000")
+def element_range(spark, sf):
+    return layout.element_range(supplier_part(spark, sf), 1000, 3000).df
+
+
+@query("row_blocks", f"WITH {S} SELECT i % 8 AS block, count(DISTINCT i) AS n_rows, count(*) AS nnz FROM s GROUP BY 1")
+def row_blocks(spark, sf):
+    return layout.row_blocks(supplier_part(spark, sf), 8)
+
+
+@query("spgemm_chunked", COSUPPLY)
+def spgemm_chunked(spark, sf):
+    s = supplier_part(spark, sf)
+    return multiply.spgemm_chunked(s, s.T, 4).df
+
+
+@query("matrix_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in MATRICES) + ") AS t(set, matrix)")
+def matrix_catalog(spark, sf):
+    return matrices(spark)
+
+
+# --- logs: events written as benchmark logs and parsed again ---------------------------------------
+
+FILE_NAME = "concat('hns_strong_', ngpus, '_', grid, '_', matrix, '_kokkos_nospcomm_', impl, '_nopermute.out')"
+#: Every seventh event is a summary line.
+SUMMARY = "event_id % 7 = 0"
+
+
+def spgemm_logs(spark, sf) -> str:
+    """A folder of logs: in each file rounds in order, and in a round a line for each event."""
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    m = metrics(spark, sf).withColumn("file", F.expr(FILE_NAME))
+    line = f"concat('<[process ', rank, ']>[', phase, '] ', IF({SUMMARY}, concat('n=2,avg=', ms / 2, ',sum=', ms), concat(ms, ' ms')))"
+    timed = m.select("file", "round", F.col("event_id").alias("at"), F.expr(line).alias("line"))
+    marks = m.select("file", "round").distinct().select("file", "round", F.lit(-1).cast("long").alias("at"), F.expr("concat('STARTING spgemm round: ', round)").alias("line"))
+    logs.write_lines(timed.unionByName(marks), path, ["round", "at"])
+    return path
+
+
+FILES = f"f AS (SELECT *, {FILE_NAME} AS file FROM m)"
+
+
+@query("log_parse_times", f"""WITH {METRICS}, {FILES}, t AS (SELECT file, phase, rank, round, sum(ms) AS ms FROM f WHERE round <> 0 AND NOT ({SUMMARY}) GROUP BY ALL
+UNION ALL SELECT file, phase, rank, round, arg_max(ms, event_id) AS ms FROM f WHERE round <> 0 AND {SUMMARY} GROUP BY ALL)
+SELECT d.matrix, d.ngpus, d.impl, d.grid, phase, rank::INT AS rank, round::INT AS round, round(ms, 6) AS ms FROM t JOIN (SELECT DISTINCT file, matrix, ngpus, impl, grid FROM f) d ON d.file = t.file""")
+def log_parse_times(spark, sf):
+    """Times by phase, process and round: the round is the last marker above the line, single values are summed, of summaries the last counts."""
+    lines = logs.read_lines(spark, spgemm_logs(spark, sf))
+    times = logs.phase_times(logs.spgemm_metrics(lines)).join(logs.file_facts(lines), "file")
+    return times.select("matrix", "ngpus", "impl", "grid", "phase", "rank", "round", F.round("ms", 6).alias("ms"))
+
+
+@query("log_parse_flat", f"""WITH {METRICS}, {FILES}, x AS (SELECT *, ({SUMMARY}) AS summary FROM f)
+SELECT file, phase, rank::INT AS rank, stat, count(*) AS n_lines, round(sum(CASE stat WHEN 'n' THEN CASE WHEN summary THEN 2 ELSE 1 END WHEN 'avg' THEN CASE WHEN summary THEN ms / 2 ELSE ms END ELSE ms END), 6) AS total
+FROM x, (VALUES ('n'), ('avg'), ('sum')) AS s(stat) WHERE stat <> 'sum' OR summary GROUP BY ALL""")
+def log_parse_flat(spark, sf):
+    """Timer strings as a row for each statistic."""
+    flat = logs.spgemm_metrics(logs.read_lines(spark, spgemm_logs(spark, sf)))
+    return flat.groupBy("file", "phase", "rank", "stat").agg(F.count("*").alias("n_lines"), F.round(F.sum("ms"), 6).alias("total"))
+
+
+@query("log_completeness", f"WITH {METRICS}, {FILES} SELECT file, count(DISTINCT round) AS n_start, count(*) FILTER (WHERE phase = 'click') AS n_end, n_start = n_end AS complete FROM f GROUP BY file")
+def log_completeness(spark, sf):
+    return logs.completeness(logs.read_lines(spark, spgemm_logs(spark, sf)), "STARTING spgemm round", r"\[click\]")
+
+
+@query("log_parse_iterations", f"WITH {METRICS} SELECT concat('hns_mcl_', ngpus, '_', matrix, '_', impl, '_0.002.out') AS file, round::INT AS iter, max(ms) AS ms FROM m GROUP BY 1, 2")
+def log_parse_iterations(spark, sf):
+    """Clustering logs: the slowest process of each iteration."""
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    m = metrics(spark, sf).withColumn("file", F.expr("concat('hns_mcl_', ngpus, '_', matrix, '_', impl, '_0.002.out')"))
+    timed = m.select("file", "round", F.col("event_id").alias("at"), F.expr("concat('<Timer rank ', rank, '>[mcl_spgemm] ', ms, ' ms')").alias("line"))
+    marks = m.select("file", "round").distinct().select("file", "round", F.lit(-1).cast("long").alias("at"), F.expr("concat('===== ITERATION ', round, ' =====')").alias("line"))
+    logs.write_lines(timed.unionByName(marks), path, ["round", "at"])
+    return logs.iteration_times(logs.read_lines(spark, path))
+
+
+@query("log_parse_volume", f"WITH {METRICS} SELECT ngpus, matrix, grid, rank::INT AS rank, sum(floor(ms))::BIGINT AS bytes FROM m WHERE event_id % 2 = 0 GROUP BY ALL")
+def log_parse_volume(spark, sf):
+    """Volume logs: bytes of each process on the lines of level 0; odd events are of level 1."""
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    line = "concat('<[p ', rank, ', t 0, m A, r 0, hier ', event_id % 2, ']>[send] ', CAST(floor(ms) AS bigint), ' B')"
+    rows = metrics(spark, sf).select(F.expr("concat('comm_vol_', ngpus, '_', grid, '_', matrix, '.out')").alias("file"), F.expr(line).alias("line"), "event_id")
+    logs.write_lines(rows, path, ["event_id"])
+    lines = logs.read_lines(spark, path)
+    return logs.communication_volume(lines).join(logs.file_facts(lines), "file").select("ngpus", "matrix", "grid", "rank", "bytes")
+
+
+@query("p2p_describe", "SELECT user_id % 7 AS threads, count(*) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events WHERE value > 0 GROUP BY 1")
+def p2p_describe(spark, sf):
+    """A table of message times, written as CSV with a header, read by a given schema, and described."""
+    path = f"{shared_dir(spark)}/p2p-{uuid.uuid4().hex}"
+    write_benchmark_csv(load(spark, sf, "events").where("value > 0").select((F.col("user_id") % 7).alias("threads"), F.col("value").alias("us")), path)
+    out = loganalytics.describe(read_benchmark_csv(spark, path, "threads long, us double"), ["threads"], "us")
+    return out.select("threads", "count", F.round("mean", 6).alias("mean"), "min", "max")

@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 
 from sparkmat.functions.text import timer_values, without_colours
 
-METRICS = "file STRING, phase STRING, rank INT, round INT, ms DOUBLE, pos BIGINT"
+METRICS = "file STRING, phase STRING, rank INT, round INT, ms DOUBLE, pos STRUCT<block: BIGINT, n: BIGINT>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of all files under a path or glob; ``pos`` rises within a file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"),
-        F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"),
-    ).select("file", F.col("pos").cast("long").alias("pos"), without_colours(F.col("line")).alias("line"))
+    """(file, pos, line) of all files under a path or glob; ``pos`` rises within a file.
+
+    Files are read line by line, in splits; a folder ``file=NAME`` of parts
+    that Spark wrote is the file NAME, if it was written as one part.
+    """
+    name = F.coalesce(F.nullif(F.regexp_extract("_path", r"/file=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract("_path", r"([^/]+)$", 1))
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("pos"), "value"
+    )
+    return read.select(name.alias("file"), "pos", without_colours(F.regexp_replace("value", r"\r$", "")).alias("line"))
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Rows (file, line and the columns of ``order``) as one text file for each name, under folders ``file=NAME``."""
+    lines.repartition("file").sortWithinPartitions("file", *order).select("file", "line").write.partitionBy("file").text(path)
 
 
 def _number(column: str, pattern: str, group: int = 1):
