@@ -2,7 +2,7 @@
 
 Base matrices: S supplier x part, O part x order, CP customer x part (sums of
 quantities; O counts), NT customer x supplier nations (dense), G a square one
-(supplier x part modulo the number of suppliers), U hour x user (counts of
+(part x order modulo the number of parts, about 30 entries a row), U hour x user (counts of
 events), CS customer x supplier nation, E transitions between event types.
 All are made of whole tables and grow with them.
 """
@@ -71,9 +71,9 @@ def nation_trade(spark, sf):
 
 
 def square(spark, sf):
-    n = load(spark, sf, "supplier").count()
-    df = load(spark, sf, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % n).alias("j")).agg(F.sum("l_quantity").alias("v"))
-    return SparseMatrix.of(df, n, n, "l_suppkey", "j")
+    n = load(spark, sf, "part").count()
+    df = load(spark, sf, "lineitem").groupBy("l_partkey", (F.col("l_orderkey") % n).alias("j")).agg(F.sum("l_quantity").alias("v"))
+    return SparseMatrix.of(df, n, n, "l_partkey", "j")
 
 
 def hour_user(spark, sf):
@@ -102,8 +102,8 @@ O = "o AS (SELECT l_partkey AS i, l_orderkey AS j, count(*)::DOUBLE AS v FROM li
 CP = "cp AS (SELECT o_custkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 NT = """nt AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
-N = "(SELECT count(*) FROM supplier)"
-G = f"g AS (SELECT l_suppkey AS i, l_partkey % {N} AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+N = "(SELECT count(*) FROM part)"
+G = f"g AS (SELECT l_partkey AS i, l_orderkey % {N} AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 U = "u AS (SELECT hour(ts)::BIGINT AS i, user_id AS j, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2)"
 CS = """cs AS (SELECT o_custkey AS i, s_nationkey::BIGINT AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
@@ -115,6 +115,15 @@ def product_sql(a: str, b: str, left="i, j", right="i, j") -> str:
     return f"SELECT a.{ai} AS i, b.{bj} AS j, sum(a.v * b.v) AS v FROM {a} a JOIN {b} b ON a.{ak} = b.{bk} GROUP BY 1, 2"
 
 
+def by_row(m: SparseMatrix) -> DataFrame:
+    """A row for each row of a large result: its entries, their sum, and their sum by columns."""
+    return m.df.groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * (F.col("j") + 1)).alias("sj"))
+
+
+def by_row_sql(with_: str, body: str) -> str:
+    return f"WITH {with_}, x AS ({body}) SELECT i, count(*) AS n, sum(v) AS s, sum(v * (j + 1)) AS sj FROM x GROUP BY i"
+
+
 # --- products -------------------------------------------------------------------------------------
 
 COSUPPLY = f"WITH {S} {product_sql('s', 's', 'i, j', 'j, i')}"
@@ -149,9 +158,9 @@ for _name, _strategy in (("broadcast", "broadcast"), ("shuffle", "shuffle"), ("s
     query(f"spgemm_{_name}", COSUPPLY)(_with_strategy(_strategy))
 
 
-@query("spgemm_square_power3", f"WITH {G}, g2 AS ({product_sql('g', 'g')}) {product_sql('g2', 'g')}")
+@query("spgemm_square_power3", by_row_sql(f"{G}, g2 AS ({product_sql('g', 'g')})", product_sql("g2", "g")))
 def spgemm_square_power3(spark, sf):
-    return multiply.power(square(spark, sf), 3).df
+    return by_row(multiply.power(square(spark, sf), 3))
 
 
 @query("spgemm_event_transitions", """
@@ -170,10 +179,10 @@ def spgemm_flops(spark, sf):
     return multiply.flops(s, s.T)
 
 
-@query("spma", f"WITH {G}, p AS ({product_sql('g', 'g')}) SELECT i, j, sum(v) AS v FROM (SELECT * FROM g UNION ALL SELECT * FROM p) GROUP BY 1, 2")
+@query("spma", by_row_sql(f"{G}, p AS ({product_sql('g', 'g')})", "SELECT i, j, sum(v) AS v FROM (SELECT * FROM g UNION ALL SELECT * FROM p) GROUP BY 1, 2"))
 def spma(spark, sf):
     g = square(spark, sf)
-    return multiply.fused_multiply_add(g, g, g).df
+    return by_row(multiply.fused_multiply_add(g, g, g))
 
 
 # --- sums, scaling, selection ---------------------------------------------------------------------
@@ -232,9 +241,9 @@ def inflate(spark, sf):
     return algebra.inflate(nation_trade(spark, sf)).df.withColumn("v", F.round("v", 9))
 
 
-@query("prune", f"WITH {G} SELECT i, j, v FROM g WHERE abs(v) > 150")
+@query("prune", f"WITH {G} SELECT i, j, v FROM g WHERE abs(v) > 30")
 def prune(spark, sf):
-    return algebra.prune(square(spark, sf), 150.0).df
+    return algebra.prune(square(spark, sf), 30.0).df
 
 
 @query("self_loops", f"WITH {G} SELECT i, j, v FROM g WHERE i <> j UNION ALL SELECT k AS i, k AS j, 1.0::DOUBLE AS v FROM (SELECT unnest(range({N})) AS k)")
@@ -249,13 +258,13 @@ def permute_symmetric(spark, sf):
     return algebra.permute(g, p, p).df
 
 
-@query("permute_roundtrip", f"WITH {G} {product_sql('g', 'g')}")
+@query("permute_roundtrip", by_row_sql(G, product_sql("g", "g")))
 def permute_roundtrip(spark, sf):
     """The square of the permuted matrix, permuted back."""
     g = square(spark, sf)
     p = write_table(algebra.random_permutation(g.nrows, 1, spark), "permutation")
     g = algebra.permute(g, p, p)
-    return algebra.permute(multiply.spgemm(g, g), algebra.inverse(p), algebra.inverse(p)).df
+    return by_row(algebra.permute(multiply.spgemm(g, g), algebra.inverse(p), algebra.inverse(p)))
 
 
 # --- layout ---------------------------------------------------------------------------------------
@@ -496,12 +505,12 @@ def inc_apply(spark, sf):
     return incremental.apply_update(base, g.T).df
 
 
-@query("inc_last_wins", f"""WITH {G}, b AS (SELECT l_suppkey AS i, l_partkey % {N} AS j, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+@query("inc_last_wins", f"""WITH {G}, b AS (SELECT l_partkey AS i, l_orderkey % {N} AS j, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS v FROM lineitem GROUP BY 1, 2)
 SELECT i, j, sum(v) AS v FROM (SELECT * FROM b UNION ALL SELECT j AS i, i AS j, v FROM g) GROUP BY 1, 2""")
 def inc_last_wins(spark, sf):
     """A base of lines with repeated keys, of which the last line's quantity counts, and an update."""
     g = square(spark, sf)
-    lines = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % g.ncols).alias("j"), F.col("l_quantity").alias("v"), "l_orderkey", "l_linenumber")
+    lines = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), (F.col("l_orderkey") % g.ncols).alias("j"), F.col("l_quantity").alias("v"), "l_orderkey", "l_linenumber")
     return incremental.apply_update(g.with_df(incremental.last_wins(lines, ["l_orderkey", "l_linenumber", "v"])), g.T).df
 
 
@@ -529,13 +538,13 @@ def inc_batches_csv(spark, sf):
     return read_benchmark_csv(spark, path, RECORD).select("batch_idx", "is_warmup", F.col("nnz_a_global").alias("nnz_a"), F.col("nnz_c_global").alias("nnz_c"), (F.col("spgemm_ms") > 0).alias("timed"))
 
 
-@query("inc_delta_equals_full", f"WITH {G} {product_sql('g', 'g')}")
+@query("inc_delta_equals_full", by_row_sql(G, product_sql("g", "g")))
 def inc_delta_equals_full(spark, sf):
     """G G from the product of a part of G and the rest of it as an update."""
     g = square(spark, sf)
     u = write_table(incremental.disjoint_updates(g, 1, percent(g)), "updates")
     a, d = g.with_df(u.where("batch = -1")), g.with_df(u.where("batch = 0"))
-    return incremental.delta_product(a, d, a, d, multiply.spgemm(a, a)).df
+    return by_row(incremental.delta_product(a, d, a, d, multiply.spgemm(a, a)))
 
 
 @query("hamilton_alloc", f"""WITH {S}, n AS (SELECT i AS rank, count(*) AS n FROM s GROUP BY 1),
@@ -662,7 +671,7 @@ def ptr_after_filter(spark, sf):
 
 
 @query("ptr_check", f"""WITH {S}, n AS (SELECT s_suppkey AS i, count(s.i) AS n FROM supplier LEFT JOIN s ON s.i = s_suppkey GROUP BY 1),
-p AS (SELECT (i * 7 + 3) % {N} AS i, (sum(n) OVER (ORDER BY i))::BIGINT AS ptr FROM n), q AS (SELECT i, ptr, ptr - coalesce(lag(ptr) OVER (ORDER BY i), 0) AS d FROM p)
+p AS (SELECT (i * 7 + 3) % (SELECT count(*) FROM supplier) AS i, (sum(n) OVER (ORDER BY i))::BIGINT AS ptr FROM n), q AS (SELECT i, ptr, ptr - coalesce(lag(ptr) OVER (ORDER BY i), 0) AS d FROM p)
 SELECT 'right' AS kind, count(*) AS n_ptr, 0::BIGINT AS n_decreasing, true AS ends_at_nnz FROM n
 UNION ALL SELECT 'disordered', count(*), count(*) FILTER (WHERE d < 0), arg_max(ptr, i) = (SELECT count(*) FROM s) FROM q""")
 def ptr_check(spark, sf):
