@@ -162,7 +162,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     rows = labelled_sample(docs, labels, ["quality", "toxic"], limit, lambda text: features(text).astype("<u4").tobytes())
-    return train_chain([np.frombuffer(r.features, "<u4").astype(np.int64) for r in rows], {
+    return train_chain([np.frombuffer(r.features, "<u4") for r in rows], {
         "low_quality": np.array([float(r.quality == 0) for r in rows]),
         "toxic": np.array([float(r.toxic == 1) for r in rows]),
     })
