@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -135,4 +135,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], limi
 
     kinds = dict(rows.dtypes)
     schema = "features binary, " + ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *columns))
-    return sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: r.doc_id)
+    found = rows.mapInArrow(run, schema).toArrow().to_pylist()
+    return sorted((Row(**r) for r in found), key=lambda r: r.doc_id)

@@ -129,10 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
 
     def decode(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         half = len(raw) // 2
-        return np.frombuffer(raw[:half], "<u4").astype(np.int64), np.frombuffer(raw[half:], "<f4")
+        return np.frombuffer(raw, "<u4", half // 4), np.frombuffer(raw, "<f4", offset=half)
 
     rows = labelled_sample(docs, labels, ["quality"], limit, encode)
-    return train([decode(bytes(r.features)) for r in rows], np.array([float(r.quality == 1) for r in rows]))
+    return train([decode(r.features) for r in rows], np.array([float(r.quality == 1) for r in rows]))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
