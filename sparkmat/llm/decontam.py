@@ -52,7 +52,7 @@ CANDIDATES = 1_000_000
 TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
 )
-INDEX_SCHEMA = "seg long, docs array<long>, n_words array<int>, terms binary, counts binary, postings binary"
+INDEX_SCHEMA = "seg long, docs array<long>, hashes array<long>, n_words array<int>, terms binary, counts binary, postings binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,7 +66,7 @@ class _Numbers(dict):
         return n
 
 
-def _segment(seg: int, docs: list, words: list[list[bytes]]) -> dict:
+def _segment(seg: int, docs: list, hashes: list, words: list[list[bytes]]) -> dict:
     """Positions count the segment's words in order, with one left out between documents."""
     n_words = np.fromiter(map(len, words), np.int64, len(words))
     numbers = _Numbers()
@@ -80,7 +80,7 @@ def _segment(seg: int, docs: list, words: list[list[bytes]]) -> dict:
     if len(counts):
         first = np.cumsum(counts) - counts
         steps[first] = postings[first]  # the first of each term is whole, the others are steps
-    return {"seg": seg, "docs": docs, "n_words": n_words, "terms": b" ".join(numbers), "counts": counts.tobytes(), "postings": steps.astype("<u4").tobytes()}
+    return {"seg": seg, "docs": docs, "hashes": hashes, "n_words": n_words, "terms": b" ".join(numbers), "counts": counts.tobytes(), "postings": steps.astype("<u4").tobytes()}
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -89,34 +89,38 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = TaskContext.get().partitionId() << 32
         ids: list = []
+        hashes: list[int] = []
         words: list[list[bytes]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seg, held
-            row = _segment(seg, ids.copy(), words)
+            row = _segment(seg, ids.copy(), hashes.copy(), words)
             seg, held = seg + 1, 0
             ids.clear()
+            hashes.clear()
             words.clear()
             return pa.RecordBatch.from_pydict({
                 "seg": pa.array([row["seg"]], pa.int64()),
                 "docs": pa.array([row["docs"]], pa.list_(pa.int64())),
+                "hashes": pa.array([row["hashes"]], pa.list_(pa.int64())),
                 "n_words": pa.array([row["n_words"]], pa.list_(pa.int32())),
                 **{k: pa.array([row[k]], pa.binary()) for k in ("terms", "counts", "postings")},
             })
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc, text, text_hash in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("text_hash").to_pylist(), strict=True):
                 own = words_of(text.as_py())
                 if words and held + len(own) > SEGMENT_WORDS:
                     yield flush()
                 ids.append(doc)
+                hashes.append(text_hash)
                 words.append(own)
                 held += len(own)
         if words:
             yield flush()
 
-    return write_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX_SCHEMA), "postings")
+    return write_table(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, INDEX_SCHEMA), "postings")
 
 
 def _pieces(items: DataFrame, window: int | None) -> DataFrame:
@@ -344,6 +348,7 @@ def _summary(found: DataFrame) -> DataFrame:
                 near_out.append(sorted({i for i in near if i is not None}, key=str))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
+                "text_hash": batch.column("text_hash"),
                 "n_words": batch.column("n_words"),
                 "n_hit": pa.array(n_hit, pa.int64()),
                 "n_items": pa.array(map(len, items_out), pa.int64()),
@@ -355,25 +360,27 @@ def _summary(found: DataFrame) -> DataFrame:
                 "near": pa.array(near_out, pa.list_(pa.int64())),
             })
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, spans array<struct<start:long,end:long>>, items array<long>, near array<long>"
-    return found.select("doc_id", "n_words", "spans", "items", "near").mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, spans array<struct<start:long,end:long>>, items array<long>, near array<long>"
+    return found.select("doc_id", "text_hash", "n_words", "spans", "items", "near").mapInArrow(run, schema)
 
 
-def find_contamination(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+def find_contamination(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, hashes: bool = False) -> DataFrame:
     """Matches of all windows of ``benchmark`` (item_id, text) in every document of the index.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the
     merged hit ``spans`` (in words) and the sorted ``items`` of exact matches;
     n_near and ``near`` are the items with a window whose words stand within
-    ``near`` consecutive words (0: none are looked for).
+    ``near`` consecutive words (0: none are looked for).  With ``hashes`` there
+    is text_hash too, the xxhash64 of the text, which tells rows of one id apart.
     """
     rounds = _in_rounds(index, benchmark, window, lambda index, held: _scan(index, held, near), "found")
     found = rounds[0]
     for other in rounds[1:]:
         found = found.unionByName(other)
     found = found.groupBy("seg", "row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])
-    every = index.select("seg", F.posexplode(F.arrays_zip("docs", "n_words")).alias("row", "d")).select("seg", "row", F.col("d.docs").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
-    return _summary(every.join(found, ["seg", "row"], "left"))
+    every = index.select("seg", F.posexplode(F.arrays_zip("docs", "hashes", "n_words")).alias("row", "d")).select("seg", "row", F.col("d.docs").alias("doc_id"), F.col("d.hashes").alias("text_hash"), F.col("d.n_words").cast("long").alias("n_words"))
+    summary = _summary(every.join(found, ["seg", "row"], "left"))
+    return summary if hashes else summary.drop("text_hash")
 
 
 def find_proximity(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:

@@ -123,7 +123,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and for sets that aren't empty their digest ``h`` and ``registers``."""
+    """doc_id, text_hash, n_shingles, and for sets that aren't empty their digest ``h`` and ``registers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +133,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n.append(len(own))
                 h.append(_digest(own) if len(own) else None)
                 regs.append(registers(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "h": pa.array(h, pa.binary()), "registers": pa.array(regs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": pa.array(n, pa.int64()), "h": pa.array(h, pa.binary()), "registers": pa.array(regs, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h binary, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h binary, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFra
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash (xxhash64), n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     sketches = write_table(sketch(docs), "sketches")
     whole = "h IS NOT NULL AND doc_id IS NOT NULL"
     classes = sketches.where(whole).groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
@@ -360,10 +360,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class = _labelled(classes.select("h", "rep", "cid"), labels, "cid", "_component")
     least = of_class.groupBy("_component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "_component").select("h", "component_id")
-    known = sketches.where(whole).select("doc_id", "n_shingles", "h").join(of_class, "h", "left").drop("h")
-    alone = sketches.where(f"NOT ({whole})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    known = sketches.where(whole).select("doc_id", "text_hash", "n_shingles", "h").join(of_class, "h", "left").drop("h")
+    alone = sketches.where(f"NOT ({whole})").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
