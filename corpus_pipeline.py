@@ -10,8 +10,9 @@ one's docs.  All but the last return the columns of documents.
 4. decontamination: documents with words inside a benchmark window go;
 5. byte-level BPE: token counts and digests of the ids and of the decoded bytes.
 
-Rows with a null doc_id are judged by their own text in stage 1 and kept by the
-stages that decide by doc_id; an empty table passes through.
+Rows are judged by their own texts, also where they share a doc_id or have none;
+only near-duplicates links rows without doc_id with nothing and keeps them.  An
+empty table passes through.
 """
 
 from __future__ import annotations
@@ -33,15 +34,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose doc_id (null is one of its own) and text aren't those of a row (doc_id, text_hash) in ``gone``."""
+    gone = write_table(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = write_table(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, neardup.near_duplicates(docs).where("NOT kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(decontam.build_index(docs), table(spark, sf_dir, "benchmark"), near=0)
-    gone = write_table(found.where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = decontam.find_contamination(decontam.build_index(docs), table(spark, sf_dir, "benchmark"), near=0, hashes=True)
+    return _without(docs, found.where("contaminated"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
