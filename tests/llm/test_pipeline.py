@@ -46,3 +46,19 @@ def test_stages_keep_columns_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    clean, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(name, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, SF).collect()), key=str)
+
+    rows = [(5, clean), (5, f"{other} {item}"), (None, f"{clean} {item}"), (None, clean), (6, None), (None, None)]
+    assert left("benchmark decontamination", rows) == sorted([(5, clean), (None, clean), (6, None), (None, None)], key=str)
+    rows = [(3, clean), (5, f"{clean} x"), (5, other), (None, clean), (7, clean), (7, clean)]
+    assert left("near duplicates", rows) == sorted([(3, clean), (5, other), (None, clean)], key=str)
