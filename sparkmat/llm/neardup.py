@@ -18,7 +18,8 @@ bucket's leader (its least class).  Buckets whose members then still lie in
 different components are cut by set size and compared block by block, across
 components only, by their registers; what these don't rule out is confirmed on
 the full sets of the block.  So no candidate pair between different components stays
-unchecked, and a large group of copies costs one comparison a member.  Components come from alternating large-star and
+unchecked, and a large group of copies costs one comparison a member, and joins cut the keys
+of such groups into parts.  Components come from alternating large-star and
 small-star steps over tables in the shared folder; no links, sketches or
 components pass the driver.
 
@@ -54,6 +55,8 @@ MARGIN = 12.5
 GROUP, GROUP_SHINGLES, BLOCK = 128, 500_000, 1024
 #: Shingles of a block's members together, about.
 BLOCK_SHINGLES = 500_000
+#: Keys with more than a PARTS-th of the rows of a join (fewer than PARTS) are cut into parts of about that size, and of about PART_ROWS rows at least.
+PARTS, PART_ROWS = 256, 128
 #: Equal registers without which J >= 0.75 is beyond seven standard deviations.
 LEAST_EQUAL = 60
 
@@ -165,7 +168,22 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 _, kept = likely(a, b, part.column("na").to_numpy().astype(float), part.column("nb").to_numpy().astype(float))
                 yield part.select(["a", "b", "nb"]).rename_columns(["a", "b", "n"]).filter(pa.array(kept))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, n long")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    return _split_join(pairs, "b", side("a"), ["a"], counts).join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, n long")
+
+
+def _split_join(rows: DataFrame, by: str, right: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """``rows`` joined with ``right``, hot keys dealt by the column ``by`` over parts that each have their copy of the key's right rows.
+
+    ``counts`` has the keys and the number ``n`` of rows of each; of it only the
+    hot keys, fewer than PARTS, are broadcast.
+    """
+    total = counts.agg(F.sum("n").alias("_all"))
+    hot = counts.join(F.broadcast(total), F.expr(f"n > _all / {PARTS}D")).select(*keys, F.expr(f"CAST(ceil(least(n * {PARTS}D / _all, n / {PART_ROWS}D)) AS bigint)").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(copies, [*keys, "_part"]).drop("_part")
 
 
 def _digest(own: np.ndarray) -> bytes:
@@ -187,8 +205,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, repeated: DataFrame, classes:
     GROUP_SHINGLES shingles, each with the leader's text, so a leader of very
     many members is spread over many tasks.
     """
-    sizes = pairs.groupBy("a").agg(F.expr(f"1 + greatest(count(*) div {GROUP}, sum(n) div {GROUP_SHINGLES})").alias("_parts"))
-    dealt = pairs.join(sizes, "a").withColumn("part", F.expr("pmod(xxhash64(b), _parts)"))
+    sizes = write_table(pairs.groupBy("a").agg(F.count("*").alias("n"), F.expr(f"1 + greatest(count(*) div {GROUP}, sum(n) div {GROUP_SHINGLES})").alias("_groups")), "sizes")
+    dealt = _split_join(pairs.select("a", "b"), "b", sizes.select("a", "_groups"), ["a"], sizes.select("a", "n")).withColumn("part", F.expr("pmod(xxhash64(b), _groups)"))
     wanted = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.col("a").alias("id")).distinct())
 
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +216,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, repeated: DataFrame, classes:
         return pd.DataFrame({"a": [key[0]] * len(out), "b": out}, dtype="int64")
 
     wanted = write_table(wanted.join(classes.select(F.col("cid").alias("id"), "rep", "h"), "id"), "wanted")
-    return wanted.join(_texts(wanted, docs, repeated), "rep").select("a", "part", "id", "h", "text").groupBy("a", "part").applyInPandas(verify, "a long, b long")
+    counts = wanted.groupBy("rep").agg(F.count("*").alias("n"))
+    return _split_join(wanted, "part", _texts(wanted, docs, repeated), ["rep"], counts).select("a", "part", "id", "h", "text").groupBy("a", "part").applyInPandas(verify, "a long, b long")
 
 
 class _Block:
@@ -263,13 +282,15 @@ def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
     """
     names = ["key", "t", "low", "high"]
     named = write_table(_labelled(members, labels, "cid", "component"), "members")
-    mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c < _d").select("key")
+    mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("n")).where("_c < _d").select("key", "n")
+    mixed = write_table(mixed, "mixed")
     size = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / PERCENT))).alias("size")
-    rows = named.join(mixed, "key", "left_semi").join(classes.select("cid", "rep", "n_shingles", "registers", "h", size), "cid")
+    rows = _split_join(named, "cid", mixed.select("key"), ["key"], mixed).join(classes.select("cid", "rep", "n_shingles", "registers", "h", size), "cid")
     rows = write_table(rows.withColumn("t", F.explode(F.array("size", F.col("size") - 1))), "members")
-    counts = rows.groupBy("key", "t").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(n_shingles) div {BLOCK_SHINGLES})").alias("blocks")).where("_c < _d")
+    counts = rows.groupBy("key", "t").agg(F.count("*").alias("n"), F.min("component").alias("_c"), F.max("component").alias("_d"), F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(n_shingles) div {BLOCK_SHINGLES})").alias("blocks")).where("_c < _d")
+    counts = write_table(counts.select("key", "t", "n", "blocks"), "counts")
     dealt = (
-        rows.join(counts.select("key", "t", "blocks"), ["key", "t"])
+        _split_join(rows, "cid", counts.select("key", "t", "blocks"), ["key", "t"], counts.select("key", "t", "n"))
         .withColumn("block", F.expr("pmod(xxhash64(cid), blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         .select("key", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "cid", "rep", "component", "size", "n_shingles", "registers", "h")
@@ -347,14 +368,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = write_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # the numbers hold from here on
     repeated = write_table(sketches.where(whole).groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("n")).where("n > 1").select("rep"), "repeated")
     bands = _bands(classes)
-    leaders = bands.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("_last")).where("a < _last").drop("_last")
-    members = bands.join(leaders, "key").where("cid <> a")
+    leaders = bands.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("_last"), F.count("*").alias("n")).where("a < _last").drop("_last")
+    leaders = write_table(leaders, "leaders")
+    members = _split_join(bands, "cid", leaders.select("key", "a"), ["key"], leaders.select("key", "n")).where("cid <> a")
     pairs = write_table(members.select("a", F.col("cid").alias("b")).distinct(), "pairs")
     links = write_table(_confirmed(write_table(_plausible(pairs, classes), "pairs"), docs, repeated, classes), "links")
     labels = components(links)
 
     # what lies in one bucket but in different components
-    more = _crossed(bands.join(leaders.select("key"), "key", "left_semi"), labels, classes, docs, repeated)
+    more = _crossed(_split_join(bands, "cid", leaders.select("key"), ["key"], leaders.select("key", "n")), labels, classes, docs, repeated)
     labels = components(links.unionByName(more))
 
     of_class = _labelled(classes.select("h", "rep", "cid"), labels, "cid", "_component")
