@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders still there, with their session; and the folder of each table that is in use.
 _WRITTEN: dict[str, SparkSession] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: The catalogue's name of each folder that is a bucketed table.
+_NAMES: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +49,27 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like ``write_table``, dealt into buckets by the hash of ``keys``: joins and aggregates on these keys read it without a shuffle.
+
+    There are as many buckets as shuffle partitions, one file each.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{own}"
+    _WRITTEN[path], _NAMES[path] = spark, own
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(own)
+    out = spark.table(own)
+    _PATHS[out] = path
+    return out
+
+
 def _drop(path: str) -> None:
     spark = _WRITTEN.pop(path, None)
     if spark is not None:
+        if path in _NAMES:
+            spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop(path)}")
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -70,9 +90,11 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(_PATHS[table])
         return table
 
-    yield keep
-    for path in set(_WRITTEN) - before - kept:
-        _drop(path)
+    try:
+        yield keep
+    finally:
+        for path in set(_WRITTEN) - before - kept:
+            _drop(path)
 
 
 _SHIPPED: set[str] = set()
