@@ -1,13 +1,33 @@
-"""What the operators of this subpackage share: tables in the shared folder, text access."""
+"""What the operators of this subpackage share: tables in the shared folder, text access, running aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from sparkmat.shared import drop_tables, scratch, shared_dir, write_table
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-__all__ = ["drop_tables", "scratch", "shared_dir", "table", "write_table"]
+from sparkmat.shared import drop_tables, scratch, shared_dir, write_bucketed, write_table
+
+__all__ = ["drop_tables", "running", "scratch", "shared_dir", "table", "write_bucketed", "write_table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def running(rows: DataFrame, group: str, order: list[str], scans: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """``rows`` with each column of ``scans`` replaced by its running F.sum or F.bit_xor within ``group`` (no nulls) in the order given.
+
+    Rows are dealt by ranges of (group, order), so a very large group lies in
+    many ranges.  Each range is scanned on its own; the totals of a group's
+    ranges (a row each) are scanned and added.
+    """
+    dealt = write_table(rows.repartitionByRange(group, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(group, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(group, "_p").agg(*(f(c).alias(f"_{c}") for c, f in scans.items()))
+    totals = totals.select(group, "_p", *(F.coalesce(f(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c, f in scans.items()))
+    local = dealt.withColumns({c: f(c).over(own) for c, f in scans.items()})
+    both = {c: F.col(c) + F.col(f"_{c}") if f is F.sum else F.col(c).bitwiseXOR(F.col(f"_{c}")) for c, f in scans.items()}
+    return local.join(totals, [group, "_p"]).withColumns(both).select(rows.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkmat.llm import bpe, chat, decontam, htmltext, linededup, neardup, quality, subword, toxicity, urlfilter
+from sparkmat.llm import bpe, chat, decontam, htmltext, linededup, neardup, quality, repair, subword, toxicity, trie, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_chat": chat.op10_chat,
+    "op11_structure_repair": repair.op11_structure_repair,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality.OP3_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_structure_repair": repair.OP11_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
