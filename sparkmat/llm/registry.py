@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkmat.llm import bpe, chat, decontam, htmltext, linededup, neardup, quality, repair, subword, toxicity, trie, urlfilter
+from sparkmat.llm import bpe, chat, decontam, htmltext, linededup, neardup, neighbours, quality, repair, subword, toxicity, trie, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_chat": chat.op10_chat,
     "op11_structure_repair": repair.op11_structure_repair,
+    "op12_embedding_duplicates": neighbours.op12_embedding_duplicates,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": linededup.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
     "op11_structure_repair": repair.OP11_SQL,
+    "op12_embedding_duplicates": neighbours.OP12_SQL,
     "op13_prefix_trie": trie.OP13_SQL,
 }
