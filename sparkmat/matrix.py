@@ -43,7 +43,7 @@ class SparseMatrix:
         return cls(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")), n, n)
 
     def with_df(self, df: DataFrame) -> SparseMatrix:
-        return replace(self, df=df.select("i", "j", "v"))
+        return replace(self, df=df if df.columns == ["i", "j", "v"] else df.select("i", "j", "v"))
 
     def coalesced(self) -> SparseMatrix:
         return self.with_df(self.df.groupBy("i", "j").agg(F.sum("v").alias("v")))

@@ -2,16 +2,19 @@
 
 All strategies give the same matrix and differ in how rows meet:
 
+* ``auto``       a plain join: adaptive execution sends a side that turns out small to all, else splits skewed keys;
 * ``shuffle``    both sides are hash-partitioned on the contraction index;
 * ``broadcast``  B is written once and goes to every executor, if its entries are at most BROADCAST_NNZ;
-* ``semijoin``   each side is first reduced to contraction indices the other has;
-* ``summa``      2D tiles: A's tiles are replicated along tile columns, B's along tile rows;
-* ``hier``       2D-1D: B's tiles stay where they are, A's rows, in slices, go to each tile column;
-* ``row1d``      the result's rows are dealt first, then joined with the rows of B they need;
-* ``salted``     each contraction index is split into ``slices`` parts, for very frequent ones;
-* ``auto``       a plain join: adaptive execution sends a side that turns out small to all, else splits skewed keys.
-
-Sums are aggregated partially before the second shuffle.
+* ``semijoin``   each side is written once and reduced to contraction indices the other has;
+* ``summa``      2D tiles: A's rows are copied along tile columns, B's along tile rows, and C is made and summed in its tile;
+* ``hier``       2D-1D: tile rows are cut into slices, each with the columns of B it needs, and C is made and summed in its slice;
+* ``row1d``      rows of C are dealt in blocks, each requests the rows of B it needs, and C is made and summed in its block;
+* ``heavy``      only contraction indices of very many products are split, into blocks of bounded products; ``salted`` splits all of them.
+
+The sums of the first four are aggregated partially before a second shuffle.
+Under ``summa``, ``hier`` and ``row1d`` no product is shuffled: operands are
+dealt by the block of C alone, so join and sum find their rows in place.  They
+pay where C takes many products an entry, see ``plan_product``.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmat.matrix import SparseMatrix
-from sparkmat.shared import write_table
+from sparkmat.shared import with_settings, write_table
 
 #: Entries of 24 bytes that are sent to every executor at most.
 BROADCAST_NNZ = 1_000_000
-STRATEGIES = ("auto", "shuffle", "broadcast", "semijoin", "summa", "hier", "row1d", "salted")
+#: Products of one part of a heavy contraction index; heavy indices there are at most.
+HEAVY_PRODUCTS, HEAVY_INDICES = 4_000_000, 50_000
+STRATEGIES = ("auto", "shuffle", "broadcast", "semijoin", "summa", "hier", "row1d", "heavy", "salted")
 
 
 def _sides(a: SparseMatrix, b: SparseMatrix) -> tuple[DataFrame, DataFrame]:
@@ -59,40 +64,137 @@ def spgemm(a: SparseMatrix, b: SparseMatrix, strategy: str = "auto", grid: int =
     elif strategy == "shuffle":
         joined = left.hint("merge").join(right, "k")
     elif strategy == "semijoin":
+        left, right = write_table(left, "operand"), write_table(right, "operand")  # read for their indices and for their rows
         joined = left.join(right.select("k").distinct(), "k", "left_semi").join(right.join(left.select("k").distinct(), "k", "left_semi"), "k")
-    elif strategy == "row1d":
-        needed = right.join(left.select("k").distinct(), "k", "left_semi")
-        joined = left.join(needed, "k").repartition("i")
+    elif strategy == "heavy":
+        joined = _split_heavy(left, right)
     elif strategy == "salted":
         joined = (
             left.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(slices)))
-            .join(right.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))), ["k", "s"])
+            .join(right.withColumn("s", _every(F.lit(slices))), ["k", "s"])
         )
+    elif strategy == "row1d":
+        return SparseMatrix(_by_requests(left, right, max(a.nrows, 1)), a.nrows, b.ncols)
     else:
-        # rows in blocks of h * slices, contraction indices and columns in blocks of w
-        h = math.ceil(max(a.nrows, a.ncols, b.ncols, 1) / (grid * slices))
-        w = h * slices
-        tile = lambda column: F.floor(F.col(column) / F.lit(w))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        if strategy == "summa":
-            left = left.withColumn("r", tile("i")).withColumn("c", every(grid))
-            right = right.withColumn("c", tile("j")).withColumn("r", every(grid))
-            joined = left.join(right, ["r", "c", "k"])
-        else:  # the slices of a tile column share its tile of B
-            left = left.withColumn("s", F.floor(F.col("i") / F.lit(h))).withColumn("c", every(grid))
-            right = right.withColumn("c", tile("j"))
-            joined = left.join(right, ["c", "k"])
+        return SparseMatrix(_in_tiles(left, right, a.nrows, b.ncols, grid, slices if strategy == "hier" else 1), a.nrows, b.ncols)
     return SparseMatrix(_summed(joined).select("i", "j", "v"), a.nrows, b.ncols)
 
 
-def spgemm_chunked(a: SparseMatrix, b: SparseMatrix, chunks: int, strategy: str = "auto") -> SparseMatrix:
-    """C = A B for a shuffle that must stay small: A's rows in ``chunks`` blocks, one product after another, each written into the shared folder."""
-    h = max(1, math.ceil(a.nrows / chunks))
+def _every(n):
+    """A row for each number from 0 to n - 1."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
+
+
+#: Lets a join find its rows in place where both sides are dealt by some of its keys.
+IN_PLACE = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_tiles(left: DataFrame, right: DataFrame, nrows: int, ncols: int, grid: int, slices: int) -> DataFrame:
+    """(i, j, v) of the product, made and summed in tiles (r, s, c): tile row, slice of it, tile column.
+
+    Both sides are dealt by (r, s, c) alone with one number of partitions, which
+    the join on (r, s, c, k) and the sum by (r, s, c, i, j) both accept: two
+    exchanges, of operands only.  A's entries are copied once for each tile
+    column, B's once for each slice of each tile row.
+    """
+    h = max(1, math.ceil(nrows / (grid * slices)))
+    w = max(1, math.ceil(ncols / grid))
+    n = max(_partitions(left), grid * slices * grid)
+    tile = ["r", "s", "c"]
+    row = F.floor(F.col("i") / F.lit(h))
+    left = left.withColumn("r", F.floor(row / F.lit(slices))).withColumn("s", F.pmod(row, F.lit(slices).cast("long"))).withColumn("c", _every(F.lit(grid)))
+    right = right.withColumn("c", F.floor(F.col("j") / F.lit(w))).withColumn("r", _every(F.lit(grid))).withColumn("s", _every(F.lit(slices)))
+    left = with_settings(left, IN_PLACE)
+    joined = left.repartition(n, *tile).hint("merge").join(right.repartition(n, *tile), [*tile, "k"])
+    return joined.groupBy(*tile, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).select("i", "j", "v")
+
+
+def requests(left: DataFrame, h: int) -> DataFrame:
+    """(block, k): the rows of B that each block of ``h`` rows of A (i, k, a) needs, once each."""
+    return left.select(F.floor(F.col("i") / F.lit(h)).alias("block"), "k").distinct()
+
+
+def _by_requests(left: DataFrame, right: DataFrame, nrows: int) -> DataFrame:
+    """(i, j, v) of the product by blocks of rows: rows of B travel only to the blocks whose request list holds them."""
+    n = _partitions(left)
+    h = max(1, math.ceil(nrows / n))
+    needed = right.join(requests(left, h), "k").select("block", "k", "j", "b")
+    dealt = with_settings(left, IN_PLACE).withColumn("block", F.floor(F.col("i") / F.lit(h))).repartition(n, "block")
+    joined = dealt.hint("merge").join(needed.repartition(n, "block"), ["block", "k"])
+    return joined.groupBy("block", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).select("i", "j", "v")
+
+
+def heavy_indices(left: DataFrame, right: DataFrame, products: int = HEAVY_PRODUCTS, most: int = HEAVY_INDICES) -> DataFrame:
+    """(k, na, nb, pa, pb): contraction indices of more than ``products`` products, and the parts of each side that keep every pair of parts below that.
+
+    At most ``most`` indices are heavy: where more were, the bound is raised to
+    what makes the sum of all products allow no more.
+    """
+    na = left.groupBy("k").agg(F.count("*").alias("na"))
+    nb = right.groupBy("k").agg(F.count("*").alias("nb"))
+    degrees = write_table(na.join(nb, "k").where(F.col("na") * F.col("nb") > products), "degrees")
+    total = degrees.agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 0
+    bound = float(max(products, math.ceil(total / most)))
+    heavy = degrees.where(F.col("na") * F.col("nb") > bound)
+    # parts in proportion to the sides, so that (na / pa) * (nb / pb) is at most the bound
+    side = math.sqrt(bound)
+    pa = F.ceil(F.col("na") / F.least(F.col("na"), F.greatest(F.lit(side), F.lit(bound) / F.col("nb"))))
+    pb = F.ceil(F.col("nb") / F.least(F.col("nb"), F.greatest(F.lit(side), F.lit(bound) / F.col("na"))))
+    return heavy.select("k", "na", "nb", pa.cast("long").alias("pa"), pb.cast("long").alias("pb"))
+
+
+def _split_heavy(left: DataFrame, right: DataFrame, products: int = HEAVY_PRODUCTS) -> DataFrame:
+    """(i, j, a, b): light indices meet once, heavy ones in pa x pb parts; nothing else is copied."""
+    heavy = heavy_indices(left, right, products).select("k", "pa", "pb")  # at most HEAVY_INDICES rows
+    part = lambda column, parts: F.pmod(F.xxhash64(column), F.coalesce(parts, F.lit(1)).cast("long"))
+    one = lambda c: F.coalesce(F.col(c), F.lit(1).cast("long"))
+    left = left.join(F.broadcast(heavy), "k", "left").withColumn("x", part("i", F.col("pa"))).withColumn("y", _every(one("pb"))).drop("pa", "pb")
+    right = right.join(F.broadcast(heavy), "k", "left").withColumn("y", part("j", F.col("pb"))).withColumn("x", _every(one("pa"))).drop("pa", "pb")
+    return left.join(right, ["k", "x", "y"])
+
+
+def row_work(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
+    """(i, work): the multiplications that each row of A B takes, of rows that take any."""
+    left, right = _sides(a, b)
+    return left.join(right.groupBy("k").agg(F.count("*").alias("n")), "k").groupBy("i").agg(F.sum("n").alias("work"))
+
+
+def chunks_by_work(work: DataFrame, budget: int) -> DataFrame:
+    """(i, work, chunk) from (i, work): chunks of at most ``budget`` multiplications, but for rows that take more alone.
+
+    Chunks end where the prefix sum of the work passes half a budget; rows of
+    more than half a budget are chunks of their own.  There are at most four
+    chunks for each budget's worth of work, and one.
+    """
+    from sparkmat.operators.layout import running_sum
+
+    half = max(1, budget // 2)
+    placed = running_sum(work.withColumn("_light", F.when(F.col("work") <= half, F.col("work")).otherwise(0)), ["i"], "_light", "_end")
+    light = F.floor((F.col("_end") - F.col("work")) / F.lit(half))
+    return placed.select("i", "work", F.when(F.col("work") <= half, light).otherwise(-1 - F.col("i")).cast("long").alias("chunk"))
+
+
+def spgemm_chunked(a: SparseMatrix, b: SparseMatrix, chunks: int | None = None, strategy: str = "auto", budget: int | None = None) -> SparseMatrix:
+    """C = A B for a shuffle that must stay small: A's rows in chunks, one product after another, each written into the shared folder.
+
+    A chunk takes at most ``budget`` multiplications, unless one row takes more
+    (see ``chunks_by_work``); ``chunks`` sets the budget as a share of all.
+    """
+    if (chunks is None) == (budget is None):
+        raise ValueError("give either chunks or budget")
+    work = write_table(row_work(a, b), "work")
+    if budget is None:
+        budget = max(1, math.ceil((work.agg(F.sum("work")).first()[0] or 0) / chunks))
     right = b.with_df(write_table(b.df, "operand"))
-    parts = [write_table(spgemm(a.with_df(a.df.where((F.col("i") >= k * h) & (F.col("i") < (k + 1) * h))), right, strategy).df, "chunk") for k in range(chunks)]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
+    dealt = write_table(a.df.join(chunks_by_work(work, budget), "i").select("i", "j", "v", "chunk"), "operand", partition_by=["chunk"])
+    numbers = [r[0] for r in dealt.select("chunk").distinct().collect()]  # at most 4 * work / budget + 1
+    df = dealt.where("false").select("i", "j", "v")
+    for k in sorted(numbers):
+        df = df.unionByName(write_table(spgemm(a.with_df(dealt.where(F.col("chunk") == k)), right, strategy).df, "chunk"))
     return SparseMatrix(df, a.nrows, b.ncols)
 
 

@@ -9,7 +9,6 @@ All are made of whole tables and grow with them.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,12 +16,13 @@ from pyspark.sql import functions as F
 
 from sparkmat.functions.text import parse_size
 from sparkmat.matrix import SparseMatrix
-from sparkmat.operators import algebra, incremental, layout, loganalytics, multiply
+from sparkmat.operators import algebra, bitmaps, incremental, layout, loganalytics, maintained, multiply, segments, semiring, structure
 from sparkmat.plans.mcl import mcl, trace
-from sparkmat.shared import shared_dir, write_table
+from sparkmat.shared import temporary_path, write_table
 from sparkmat.sources import generators, logs
 from sparkmat.sources.catalog import MATRICES, matrices, read_benchmark_csv, write_benchmark_csv
-from sparkmat.sources.matrix_market import read_mtx, write_mtx
+from sparkmat.sources.matrix_market import read_mtx, write_array, write_mtx
+from sparkmat.streaming.updates import current, summed_stream, updates_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -533,7 +533,7 @@ def inc_batches_nnz(spark, sf):
 @query("inc_batches_csv", f"SELECT batch_idx, (batch_idx < 1)::INT AS is_warmup, nnz_a, nnz_c, true AS timed FROM ({BATCHES})")
 def inc_batches_csv(spark, sf):
     """The record of each batch, written as CSV and read again."""
-    path = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "batches")
     write_benchmark_csv(batch_records(spark, sf), path)
     return read_benchmark_csv(spark, path, RECORD).select("batch_idx", "is_warmup", F.col("nnz_a_global").alias("nnz_a"), F.col("nnz_c_global").alias("nnz_c"), (F.col("spgemm_ms") > 0).alias("timed"))
 
@@ -544,7 +544,9 @@ def inc_delta_equals_full(spark, sf):
     g = square(spark, sf)
     u = write_table(incremental.disjoint_updates(g, 1, percent(g)), "updates")
     a, d = g.with_df(u.where("batch = -1")), g.with_df(u.where("batch = 0"))
-    return by_row(incremental.delta_product(a, d, a, d, multiply.spgemm(a, a)))
+    product = maintained.MaintainedProduct(a, a)
+    product.update(d, d)
+    return by_row(product.c)
 
 
 @query("hamilton_alloc", f"""WITH {S}, n AS (SELECT i AS rank, count(*) AS n FROM s GROUP BY 1),
@@ -656,7 +658,7 @@ def batch_stats(spark, sf):
 @query("mtx_roundtrip", f"WITH {G} SELECT i, j, v FROM g")
 def mtx_roundtrip(spark, sf):
     """G written as Matrix Market text and read again."""
-    path = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "mtx")
     write_mtx(square(spark, sf), path)
     return read_mtx(spark, path).df
 
@@ -719,7 +721,7 @@ SUMMARY = "event_id % 7 = 0"
 
 def spgemm_logs(spark, sf) -> str:
     """A folder of logs: in each file rounds in order, and in a round a line for each event."""
-    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "logs")
     m = metrics(spark, sf).withColumn("file", F.expr(FILE_NAME))
     line = f"concat('<[process ', rank, ']>[', phase, '] ', IF({SUMMARY}, concat('n=2,avg=', ms / 2, ',sum=', ms), concat(ms, ' ms')))"
     timed = m.select("file", "round", F.col("event_id").alias("at"), F.expr(line).alias("line"))
@@ -758,7 +760,7 @@ def log_completeness(spark, sf):
 @query("log_parse_iterations", f"WITH {METRICS} SELECT concat('hns_mcl_', ngpus, '_', matrix, '_', impl, '_0.002.out') AS file, round::INT AS iter, max(ms) AS ms FROM m GROUP BY 1, 2")
 def log_parse_iterations(spark, sf):
     """Clustering logs: the slowest process of each iteration."""
-    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "logs")
     m = metrics(spark, sf).withColumn("file", F.expr("concat('hns_mcl_', ngpus, '_', matrix, '_', impl, '_0.002.out')"))
     timed = m.select("file", "round", F.col("event_id").alias("at"), F.expr("concat('<Timer rank ', rank, '>[mcl_spgemm] ', ms, ' ms')").alias("line"))
     marks = m.select("file", "round").distinct().select("file", "round", F.lit(-1).cast("long").alias("at"), F.expr("concat('===== ITERATION ', round, ' =====')").alias("line"))
@@ -769,7 +771,7 @@ def log_parse_iterations(spark, sf):
 @query("log_parse_volume", f"WITH {METRICS} SELECT ngpus, matrix, grid, rank::INT AS rank, sum(floor(ms))::BIGINT AS bytes FROM m WHERE event_id % 2 = 0 GROUP BY ALL")
 def log_parse_volume(spark, sf):
     """Volume logs: bytes of each process on the lines of level 0; odd events are of level 1."""
-    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "logs")
     line = "concat('<[p ', rank, ', t 0, m A, r 0, hier ', event_id % 2, ']>[send] ', CAST(floor(ms) AS bigint), ' B')"
     rows = metrics(spark, sf).select(F.expr("concat('comm_vol_', ngpus, '_', grid, '_', matrix, '.out')").alias("file"), F.expr(line).alias("line"), "event_id")
     logs.write_lines(rows, path, ["event_id"])
@@ -780,7 +782,294 @@ def log_parse_volume(spark, sf):
 @query("p2p_describe", "SELECT user_id % 7 AS threads, count(*) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events WHERE value > 0 GROUP BY 1")
 def p2p_describe(spark, sf):
     """A table of message times, written as CSV with a header, read by a given schema, and described."""
-    path = f"{shared_dir(spark)}/p2p-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "p2p")
     write_benchmark_csv(load(spark, sf, "events").where("value > 0").select((F.col("user_id") % 7).alias("threads"), F.col("value").alias("us")), path)
     out = loganalytics.describe(read_benchmark_csv(spark, path, "threads long, us double"), ["threads"], "us")
     return out.select("threads", "count", F.round("mean", 6).alias("mean"), "min", "max")
+
+
+# --- logs of every kind of program ------------------------------------------------------------------
+
+
+def write_logs(spark, rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows (file, line, ..) as log files, read again."""
+    path = temporary_path(spark, "logs")
+    logs.write_lines(rows, path, order)
+    return logs.read_lines(spark, path)
+
+
+@query("log_parse_trilinos", f"WITH {METRICS} SELECT matrix, ngpus::INT AS ngpus, 1::BIGINT AS n, round(arg_min(ms, event_id), 6) AS ms FROM m GROUP BY 1, 2")
+def log_parse_trilinos(spark, sf):
+    """Trilinos logs: single times that don't count, then summaries, of which the first one's mean does."""
+    m = metrics(spark, sf).withColumn("file", F.expr("concat('trilinos_strong_', matrix, '_', ngpus, '.out')"))
+    line = "stack(2, 0, '<Timer>[spgemm] 12345.0 ms', 1, concat('<Timer>[spgemm] n=10,avg=', ms, ',min=0.5,max=99999.0')) AS (part, line)"
+    lines = write_logs(spark, m.select("file", "event_id", F.expr(line)), ["event_id", "part"])
+    return logs.runtimes(lines).join(logs.file_facts(lines), ["file", "kind"]).select("matrix", "ngpus", "n", F.round("ms", 6).alias("ms"))
+
+
+@query("log_parse_combblas", f"""WITH {METRICS}, r AS (SELECT *, row_number() OVER (PARTITION BY matrix, ngpus ORDER BY event_id) AS place, count(*) OVER (PARTITION BY matrix, ngpus) AS c FROM m)
+SELECT matrix, ngpus::INT AS ngpus, count(*) AS n, round(avg(ms), 6) AS ms FROM r WHERE place > 1 OR c = 1 GROUP BY 1, 2""")
+def log_parse_combblas(spark, sf):
+    """CombBLAS logs, in colours: the first time of a file is its warm-up."""
+    m = metrics(spark, sf).withColumn("file", F.expr("concat('combblas_strong_', matrix, '_', ngpus, '.out')"))
+    line = F.concat(F.lit("\x1b[96m<Timer>[spgemm] "), F.col("ms").cast("string"), F.lit(" ms\x1b[0m"))
+    lines = write_logs(spark, m.select("file", "event_id", line.alias("line")), ["event_id"])
+    return logs.runtimes(lines).join(logs.file_facts(lines), ["file", "kind"]).select("matrix", "ngpus", "n", F.round("ms", 6).alias("ms"))
+
+
+@query("log_parse_rounds", f"WITH {METRICS} SELECT matrix, ngpus::INT AS ngpus, impl, grid, count(*) AS n, round(avg(ms), 6) AS ms FROM m WHERE round > 0 GROUP BY ALL")
+def log_parse_rounds(spark, sf):
+    """Our own logs: times of the whole product, without those of round 0; summaries beside them don't count."""
+    m = metrics(spark, sf).withColumn("file", F.expr(FILE_NAME))
+    line = "stack(2, 0, concat('<Timer>[spgemm] ', ms, ' ms'), 1, '<Timer>[spgemm] n=3,avg=1.0') AS (part, line)"
+    marks = m.select("file", "round").distinct().select("file", "round", F.lit(-1).cast("long").alias("event_id"), F.lit(0).alias("part"), F.expr("concat('STARTING spgemm round: ', round)").alias("line"))
+    lines = write_logs(spark, m.select("file", "round", "event_id", F.expr(line)).unionByName(marks), ["round", "event_id", "part"])
+    return logs.runtimes(lines).join(logs.file_facts(lines), ["file", "kind"]).select("matrix", "ngpus", "impl", "grid", "n", F.round("ms", 6).alias("ms"))
+
+
+@query("log_diagnosis", f"""WITH {METRICS}, t AS (
+  SELECT 'hns' AS program, {FILE_NAME} AS file, round = 3 AS a, phase = 'click' AND user_id % 50 = 0 AS b, true AS two FROM (SELECT m.*, user_id FROM m JOIN events USING (event_id))
+  UNION ALL SELECT 'trilinos', concat('trilinos_strong_', matrix, '_', ngpus, '.out'), event_id % 500 = 0, false, false FROM m
+  UNION ALL SELECT 'combblas', concat('combblas_strong_', matrix, '_', ngpus, '.out'), event_id % 700 = 0, false, false FROM m
+  UNION ALL SELECT 'mcl', concat('hns_mcl_', ngpus, '_', matrix, '_', impl, '_0.002.out'), event_id % 900 = 0, false, false FROM m)
+SELECT program, file, CASE WHEN bool_or(two) THEN count(*) FILTER (WHERE a) = 1 AND count(*) FILTER (WHERE b) = 1 ELSE count(*) FILTER (WHERE a) = 1 END AS complete FROM t GROUP BY 1, 2""")
+def log_diagnosis(spark, sf):
+    """Which runs have printed what a finished run of their program prints once."""
+    m = metrics(spark, sf).join(load(spark, sf, "events").select("event_id", "user_id"), "event_id")
+    said = lambda test, text: F.expr(f"IF({test}, '{text}', '-')")
+    printed = lambda name, line: F.struct(F.expr(name).alias("file"), line.alias("line"))
+    rows = m.select("event_id", F.explode(F.array(
+        printed(FILE_NAME, F.concat_ws("; ", said("round = 3", "STARTING spgemm round: 3"), said("phase = 'click' AND user_id % 50 = 0", "A stored in CSC"))),
+        printed("concat('trilinos_strong_', matrix, '_', ngpus, '.out')", said("event_id % 500 = 0", "Done spgemm")),
+        printed("concat('combblas_strong_', matrix, '_', ngpus, '.out')", said("event_id % 700 = 0", "2D Multiplication done")),
+        printed("concat('hns_mcl_', ngpus, '_', matrix, '_', impl, '_0.002.out')", said("event_id % 900 = 0", "Done MCL")),
+    )).alias("l")).select("event_id", "l.file", "l.line")
+    return logs.diagnosis(write_logs(spark, rows, ["event_id"]))
+
+
+@query("p2p_describe_by_buffer", """SELECT user_id % 7 AS threads, event_type AS buffer_label, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min,
+round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS max FROM events WHERE value > 0 GROUP BY 1, 2""")
+def p2p_describe_by_buffer(spark, sf):
+    """Message times described by threads and buffer, with deviation and quartiles."""
+    path = temporary_path(spark, "p2p")
+    write_benchmark_csv(load(spark, sf, "events").where("value > 0").select((F.col("user_id") % 7).alias("threads"), F.col("event_type").alias("buffer_label"), F.col("value").alias("us")), path)
+    out = loganalytics.describe(read_benchmark_csv(spark, path, "threads long, buffer_label string, us double"), ["threads", "buffer_label"], "us")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+# --- products by their structure --------------------------------------------------------------------
+
+SKEWED = f"w AS (SELECT l_suppkey AS i, CASE WHEN l_orderkey % 10 = 0 THEN 0 ELSE l_partkey END AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+
+
+def skewed_supplier_part(spark, sf):
+    """Supplier x part, but a tenth of all orders is for part 0."""
+    lines = load(spark, sf, "lineitem").select("l_suppkey", F.when(F.col("l_orderkey") % 10 == 0, 0).otherwise(F.col("l_partkey")).alias("j"), "l_quantity")
+    df = lines.groupBy("l_suppkey", "j").agg(F.sum("l_quantity").alias("v"))
+    return SparseMatrix.of(df, load(spark, sf, "supplier").count(), load(spark, sf, "part").count(), "l_suppkey", "j")
+
+
+@query("spgemm_heavy", f"WITH {SKEWED} {product_sql('w', 'w', 'i, j', 'j, i')}")
+def spgemm_heavy(spark, sf):
+    """One contraction index of very many products is split, the others meet once."""
+    w = skewed_supplier_part(spark, sf)
+    return multiply.spgemm(w, w.T, "heavy").df
+
+
+@query("heavy_indices", f"WITH {SKEWED}, d AS (SELECT j AS k, count(*) AS na FROM w GROUP BY 1) SELECT k, na, na AS nb, ceil(na / sqrt(5000.0::DOUBLE))::BIGINT AS parts FROM d WHERE na * na > 5000")
+def heavy_indices(spark, sf):
+    """The contraction indices of more than 5,000 products, and in how many parts each side is cut."""
+    w = skewed_supplier_part(spark, sf)
+    left, right = w.df.select("i", F.col("j").alias("k")), w.df.select(F.col("j").alias("k"), F.col("i").alias("j"))
+    return multiply.heavy_indices(left, right, 5_000).where("pa = pb").select("k", "na", "nb", F.col("pa").alias("parts"))
+
+
+WORK = f"{S}, n AS (SELECT j, count(*) AS n FROM s GROUP BY 1), t AS (SELECT s.i, sum(n.n)::BIGINT AS work FROM s JOIN n ON n.j = s.j GROUP BY 1)"
+
+
+@query("row_work", f"WITH {WORK} SELECT i, work FROM t")
+def row_work(spark, sf):
+    """Multiplications that each row of S S' takes."""
+    s = supplier_part(spark, sf)
+    return multiply.row_work(s, s.T)
+
+
+@query("chunks_by_work", f"""WITH {WORK}, h AS (SELECT 50000 AS half), p AS (SELECT i, work, half, sum(CASE WHEN work <= half THEN work ELSE 0 END) OVER (ORDER BY i) AS e FROM t, h)
+SELECT i, work, (CASE WHEN work <= half THEN (e - work) // half ELSE -1 - i END)::BIGINT AS chunk FROM p""")
+def chunks_by_work(spark, sf):
+    """Rows of S S' in chunks of at most 100,000 multiplications."""
+    s = supplier_part(spark, sf)
+    return multiply.chunks_by_work(multiply.row_work(s, s.T), 100_000)
+
+
+@query("spgemm_planned", COSUPPLY)
+def spgemm_planned(spark, sf):
+    """The strategy is chosen from the sizes of the operands, the multiplications and an estimate of the result's entries."""
+    s = supplier_part(spark, sf)
+    return structure.planned_product(s, s.T).df
+
+
+@query("nnz_estimate", f"""WITH {S}, {O}, {G}, a AS (SELECT 'S' AS matrix, count(*) AS nnz FROM ({product_sql('s', 's', 'i, j', 'j, i')}) UNION ALL SELECT 'O', count(*) FROM ({product_sql('o', 'o', 'i, j', 'j, i')})
+UNION ALL SELECT 'G', count(*) FROM ({product_sql('g', 'g')})) SELECT matrix, nnz, true AS within_10_percent FROM a""")
+def nnz_estimate(spark, sf):
+    """The entries of S S', O O' and G G, and whether the estimate from sketches comes within ten percent."""
+    s, o, g = supplier_part(spark, sf), part_order(spark, sf), square(spark, sf)
+    rows = []
+    for name, a, b in (("S", s, s.T), ("O", o, o.T), ("G", g, g)):
+        nnz = multiply.spgemm(a, b).nnz()
+        rows.append((name, nnz, abs(structure.estimate_nnz(a, b) - nnz) <= 0.1 * nnz))
+    return spark.createDataFrame(rows, "matrix string, nnz long, within_10_percent boolean")  # three rows
+
+
+@query("spgemm_numeric", f"WITH {S}, s2 AS (SELECT i, j, v * v + 1 AS v FROM s) {product_sql('s2', 's2', 'i, j', 'j, i')}")
+def spgemm_numeric(spark, sf):
+    """New values on the pattern of S S', whose structure is stored."""
+    s = supplier_part(spark, sf)
+    stored = structure.symbolic(s, s.T)
+    new = s.with_df(s.df.withColumn("v", F.col("v") * F.col("v") + 1))
+    return structure.numeric(stored, new, new.T).df
+
+
+# --- paths ------------------------------------------------------------------------------------------
+
+#: Orders of part i that hold no less than 50 of it lead to the part of the order's number: about 0.6 ways out of a part.
+ROADS = f"r AS (SELECT l_partkey AS i, l_orderkey % {N} AS j, min(l_linenumber)::DOUBLE AS v FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2)"
+
+
+def roads(spark, sf):
+    n = load(spark, sf, "part").count()
+    df = load(spark, sf, "lineitem").where("l_quantity >= 50").groupBy("l_partkey", (F.col("l_orderkey") % n).alias("j")).agg(F.min("l_linenumber").alias("v"))
+    return SparseMatrix.of(df, n, n, "l_partkey", "j")
+
+
+def _paths_sql(best: str, step: str, start: str) -> str:
+    """All paths without a repeated place; in this graph they are few."""
+    return f"""WITH RECURSIVE {ROADS}, p AS (SELECT i, j, v, [i, j] AS seen FROM r WHERE i <> j UNION ALL SELECT p.i, r.j, {step}, list_append(p.seen, r.j) FROM p JOIN r ON r.i = p.j WHERE NOT list_contains(p.seen, r.j))
+SELECT i, j, {best} AS v FROM (SELECT i, j, v FROM p UNION ALL SELECT k, k, {start} FROM (SELECT unnest(range({N})) AS k)) GROUP BY 1, 2"""
+
+
+@query("closure_shortest", _paths_sql("min(v)", "p.v + r.v", "0.0::DOUBLE"))
+def closure_shortest(spark, sf):
+    return semiring.closure(roads(spark, sf), "min_plus").df
+
+
+@query("closure_widest", _paths_sql("max(v)", "least(p.v, r.v)", "'Infinity'::DOUBLE"))
+def closure_widest(spark, sf):
+    return semiring.closure(roads(spark, sf), "max_min").df
+
+
+@query("closure_reachable", _paths_sql("max(v)", "1.0::DOUBLE", "1.0::DOUBLE").replace("SELECT i, j, v, [i, j]", "SELECT i, j, 1.0::DOUBLE AS v, [i, j]"))
+def closure_reachable(spark, sf):
+    return semiring.closure(roads(spark, sf), "or_and").df
+
+
+# --- products kept up to date, sums kept by a stream ---------------------------------------------------
+
+
+def _maintained(spark, sf, static: bool) -> DataFrame:
+    g = square(spark, sf)
+    rows = [(r["batch_idx"], r["nnz_a"], r["nnz_c"]) for r, _ in maintained.maintained_batches(g, g, 4, percent(g), static_b=static)]
+    return spark.createDataFrame(rows, "batch_idx long, nnz_a long, nnz_c long")  # a row for each batch
+
+
+@query("inc_batches_maintained", BATCHES)
+def inc_batches_maintained(spark, sf):
+    """The entries of A and of A A after each batch, from a product of which only touched blocks are written anew."""
+    return _maintained(spark, sf, False)
+
+
+@query("inc_batches_static", BATCHES.replace("JOIN m y ON x.k = y.k AND x.j = y.i", "JOIN g y ON x.j = y.i"))
+def inc_batches_static(spark, sf):
+    """The same with a B that stays, written once in buckets of its contraction index."""
+    return _maintained(spark, sf, True)
+
+
+@query("inc_maintained_equals_full", by_row_sql(G, product_sql("g", "g")))
+def inc_maintained_equals_full(spark, sf):
+    """After all batches the product is that of the whole operands."""
+    g = square(spark, sf)
+    for _, product in maintained.maintained_batches(g, g, 1, percent(g), static_b=True):
+        pass
+    return by_row(product.c)
+
+
+@query("stream_sum", "SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2")
+def stream_sum(spark, sf):
+    """Lines as a stream of inserts, a file a batch, summed by part and supplier in the state store."""
+    source, changes, checkpoint = (temporary_path(spark, name) for name in ("inserts", "changes", "checkpoint"))
+    lines = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+    lines.repartition(3).write.parquet(source)
+    summed_stream(updates_stream(spark, source), changes, checkpoint).awaitTermination()
+    return current(spark, changes, 0, 0).df
+
+
+# --- bitmaps, segments, array files -------------------------------------------------------------------
+
+
+@query("bitmap_buckets", f"WITH {U} SELECT CASE WHEN k > 0 THEN 1 + (k - 1) // 32768 ELSE k // 32768 END AS bucket, count(*) AS n FROM (SELECT DISTINCT j AS k FROM u) GROUP BY 1")
+def bitmap_buckets(spark, sf):
+    """How many users have events, from bitmaps merged over both halves of the day."""
+    u = hour_user(spark, sf).df
+    return bitmaps.sizes(bitmaps.union(bitmaps.bitmaps(u.where("i < 12"), "j"), bitmaps.bitmaps(u.where("i >= 12"), "j")))
+
+
+@query("bitmap_semijoin", f"WITH {U}, {CS} SELECT i, j, v FROM cs WHERE i IN (SELECT j FROM u)")
+def bitmap_semijoin(spark, sf):
+    """Customers that are users, found by exchanged bitmaps."""
+    return bitmaps.reduced_operands(hour_user(spark, sf), customer_nation(spark, sf))[1].df
+
+
+@query("spgemm_bitmap", f"WITH {U}, {CS} {product_sql('u', 'cs')}")
+def spgemm_bitmap(spark, sf):
+    """Hours x nations from operands that bitmaps have reduced."""
+    a, b = bitmaps.reduced_operands(hour_user(spark, sf), customer_nation(spark, sf))
+    return multiply.spgemm(a, b).df
+
+
+@query("packed_bitmask_gaps", f"WITH {G}, k AS (SELECT DISTINCT j AS k FROM g WHERE v > 90) SELECT k // 8 AS word, bit_or(1 << (k % 8)::INT)::BIGINT AS mask FROM k GROUP BY 1")
+def packed_bitmask_gaps(spark, sf):
+    """The columns of a pruned matrix, many of which are empty."""
+    return layout.packed_mask(layout.nonempty(algebra.prune(square(spark, sf), 90.0), "j"))
+
+
+@query("csr_segments", f"WITH {G} SELECT i, (row_number() OVER (PARTITION BY i ORDER BY j) - 1)::BIGINT AS pos, j, v FROM g")
+def csr_segments(spark, sf):
+    """Rows in segments of eight entries, and their entries again."""
+    return segments.entries(segments.segmented(square(spark, sf), 8))
+
+
+@query("csr_segment_product", f"WITH {G} SELECT i, sum(v * (j % 7 + 1)) AS v FROM g GROUP BY 1")
+def csr_segment_product(spark, sf):
+    """Segmented rows times a vector."""
+    g = square(spark, sf)
+    x = spark.range(g.ncols).select(F.col("id").alias("j"), (F.col("id") % 7 + 1).cast("double").alias("x"))
+    return segments.product_with_vector(segments.segmented(g, 8), x)
+
+
+@query("csr_segment_lookup", f"WITH {G} SELECT a.i, a.j, a.v FROM g a JOIN g b ON a.i = b.j AND a.j = b.i")
+def csr_segment_lookup(spark, sf):
+    """Entries that have one across the diagonal, looked up in segmented rows."""
+    g = square(spark, sf)
+    return segments.lookup(segments.segmented(g, 8), g.T.df)
+
+
+@query("mtx_array_roundtrip", f"WITH {CS} SELECT i, j, v FROM cs")
+def mtx_array_roundtrip(spark, sf):
+    """A matrix written as an array file, a value a line, and read by line numbers."""
+    path = temporary_path(spark, "mtx")
+    write_array(customer_nation(spark, sf), path)
+    return read_mtx(spark, path).df
+
+
+# --- clustering of a sparse matrix that grows ---------------------------------------------------------
+
+
+def _mcl_rows_sql(rounds: int, tolerance: float) -> str:
+    return _mcl_sql(rounds, tolerance).replace(NT, G).replace("FROM nt", "FROM g").replace(f"SELECT i, j, round(v, 6) AS v FROM l{rounds}", f"SELECT i, count(*) AS n, round(sum(v), 6) AS s, round(max(v), 6) AS most FROM l{rounds} GROUP BY i")
+
+
+@query("mcl_sparse", _mcl_rows_sql(2, 0.0053))
+def mcl_sparse(spark, sf):
+    """Two rounds on G, a digest for each row."""
+    m = mcl(square(spark, sf), 2, 0.0053)[0]
+    return m.df.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("s"), F.round(F.max("v"), 6).alias("most"))

@@ -10,9 +10,12 @@ import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: what each writing task holds in memory, in place of 128 MB.
+ROW_GROUP = 16 * 2**20
 #: Folders still there, with their session; and the folder of each table that is in use.
 _WRITTEN: dict[str, SparkSession] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -27,28 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
     whose machines would each write to a disk of their own, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='sparkmat-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_root(spark.sparkContext.applicationId)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+@cache
+def _local_root(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='sparkmat-')}"
+
+
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there.
 
+    Filters on the columns of ``partition_by`` read only their folders.
+
     The table lasts until ``drop_tables``, the end of its ``scratch`` block or the end of Python.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, partitionBy=partition_by)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared folder, for files of any kind; deleted like a table of ``write_table``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def write_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Like ``write_table``, dealt into buckets by the hash of ``keys``: joins and aggregates on these keys read it without a shuffle.
 
@@ -59,19 +75,40 @@ def write_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     own = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{own}"
     _WRITTEN[path], _NAMES[path] = spark, own
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(own)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("parquet.block.size", ROW_GROUP).format("parquet").saveAsTable(own)
     out = spark.table(own)
     _PATHS[out] = path
     return out
 
 
+def with_settings(df: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """The same rows, lazily, in a session of their own: its settings are those of ``df``'s session but for ``settings``, which hold for all that is made of them."""
+    spark = df.sparkSession
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in settings.items():
+        own.conf.set(key, value)
+    name = f"moved_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)  # the one way in which a plan passes from session to session
+    out = own.table(f"{own.conf.get('spark.sql.globalTempDatabase', 'global_temp')}.{name}")
+    spark.catalog.dropGlobalTempView(name)
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in whatever store it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop(path: str) -> None:
     spark = _WRITTEN.pop(path, None)
     if spark is not None:
         if path in _NAMES:
             spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop(path)}")
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(spark, path)
 
 
 def drop_tables(*tables: DataFrame | None) -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkmat.functions.text import timer_values, without_colours
 
+#: File names that are sent to every executor at most.
+BROADCAST_FILES = 10_000
 METRICS = "file STRING, phase STRING, rank INT, round INT, ms DOUBLE, pos STRUCT<block: BIGINT, n: BIGINT>"
 
 
@@ -39,10 +41,19 @@ def _number(column: str, pattern: str, group: int = 1):
 
 
 def with_context(lines: DataFrame, pattern: str, name: str) -> DataFrame:
-    """The lines with the number of the last marker before them in their file (null before the first)."""
+    """The lines with the number of the last marker before them in their file (null before the first).
+
+    Each split of a file is scanned on its own; the last marker of each split (a
+    row each) is carried on to the next, so a long merged log isn't one task.
+    """
     marker = _number("line", pattern).cast("int")
-    order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(marker, ignorenulls=True).over(order))
+    split = lines.withColumn("_block", F.col("pos.block"))
+    own = Window.partitionBy("file", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = split.groupBy("file", "_block").agg(F.max_by(marker, F.when(marker.isNotNull(), F.col("pos"))).alias("_end"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "_block", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    local = split.withColumn(name, F.last(marker, ignorenulls=True).over(own))
+    return local.join(ends, ["file", "_block"]).withColumn(name, F.coalesce(name, "_before")).select(*lines.columns, name)
 
 
 def spgemm_metrics(lines: DataFrame) -> DataFrame:
@@ -73,6 +84,27 @@ def phase_times(metrics: DataFrame, skip_round: int | None = 0) -> DataFrame:
     return single.unionByName(summary)
 
 
+def runtimes(lines: DataFrame) -> DataFrame:
+    """(file, kind, n, ms): the mean time of a product as each kind of program reports it, and how many times make it.
+
+    Ours: single times after the marker of a round above 0.  Trilinos: ``avg`` of
+    the first summary (n is 1).  CombBLAS: single times but for the first of the
+    file, its warm-up; if there is only one, that.  Files without times give no row.
+    """
+    kinds = file_facts(lines).where(F.col("kind").isin("hns_strong", "trilinos_strong", "combblas_strong")).select("file", "kind")
+    single, summary = r"<Timer>\[spgemm\]\s+([0-9.]+)\s+ms", r"<Timer>\[spgemm\].*avg=([0-9.]+)"
+    ms = lambda pattern: _number("line", pattern).try_cast("double")
+    times = with_context(lines, r"STARTING spgemm round:\s*(\d+)", "round").join(F.broadcast(kinds) if kinds.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES else kinds, "file")
+    times = times.withColumn("ms", F.when(F.col("kind") == "trilinos_strong", ms(summary)).when(~F.col("line").contains("avg="), ms(single))).where("ms IS NOT NULL")
+    kept = times.where("kind <> 'hns_strong' OR round > 0")
+    totals = kept.groupBy("file", "kind").agg(F.count("*").alias("n"), F.sum("ms").alias("_sum"), F.min_by("ms", "pos").alias("_first"))
+    return totals.select(
+        "file", "kind",
+        F.when(F.col("kind") == "trilinos_strong", 1).when((F.col("kind") == "combblas_strong") & (F.col("n") > 1), F.col("n") - 1).otherwise(F.col("n")).cast("long").alias("n"),
+        F.when(F.col("kind") == "trilinos_strong", F.col("_first")).when((F.col("kind") == "combblas_strong") & (F.col("n") > 1), (F.col("_sum") - F.col("_first")) / (F.col("n") - 1)).otherwise(F.col("_sum") / F.col("n")).alias("ms"),
+    )
+
+
 def iteration_times(lines: DataFrame) -> DataFrame:
     """(file, iter, ms): the largest time of any rank in each clustering iteration."""
     rounds = with_context(lines, r"=+ ITERATION (\d+) =+", "iter")
@@ -137,3 +169,29 @@ def completeness(lines: DataFrame, start: str, end: str) -> DataFrame:
     return lines.groupBy("file").agg(
         F.count_if(F.col("line").rlike(start)).alias("n_start"), F.count_if(F.col("line").rlike(end)).alias("n_end")
     ).withColumn("complete", (F.col("n_start") > 0) & (F.col("n_start") == F.col("n_end")))
+
+
+#: What a finished run of each kind of program has printed exactly once.
+FINISHED = {
+    "hns": ["spgemm round: 3", "A stored in CSC"],
+    "trilinos": ["Done spgemm"],
+    "combblas": ["2D Multiplication done"],
+    "mcl": ["Done MCL"],
+}
+
+
+def diagnosis(lines: DataFrame) -> DataFrame:
+    """(program, file, complete): whether a ``.out`` file holds each text of its program once.
+
+    Files named after several programs are judged for each; clustering logs only
+    as such.  Runs of ours that exchange sparsely over a grid that isn't the
+    square of all processes were never supported and are left out.
+    """
+    counts = {f"_{p}{k}": F.sum(F.regexp_count("line", F.lit(text))) for p, texts in FINISHED.items() for k, text in enumerate(texts)}
+    whole = lines.groupBy("file").agg(*(c.alias(n) for n, c in counts.items())).where(F.col("file").contains(".out"))
+    named = lambda p: F.col("file").contains(p) & (~F.col("file").contains("mcl") if p == "hns" else F.lit(True))
+    found = lambda p: F.forall(F.array(*(F.col(f"_{p}{k}") for k in range(len(FINISHED[p])))), lambda n: n == 1)
+    judged = whole.select("file", F.explode(F.array(*(F.when(named(p), F.struct(F.lit(p).alias("program"), found(p).alias("complete"))) for p in FINISHED))).alias("_j")).where("_j IS NOT NULL")
+    side, n = F.regexp_extract("file", r"(\d+)x\d+", 1).try_cast("long"), F.regexp_extract("file", r"_(\d+)_", 1).try_cast("long")
+    unsupported = (F.col("_j.program") == "hns") & (side * side != n) & ~F.col("file").contains("nospcomm")
+    return judged.where(~F.coalesce(unsupported, F.lit(False))).select("_j.program", "file", "_j.complete")
