@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 
 from sparkmat.shared import drop_tables, scratch, shared_dir, write_bucketed, write_table
 
-__all__ = ["drop_tables", "running", "scratch", "shared_dir", "table", "write_bucketed", "write_table"]
+__all__ = ["drop_tables", "packed", "running", "scratch", "shared_dir", "table", "unpacked", "write_bucketed", "write_table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The struct of columns that an operator carries along without knowing them.
+OTHERS = "other_columns"
+
+
+def packed(rows: DataFrame, own: list, without: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` as the columns ``own`` and a struct OTHERS of all columns but those ``without``, so that none can clash with an operator's own names."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in without] or [F.lit(0).alias("none")]
+    return rows.select(*own, F.struct(*others).alias(OTHERS))
+
+
+def unpacked(columns: list[str], **new: Column) -> list[Column]:
+    """What selects ``columns`` from rows that ``packed`` has made, but for those that are ``new``."""
+    return [new[c].alias(c) if c in new else F.col(f"{OTHERS}.`{c}`").alias(c) for c in columns]
+
+
 def running(rows: DataFrame, group: str, order: list[str], scans: dict[str, Callable[[str], Column]]) -> DataFrame:
     """``rows`` with each column of ``scans`` replaced by its running F.sum or F.bit_xor within ``group`` (no nulls) in the order given.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm.common import table, write_table
+from sparkmat.llm.common import packed, table, unpacked, write_table
 
 MIN_CHARS = 10
 #: Shared keys meant for one shard's filter.
@@ -263,13 +263,15 @@ def _maybe_shared(index: LineIndex) -> DataFrame:
 def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     """``docs`` with ``text`` freed of lines that a smaller doc_id of the index holds; n_lines and n_dropped are added.
 
-    Where ``docs`` has columns of these names, they are replaced.
+    Where ``docs`` has columns of these names, they are replaced; all others come
+    out as they are, whatever their names.
     """
     found = _maybe_shared(index).join(index.shared, ["k1", "k2"]).where("doc_id <> keeper")
     drops = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.flatten(F.collect_set(F.array("k1", "k2"))).alias("_drop"))
     docs = docs.drop("n_lines", "n_dropped")
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    names = docs.columns
+    carried = packed(docs, ["doc_id", "text"], ("doc_id", "text"))
+    joined = carried.join(drops, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    names = carried.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,8 +292,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
             columns = {n: pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names}
             yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
 
-    schema = docs.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    return joined.mapInArrow(run, schema)
+    schema = carried.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    kept = joined.mapInArrow(run, schema)
+    return kept.select(*unpacked(docs.columns, doc_id=F.col("doc_id"), text=F.col("text")), "n_lines", "n_dropped")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm.common import table, write_table
+from sparkmat.llm.common import packed, table, unpacked, write_table
 
 #: Frequent function words of each language (lower case).
 COMMON_WORDS = {
@@ -161,11 +161,15 @@ def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` (text, lang and any other columns) with the columns FIGURES.
 
     The figures are written into the shared folder, with the texts unless
-    ``keep_text`` is false, so that the texts are gone through once.
+    ``keep_text`` is false, so that the texts are gone through once.  Columns of
+    ``docs`` named like a figure are replaced, all others come out as they are,
+    whatever their names.
     """
-    figures = with_figures(docs)
-    figures = write_table(figures if keep_text else figures.drop("text"), "figures")
-    return verdict(figures, fit_references(figures))
+    docs = docs.drop(*FIGURES)
+    left_out = () if keep_text else ("text",)
+    figures = with_figures(packed(docs, ["text", "lang"], left_out)).drop("text", "lang")
+    figures = write_table(figures, "figures")
+    return verdict(figures, fit_references(figures)).select(*unpacked([c for c in docs.columns if c not in left_out]), *FIGURES)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,8 @@ def split_and_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return pages.select("page_id", "url").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, host string, path string, rule string, verdict string")
 
 
+#: Grams of a block of counts.
+BLOCK = 2**16
 HELD_OUT = "coalesce(crc32(CAST(CAST(page_id AS string) AS binary)) % 5 = 0, false)"
 
 
@@ -148,18 +151,28 @@ def fit(ruled: DataFrame) -> UrlModel:
                 yield pa.RecordBatch.from_pydict({"verdict": pa.array([verdict] * len(gram)), "held": pa.array([held] * len(gram)), "gram": pa.array(gram), "n": pa.array(n)})
 
     known = ruled.where("verdict IS NOT NULL").withColumn("held", F.expr(HELD_OUT))
-    summed = known.select("url", "verdict", "held").mapInArrow(count, "verdict string, held boolean, gram long, n long").groupBy("verdict", "held", "gram").agg(F.sum("n").alias("n")).toPandas()
+    summed = known.select("url", "verdict", "held").mapInArrow(count, "verdict string, held boolean, gram long, n long").groupBy("verdict", "held", "gram").agg(F.sum("n").alias("n"))
 
-    def difference(rows) -> np.ndarray | None:
-        counts = []
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"verdict": [key[0]], "held": [key[1]], "block": [key[2]], "grams": [(rows["gram"].to_numpy(np.int64) % BLOCK).astype("<u2").tobytes()], "counts": [rows["n"].to_numpy("<i8").tobytes()]})
+
+    # ten bytes for each gram that occurs, so at most 4 * 10 * SYMBOLS ** ORDER bytes (231 MB) ever reach the driver, a block at a time
+    blocks = summed.withColumn("block", F.expr(f"gram div {BLOCK}")).groupBy("verdict", "held", "block").applyInPandas(pack, "verdict string, held boolean, block long, grams binary, counts binary")
+    totals: dict[tuple[str, bool], np.ndarray] = {}
+    for row in write_table(blocks, "grams").toLocalIterator():
+        own = totals.setdefault((row["verdict"], row["held"]), np.zeros(SYMBOLS**ORDER, np.int64))
+        own[row["block"] * BLOCK + np.frombuffer(row["grams"], "<u2").astype(np.int64)] += np.frombuffer(row["counts"], "<i8")
+
+    def difference(folds: tuple[bool, ...]) -> np.ndarray | None:
+        probabilities = []
         for verdict in ("allow", "block"):
-            own = rows[rows["verdict"] == verdict]
-            if not len(own):
+            own = [totals[verdict, held] for held in folds if (verdict, held) in totals]
+            if not own:
                 return None
-            counts.append(np.bincount(own["gram"].to_numpy(np.int64), weights=own["n"].to_numpy(float), minlength=SYMBOLS**ORDER))
-        return (log_probabilities(counts[0]) - log_probabilities(counts[1])).astype(np.float32)
+            probabilities.append(log_probabilities(sum(own[1:], own[0]).astype(float)))
+        return (probabilities[0] - probabilities[1]).astype(np.float32)
 
-    whole, part = difference(summed), difference(summed[~summed["held"].astype(bool)])
+    whole, part = difference((False, True)), difference((False,))
     if whole is None:
         return UrlModel(np.zeros(SYMBOLS**ORDER, np.float32), 0.0)
     if part is None:  # a verdict is in the held-out fold only: nothing to calibrate with

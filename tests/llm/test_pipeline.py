@@ -62,3 +62,25 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert left("benchmark decontamination", rows) == sorted([(5, clean), (None, clean), (6, None), (None, None)], key=str)
     rows = [(3, clean), (5, f"{clean} x"), (5, other), (None, clean), (7, clean), (7, clean)]
     assert left("near duplicates", rows) == sorted([(3, clean), (5, other), (None, clean)], key=str)
+
+
+def test_foreign_columns_pass_through(spark):
+    """Names of figures and of the operators' helpers, of other types; very long, tied and null texts."""
+    from pyspark.sql import functions as F
+
+    names = ["n_words", "word_chars", "n_lines", "n_dropped", "kept", "base_failed", "_lang", "_doc", "_text", "_gone", "_drop", "_words", "_hashes", "_id", "_hash", "text_hash", "other_columns", "_", "a.b", "h", "rep", "cid", "component_id"]
+    rng = __import__("random").Random(1)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("ane", "ilo", "ur", "este")]
+    prose = lambda n: " ".join(rng.choice([*words, "the", "of", "and", "to"]) for _ in range(n))
+    tied = prose(80)
+    texts = [(1, prose(80)), (2, tied), (3, tied), (4, f"{prose(70)}\nA line of both texts.\n{prose(30)}"), (5, f"{prose(70)}\nA line of both texts.\n{prose(30)}"), (6, prose(60_000)), (7, None), (8, ""), (None, prose(90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.concat(F.lit(f"mine {n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, plain = stage(spark, docs, SF), stage(spark, plain, SF)
+        rows = docs.collect()
+        assert docs.columns[5:] == names and all(r[n] == f"mine {n} {'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+        assert sorted(map(str, (tuple(r)[:5] for r in rows))) == sorted(map(str, map(tuple, plain.collect()))) and rows
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert tokens.count() == len(rows)
