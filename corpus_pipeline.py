@@ -12,7 +12,8 @@ one's docs.  All but the last return the columns of documents.
 
 Rows are judged by their own texts, also where they share a doc_id or have none;
 only near-duplicates links rows without doc_id with nothing and keeps them.  An
-empty table passes through.
+empty table passes through.  Further columns, whatever their names, pass through
+all stages but the last as they are, but for n_chars where line dedup changes it.
 """
 
 from __future__ import annotations
@@ -22,36 +23,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmat.llm import bpe, decontam, linededup, neardup, quality
-from sparkmat.llm.common import drop_tables, scratch, table, write_table
+from sparkmat.llm.common import drop_tables, packed, scratch, table, unpacked, write_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs).where("kept").select(docs.columns)
+    judged = quality.judge(packed(docs, ["text", "lang"]), keep_text=False)
+    return judged.where("kept").select(*unpacked(docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(docs, linededup.build_index(docs))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    kept = linededup.dedup_lines(packed(docs, ["doc_id", "text"], ("text",)), linededup.build_index(docs))
+    return kept.select(*unpacked(docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long")))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose doc_id (null is one of its own) and text aren't those of a row (doc_id, text_hash) in ``gone``."""
     gone = write_table(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct(), "gone")
-    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text"])
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    rows = packed(docs, [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")])
+    same = rows["_id"].eqNullSafe(gone["_gone"]) & (rows["_hash"] == gone["_text"])
+    return rows.join(gone, same, "left_anti").select(*unpacked(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, neardup.near_duplicates(docs).where("NOT kept"))
+    return _without(docs, neardup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(decontam.build_index(docs), table(spark, sf_dir, "benchmark"), near=0, hashes=True)
+    found = decontam.find_contamination(decontam.build_index(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), near=0, hashes=True)
     return _without(docs, found.where("contaminated"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
