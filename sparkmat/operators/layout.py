@@ -86,7 +86,10 @@ def exclusive_pointers(a: SparseMatrix, axis: str = "i") -> DataFrame:
 
 
 def compressed_rows(a: SparseMatrix, axis: str = "i") -> DataFrame:
-    """(axis, entries): the entries of each row or column that has any, sorted by the other index."""
+    """(axis, entries): the entries of each row or column that has any, sorted by the other index.
+
+    A row is one record here; ``segments.segmented`` bounds the length of records.
+    """
     other = "j" if axis == "i" else "i"
     return a.df.groupBy(axis).agg(F.array_sort(F.collect_list(F.struct(other, "v"))).alias("entries"))
 
@@ -181,7 +184,11 @@ CHECKSUM_FACTOR, CHECKSUM_OFFSET = 1099511628211, 1469598103934665603
 
 
 def checksum(a: SparseMatrix) -> DataFrame:
-    """One row ``checksum`` (text): an order-free sum modulo 2**64 over indices and single-precision value bits."""
+    """One row ``checksum`` (text): an order-free sum modulo 2**64 over indices and single-precision value bits.
+
+    No built-in function gives the bits of a float, so Java's is called by
+    reflection, a call an entry, outside of generated code.
+    """
     bits = F.expr("CAST(reflect('java.lang.Float', 'floatToRawIntBits', CAST(v AS float)) AS bigint) & 4294967295")
     keyed = a.df.select(F.shiftleft("i", 40).bitwiseXOR(F.shiftleft("j", 16)).alias("_k"), bits.alias("_b"))
     term = F.expr("pmod(CAST(CAST(_k ^ _b AS decimal(20, 0)) * 1099511628211 AS decimal(38, 0)), 18446744073709551616)")

@@ -14,14 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmat.functions.text import parse_size
+from sparkmat.functions.text import parse_size, stem
 from sparkmat.matrix import SparseMatrix
 from sparkmat.operators import algebra, bitmaps, incremental, layout, loganalytics, maintained, multiply, segments, semiring, structure
 from sparkmat.plans.mcl import mcl, trace
 from sparkmat.shared import temporary_path, write_table
 from sparkmat.sources import generators, logs
 from sparkmat.sources.catalog import MATRICES, matrices, read_benchmark_csv, write_benchmark_csv
-from sparkmat.sources.matrix_market import read_mtx, write_array, write_mtx
+from sparkmat.sources.matrix_market import read_mtx, read_parquet, write_array, write_mtx, write_parquet
 from sparkmat.streaming.updates import current, summed_stream, updates_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1073,3 +1073,141 @@ def mcl_sparse(spark, sf):
     """Two rounds on G, a digest for each row."""
     m = mcl(square(spark, sf), 2, 0.0053)[0]
     return m.df.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("s"), F.round(F.max("v"), 6).alias("most"))
+
+
+# --- grids of parts: stencils, restriction and prolongation applied to quantities ------------------------
+
+
+def _side(spark, sf, d: int) -> int:
+    """The side of the largest d-dimensional grid that the parts fill."""
+    return int(load(spark, sf, "part").count() ** (1 / d) + 1e-9)
+
+
+def part_quantities(spark, sf, size: int) -> SparseMatrix:
+    """A column of the quantities ordered of the first ``size`` parts, a place of the grid each."""
+    df = load(spark, sf, "lineitem").where(F.col("l_partkey") < size).groupBy("l_partkey").agg(F.sum("l_quantity").alias("v")).withColumn("j", F.lit(0))
+    return SparseMatrix.of(df, size, 1, "l_partkey", "j")
+
+
+def _moved_sql(d: int) -> str:
+    return " + ".join(f"(d{c} <> 0)::INT" for c in "xyz"[:d])
+
+
+def _grid_sql(d: int, side: str) -> str:
+    """Points p (x, .., v) of the grid of parts, whose side n is ``side`` of the number s of parts that fit a direction, and offsets o (dx, ..)."""
+    index = ", ".join(f"k // pow(n, {k})::BIGINT % n AS {c}" for k, c in enumerate("xyz"[:d]))
+    offsets = ", ".join(f"(SELECT unnest([-1, 0, 1])::BIGINT AS d{c})" for c in "xyz"[:d])
+    return f"""WITH s AS (SELECT floor(pow(count(*), 1.0::DOUBLE / {d}) + 1e-9)::BIGINT AS s FROM part), g AS (SELECT s, {side} AS n FROM s),
+q AS (SELECT l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1), p AS (SELECT {index}, v FROM q, g WHERE k < pow(n, {d})), o AS (SELECT * FROM {offsets})"""
+
+
+def _index_sql(coordinates: list[str], side: str) -> str:
+    return " + ".join(f"({c}) * pow({side}, {k})::BIGINT" for k, c in enumerate(coordinates))
+
+
+def _applied_stencil_sql(kind: str) -> str:
+    d = generators.STENCILS[kind]
+    weight = {"9pt": "CASE m WHEN 0 THEN 8 WHEN 1 THEN -2 ELSE -1 END", "27pt": "CASE m WHEN 0 THEN 26 WHEN 1 THEN -4 ELSE -1 END"}.get(kind, f"CASE m WHEN 0 THEN {2 * d} WHEN 1 THEN -1 END")
+    inside = " AND ".join(f"{c} - d{c} BETWEEN 0 AND n - 1" for c in "xyz"[:d])
+    return f"""{_grid_sql(d, "s")} SELECT {_index_sql([f"{c} - d{c}" for c in "xyz"[:d]], "n")} AS i, sum(({weight}) * v) AS v
+FROM (SELECT *, {_moved_sql(d)} AS m FROM p, o, g) WHERE ({weight}) IS NOT NULL AND {inside} GROUP BY 1"""
+
+
+def _applied_restriction_sql(d: int) -> str:
+    """Fine points f = 2 c + o, on a grid of 2 n - 1 points a direction."""
+    even = " AND ".join(f"({c} - d{c}) % 2 = 0 AND {c} - d{c} BETWEEN 0 AND n - 1" for c in "xyz"[:d])
+    return f"""{_grid_sql(d, "2 * ((s + 1) // 2) - 1")} SELECT {_index_sql([f"({c} - d{c}) // 2" for c in "xyz"[:d]], "((n + 1) // 2)")} AS i, sum(pow(0.5, {_moved_sql(d)} + {d}) * v) AS v
+FROM p, o, g WHERE {even} GROUP BY 1"""
+
+
+def _applied_prolongation_sql(d: int) -> str:
+    inside = " AND ".join(f"2 * {c} + d{c} BETWEEN 0 AND 2 * n - 2" for c in "xyz"[:d])
+    return f"""{_grid_sql(d, "s")} SELECT {_index_sql([f"2 * {c} + d{c}" for c in "xyz"[:d]], "(2 * n - 1)")} AS i, sum(pow(0.5, {_moved_sql(d)}) * v) AS v FROM p, o, g WHERE {inside} GROUP BY 1"""
+
+
+def _applied(make):
+    """The product of a generated matrix with the column of quantities."""
+
+    def run(spark, sf):
+        a = make(spark, sf)
+        return multiply.spgemm(a, part_quantities(spark, sf, a.ncols)).df.select("i", "v")
+
+    return run
+
+
+for _kind, _d in generators.STENCILS.items():
+    query(f"laplacian_{_d}d_{_kind}", _applied_stencil_sql(_kind))(_applied(lambda spark, sf, k=_kind, d=_d: generators.stencil(spark, k, *[_side(spark, sf, d)] * d)))
+for _d in (1, 2, 3):
+    query(f"restricted_{_d}d", _applied_restriction_sql(_d))(_applied(lambda spark, sf, d=_d: generators.restriction(spark, *[(_side(spark, sf, d) + 1) // 2] * d)))
+    query(f"prolonged_{_d}d", _applied_prolongation_sql(_d))(_applied(lambda spark, sf, d=_d: generators.prolongation(spark, *[_side(spark, sf, d)] * d)))
+
+COARSE = f"{G}, h AS (SELECT ({N} + 1) // 2 AS n), o AS (SELECT unnest([-1, 0, 1])::BIGINT AS d, unnest([0.5, 1.0, 0.5])::DOUBLE AS w)"
+
+
+@query("galerkin_parts", by_row_sql(COARSE, """SELECT (g.i - a.d) // 2 AS i, (g.j - b.d) // 2 AS j, sum(a.w / 2 * g.v * b.w) AS v FROM g, h, o a, o b
+WHERE g.i < 2 * n - 1 AND g.j < 2 * n - 1 AND (g.i - a.d) % 2 = 0 AND (g.j - b.d) % 2 = 0 AND g.i - a.d BETWEEN 0 AND 2 * n - 2 AND g.j - b.d BETWEEN 0 AND 2 * n - 2 GROUP BY 1, 2"""))
+def galerkin_parts(spark, sf):
+    """R G P on the line of parts, of which the coarse grid takes every other one."""
+    g = square(spark, sf)
+    n = (g.nrows + 1) // 2
+    fine = SparseMatrix(g.df.where((F.col("i") < 2 * n - 1) & (F.col("j") < 2 * n - 1)), 2 * n - 1, 2 * n - 1)
+    return by_row(multiply.triple_product(generators.restriction(spark, n), fine, generators.prolongation(spark, n)))
+
+
+@query("restrict_t_times_parts", by_row_sql(COARSE, f"SELECT 2 * g.i + d AS i, g.j, sum(w / 2 * g.v) AS v FROM g, o WHERE 2 * g.i + d BETWEEN 0 AND 2 * {N} - 2 GROUP BY 1, 2"))
+def restrict_t_times_parts(spark, sf):
+    """R' G: a restriction's transpose as the left operand."""
+    g = square(spark, sf)
+    return by_row(multiply.spgemm(generators.restriction(spark, g.nrows).T, g))
+
+
+@query("band_times_suppliers", """WITH n AS (SELECT count(*) AS n FROM supplier), q AS (SELECT l_suppkey AS x, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey % 3 = 2 GROUP BY 1)
+SELECT i, sum(v) AS v FROM (SELECT unnest(range(x, least(x + CASE WHEN x < n / 2 THEN x + 1 ELSE n - x END, n))) AS i, v FROM q, n) GROUP BY 1""")
+def band_times_suppliers(spark, sf):
+    """A band whose columns are empty but for every third, times the suppliers' quantities."""
+    n = load(spark, sf, "supplier").count()
+    df = load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("v")).withColumn("j", F.lit(0))
+    x = SparseMatrix.of(df, n, 1, "l_suppkey", "j")
+    return multiply.spgemm(generators.banded(spark, n, 3, 2, "j"), x).df.select("i", "v")
+
+
+@query("catalog_runs", f"WITH {METRICS}, c AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in MATRICES) + ") AS t(set, matrix)) SELECT c.set, c.matrix, count(m.ms) AS n_runs, round(avg(m.ms), 6) AS ms FROM c LEFT JOIN m ON m.matrix = c.matrix GROUP BY 1, 2")
+def catalog_runs(spark, sf):
+    """The catalogue's matrices with the runs that there are of each."""
+    runs = metrics(spark, sf).groupBy("matrix").agg(F.count("*").alias("n"), F.avg("ms").alias("ms"))
+    return matrices(spark).join(runs, "matrix", "left").select("set", "matrix", F.coalesce("n", F.lit(0)).alias("n_runs"), F.round("ms", 6).alias("ms"))
+
+
+@query("generated_names", """WITH s AS (SELECT count(*) AS n, floor(sqrt(count(*)) + 1e-9)::BIGINT AS m FROM part)
+SELECT concat('stencil_3pt_1D_', n, '_', n, 'x', n, '_nnz', 3 * n - 2, '.mtx') AS name FROM s UNION ALL SELECT concat('stencil_5pt_2D_', m, 'x', m, '_', m * m, 'x', m * m, '_nnz', 5 * m * m - 4 * m, '_T.mtx') FROM s""")
+def generated_names(spark, sf):
+    """The file names of stencils as large as the parts allow."""
+    rows = []
+    for kind, d, transposed in (("3pt", 1, False), ("5pt", 2, True)):
+        sizes = (_side(spark, sf, d),) * d
+        a = generators.stencil(spark, kind, *sizes)
+        rows.append((generators.file_name(f"stencil_{kind}", sizes, a.nrows, a.ncols, a.nnz(), transposed),))
+    return spark.createDataFrame(rows, "name string")  # two rows
+
+
+@query("file_stems", f"WITH {METRICS}, {FILES} SELECT concat('hns_strong_', ngpus, '_', grid, '_', matrix, '_kokkos_nospcomm_', impl, '_nopermute') AS stem, count(*) AS n FROM f GROUP BY 1")
+def file_stems(spark, sf):
+    """Runs by the stem of their log's name, whatever its folder and endings."""
+    path = F.concat(F.lit("results/run.1/"), F.expr(FILE_NAME), F.when(F.col("event_id") % 2 == 0, ".gz").otherwise(""))
+    return metrics(spark, sf).select(stem(path).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query("parquet_roundtrip", f"WITH {G} SELECT i, j, v FROM g")
+def parquet_roundtrip(spark, sf):
+    path = temporary_path(spark, "matrix")
+    write_parquet(square(spark, sf), path)
+    return read_parquet(spark, path).df
+
+
+@query("log_union", f"WITH {METRICS} SELECT 'trilinos' AS program, matrix, arg_min(ms, event_id) AS ms FROM m WHERE ngpus = 16 GROUP BY 2 UNION ALL SELECT 'hns', matrix, max(ms) FROM m WHERE ngpus = 64 GROUP BY 2")
+def log_union(spark, sf):
+    """Results of two kinds of runs in one frame, by the names of their columns."""
+    m = metrics(spark, sf)
+    first = m.where("ngpus = 16").groupBy("matrix").agg(F.min_by("ms", "event_id").alias("ms")).withColumn("program", F.lit("trilinos"))
+    most = m.where("ngpus = 64").groupBy("matrix").agg(F.max("ms").alias("ms")).select(F.lit("hns").alias("program"), "ms", "matrix")
+    return first.unionByName(most).select("program", "matrix", "ms")
