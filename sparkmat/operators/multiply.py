@@ -51,8 +51,8 @@ def is_small(df: DataFrame, entries: int = BROADCAST_NNZ) -> bool:
     return df.limit(entries + 1).count() <= entries
 
 
-def spgemm(a: SparseMatrix, b: SparseMatrix, strategy: str = "auto", grid: int = 2, slices: int = 2) -> SparseMatrix:
-    """C = A B; ``grid`` is the number of tile rows and columns, ``slices`` the cuts within a tile row or index."""
+def spgemm(a: SparseMatrix, b: SparseMatrix, strategy: str = "auto", grid: int | None = None, slices: int = 2) -> SparseMatrix:
+    """C = A B; ``grid`` is the number of tile rows and columns (by default as many as give each shuffle partition a tile or two), ``slices`` the cuts within a tile row or index."""
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}")
     left, right = _sides(a, b)
@@ -76,7 +76,9 @@ def spgemm(a: SparseMatrix, b: SparseMatrix, strategy: str = "auto", grid: int =
     elif strategy == "row1d":
         return SparseMatrix(_by_requests(left, right, max(a.nrows, 1)), a.nrows, b.ncols)
     else:
-        return SparseMatrix(_in_tiles(left, right, a.nrows, b.ncols, grid, slices if strategy == "hier" else 1), a.nrows, b.ncols)
+        slices = slices if strategy == "hier" else 1
+        grid = grid or max(2, math.ceil(math.sqrt(_partitions(left) * 2 / slices / slices)))
+        return SparseMatrix(_in_tiles(left, right, a.nrows, b.ncols, grid, slices), a.nrows, b.ncols)
     return SparseMatrix(_summed(joined).select("i", "j", "v"), a.nrows, b.ncols)
 
 
@@ -96,21 +98,21 @@ def _partitions(df: DataFrame) -> int:
 def _in_tiles(left: DataFrame, right: DataFrame, nrows: int, ncols: int, grid: int, slices: int) -> DataFrame:
     """(i, j, v) of the product, made and summed in tiles (r, s, c): tile row, slice of it, tile column.
 
-    Both sides are dealt by (r, s, c) alone with one number of partitions, which
-    the join on (r, s, c, k) and the sum by (r, s, c, i, j) both accept: two
-    exchanges, of operands only.  A's entries are copied once for each tile
-    column, B's once for each slice of each tile row.
+    The number t of a tile is the partition that both sides are dealt to, which
+    the join on (t, k) and the sum by (t, i, j) both accept: two exchanges, of
+    operands only.  A's entries are copied once for each tile column, B's once
+    for each slice of each tile row.
     """
     h = max(1, math.ceil(nrows / (grid * slices)))
     w = max(1, math.ceil(ncols / grid))
-    n = max(_partitions(left), grid * slices * grid)
-    tile = ["r", "s", "c"]
-    row = F.floor(F.col("i") / F.lit(h))
-    left = left.withColumn("r", F.floor(row / F.lit(slices))).withColumn("s", F.pmod(row, F.lit(slices).cast("long"))).withColumn("c", _every(F.lit(grid)))
-    right = right.withColumn("c", F.floor(F.col("j") / F.lit(w))).withColumn("r", _every(F.lit(grid))).withColumn("s", _every(F.lit(slices)))
-    left = with_settings(left, IN_PLACE)
-    joined = left.repartition(n, *tile).hint("merge").join(right.repartition(n, *tile), [*tile, "k"])
-    return joined.groupBy(*tile, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).select("i", "j", "v")
+    tile = lambda row, column: (row * grid + column).cast("int").alias("t")  # noqa: E731  rows of tiles are slices
+    left = with_settings(left, IN_PLACE).select("i", "k", "a", _every(F.lit(grid)).alias("c"))
+    left = left.select("i", "k", "a", tile(F.floor(F.col("i") / F.lit(h)), F.col("c")))
+    right = right.select("k", "j", "b", _every(F.lit(grid * slices)).alias("r"))
+    right = right.select("k", "j", "b", tile(F.col("r"), F.floor(F.col("j") / F.lit(w))))
+    n = grid * slices * grid
+    joined = left.repartitionById(n, F.col("t")).hint("merge").join(right.repartitionById(n, F.col("t")), ["t", "k"])
+    return joined.groupBy("t", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).select("i", "j", "v")
 
 
 def requests(left: DataFrame, h: int) -> DataFrame:
@@ -119,12 +121,12 @@ def requests(left: DataFrame, h: int) -> DataFrame:
 
 
 def _by_requests(left: DataFrame, right: DataFrame, nrows: int) -> DataFrame:
-    """(i, j, v) of the product by blocks of rows: rows of B travel only to the blocks whose request list holds them."""
+    """(i, j, v) of the product by blocks of rows, a partition each: rows of B travel only to the blocks whose request list holds them."""
     n = _partitions(left)
     h = max(1, math.ceil(nrows / n))
-    needed = right.join(requests(left, h), "k").select("block", "k", "j", "b")
-    dealt = with_settings(left, IN_PLACE).withColumn("block", F.floor(F.col("i") / F.lit(h))).repartition(n, "block")
-    joined = dealt.hint("merge").join(needed.repartition(n, "block"), ["block", "k"])
+    needed = right.join(requests(left, h), "k").select(F.col("block").cast("int"), "k", "j", "b")
+    dealt = with_settings(left, IN_PLACE).withColumn("block", F.floor(F.col("i") / F.lit(h)).cast("int")).repartitionById(n, F.col("block"))
+    joined = dealt.hint("merge").join(needed.repartitionById(n, F.col("block")), ["block", "k"])
     return joined.groupBy("block", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).select("i", "j", "v")
 
 

@@ -26,7 +26,7 @@ def exchanges(df):
     return [line for line in plan.splitlines() if "Exchange" in line]
 
 
-@pytest.mark.parametrize(("strategy", "deals"), [("summa", "(r#"), ("hier", "(r#"), ("row1d", "(block#")])
+@pytest.mark.parametrize(("strategy", "deals"), [("summa", "direct_shuffle_partition_id(t#"), ("hier", "direct_shuffle_partition_id(t#"), ("row1d", "direct_shuffle_partition_id(block#")])
 def test_no_exchange_carries_products(spark, strategy, deals):
     """Both operands are dealt by the block of C; the join and the sum find their rows in place."""
     from sparkmat.shared import write_table
