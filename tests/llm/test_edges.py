@@ -291,15 +291,21 @@ def brute_components(texts):
         words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
         k = min(5, len(words))
         sets[i] = frozenset(tuple(words[x : x + k]) for x in range(len(words) - k + 1)) if words else frozenset()
-    least = {i: i for i in sets}
-    changed = True
+    links = []
+    for a in sets:
+        for b in sets:
+            few, many = sorted((len(sets[a]), len(sets[b])))
+            if a < b and few and 100 * few >= 75 * many:
+                common = len(sets[a] & sets[b])
+                if 100 * common >= 75 * (few + many - common):
+                    links.append((a, b))
+    least, changed = {i: i for i in sets}, True
     while changed:
         changed = False
-        for a in sets:
-            for b in sets:
-                common = len(sets[a] & sets[b])
-                if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common) and least[a] < least[b]:
-                    least[b], changed = least[a], True
+        for a, b in links:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
     return {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
 
 

@@ -44,9 +44,10 @@ def test_op4(spark):
     assert sorted(map(tuple, registry.QUERIES["op4_bpe"](spark, SF).collect())) == sorted(want)
 
 
-def test_op7(spark):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.op7_near_duplicates(spark, SF).collect()}
-    assert got == brute_components(rows_of(spark, "documents", "doc_id", "text"))
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_op7(spark, sf):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.op7_near_duplicates(spark, sf).collect()}
+    assert got == brute_components(rows_of(spark, "documents", "doc_id", "text", sf=sf))
     assert any(not kept for _, _, kept in got.values())
 
 
