@@ -31,6 +31,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkmat.llm.common import small_batches
+
 INF = np.int32(2**31 - 1)
 #: Pieces longer than this get a tree of their own, and so do those over SHORT_BYTES of a size that has fewer than MANY pieces.
 BATCHED_BYTES, SHORT_BYTES, MANY = 16_384, 64, 24
@@ -295,6 +297,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, digests: bo
     task is simply run again.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     ranks = load_ranks(vocabulary)  # on the driver, whose path it is
     held = spark.sparkContext.broadcast((ranks, pair_table(ranks), pattern))  # the vocabulary: about 50,000 tokens
     key = hash((vocabulary, pattern, len(ranks)))

@@ -9,13 +9,29 @@ from pyspark.sql import functions as F
 
 from sparkmat.shared import drop_tables, scratch, shared_dir, write_bucketed, write_table
 
-__all__ = ["drop_tables", "packed", "running", "scratch", "shared_dir", "table", "unpacked", "write_bucketed", "write_table"]
+__all__ = ["drop_tables", "packed", "running", "scratch", "shared_dir", "small_batches", "table", "unpacked", "write_bucketed", "write_table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that pass between the JVM and Python at once, where texts pass; Spark's own default is 10,000.
+BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets rows with texts pass to Python by BATCH_ROWS, unless the session has a number of its own.
+
+    Buffers of a batch lie outside of the heap and are kept by the JVM and by
+    Python once they have been needed, so large batches stay in an executor's
+    memory for as long as it lives.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 #: The struct of columns that an operator carries along without knowing them.
 OTHERS = "other_columns"
 

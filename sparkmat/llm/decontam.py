@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm.common import drop_tables, table, write_table
+from sparkmat.llm.common import drop_tables, small_batches, table, write_table
 
 SEGMENT_WORDS = 40_000
 BLOCK_WORDS = 200_000
@@ -120,6 +120,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if words:
             yield flush()
 
+    small_batches(docs.sparkSession)
     return write_table(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, INDEX_SCHEMA), "postings")
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm.common import packed, table, unpacked, write_table
+from sparkmat.llm.common import packed, small_batches, table, unpacked, write_table
 
 MIN_CHARS = 10
 #: Shared keys meant for one shard's filter.
@@ -176,6 +176,7 @@ def _filters(shared: DataFrame, n_shards: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> LineIndex:
+    small_batches(docs.sparkSession)
     return _index(write_table(references_of(docs), "references"))
 
 

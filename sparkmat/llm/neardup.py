@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm.common import drop_tables, table, write_table
+from sparkmat.llm.common import drop_tables, small_batches, table, write_table
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -341,6 +341,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFra
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64), n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     sketches = write_table(sketch(docs), "sketches")
     whole = "h IS NOT NULL AND doc_id IS NOT NULL"
     classes = sketches.where(whole).groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
