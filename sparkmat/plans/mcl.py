@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkmat.matrix import SparseMatrix
 from sparkmat.operators.algebra import inflate, normalize, prune, set_self_loops
 from sparkmat.operators.multiply import spgemm
-from sparkmat.shared import drop_tables, write_table
+from sparkmat.shared import drop_tables, scratch, write_table
 
 
 def mcl(a: SparseMatrix, iterations: int = 10, tolerance: float = 0.01, power: float = 2.0, axis: str = "i", normalize_right: bool = False, self_loops: bool = False, strategy: str = "auto") -> tuple[SparseMatrix, list[tuple[int, int]]]:
@@ -17,9 +17,10 @@ def mcl(a: SparseMatrix, iterations: int = 10, tolerance: float = 0.01, power: f
     Rows (``i``) are normalised before the first round; the right operand of
     the first product is normalised only with ``normalize_right``.  There is no
     test for convergence, and pruned rows aren't normalised again.  Each round
-    is written into the shared folder: the plan stays short, both operands of
-    the next product read the same table, and a lost executor repeats no round;
-    a round's table is dropped once the next one is written.
+    writes its product, which is read for its sums and for its entries, and what
+    pruning leaves of it into the shared folder: the plan stays short, both
+    operands of the next product read the same table, and a lost executor
+    repeats no round; a round's tables are dropped once the next one is written.
     """
     if self_loops:
         a = set_self_loops(a)
@@ -28,14 +29,13 @@ def mcl(a: SparseMatrix, iterations: int = 10, tolerance: float = 0.01, power: f
     sizes: list[tuple[int, int]] = []
     before = None
     for _ in range(iterations):
-        inflated = inflate(spgemm(left, right, strategy), power, axis)
-        table = write_table(inflated.df, "mcl")
+        with scratch() as keep:
+            product = a.with_df(write_table(spgemm(left, right, strategy).df, "product"))
+            table = keep(write_table(prune(inflate(product, power, axis), tolerance).df, "mcl"))
+            sizes.append((product.nnz(), table.count()))
         drop_tables(before)
-        before, inflated = table, a.with_df(table)
-        kept = prune(inflated, tolerance)
-        counts = inflated.df.agg(F.count("*"), F.count_if(F.abs("v") > F.lit(float(tolerance)))).first()
-        sizes.append((counts[0], counts[1]))
-        left = right = kept
+        before = table
+        left = right = a.with_df(table)
     return left, sizes
 
 
