@@ -3,7 +3,8 @@
 import pytest
 
 from sparkmat.matrix import SparseMatrix
-from sparkmat.operators import algebra, multiply
+from sparkmat.operators import algebra, incremental, multiply
+from sparkmat.shared import write_table
 from sparkmat.sources import generators
 
 from tests.test_matrix import dense_product, some
@@ -58,3 +59,34 @@ def test_all_heavy_indices(spark):
     right = spark.range(2000).selectExpr("0L AS k", "id AS j", "1.0D AS b")
     (one,) = multiply.heavy_indices(left, right, 50).collect()
     assert (one["pa"], one["pb"]) == (283, 283)
+
+
+def test_entries_that_share_no_block_travel_unpacked(spark, large, monkeypatch):
+    monkeypatch.setattr(multiply, "SMALL_SIDE", 0)
+    monkeypatch.setattr(multiply, "BLOCK_WORK", 300)  # no index makes more products
+    a, b = some(spark, 71, 40, 30, 300), some(spark, 72, 30, 50, 400)
+    expected = dense_product(a, b)
+    for strategy in ("auto", "summa", "salted"):
+        c = multiply.spgemm(a, b, strategy)
+        assert c.entries() == expected
+        above, _ = plan(c.df).split("direct_shuffle_partition_id", 1)
+        assert above.count("Exchange") == 1 and above.count("Generate") == 1
+
+
+def test_entries_of_a_product_are_counted_without_values(spark, monkeypatch):
+    a, b = some(spark, 73, 20, 15, 80), some(spark, 74, 15, 20, 70)
+    nnz = len(dense_product(a, b))
+    for row_work in (10**6, 20, 0):  # no row, some rows and all rows are heavy
+        monkeypatch.setattr(multiply, "ROW_WORK", row_work)
+        assert multiply.product_nnz(a, b) == nnz
+    assert multiply.product_nnz(a, SparseMatrix.from_entries(spark, [], 15, 20)) == 0
+
+
+def test_batches_of_a_square_update_it_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(incremental, "write_table", lambda df, name: made.append(name) or write_table(df, name))
+    monkeypatch.setattr(incremental, "spgemm", lambda *_: pytest.fail("values are not asked for"))
+    a = some(spark, 75, 20, 20, 80)
+    nnz = [r["nnz_c_global"] for r in incremental.run_batches(a, a, 2, 5)]
+    assert made == ["updates", "operand", "operand"]
+    assert nnz[-1] <= len(dense_product(a, a)) and nnz == sorted(nnz)
