@@ -3,7 +3,7 @@
 import pytest
 
 from sparkmat.matrix import SparseMatrix
-from sparkmat.operators import algebra, incremental, multiply
+from sparkmat.operators import algebra, incremental, multiply, structure
 from sparkmat.shared import write_table
 from sparkmat.sources import generators
 
@@ -90,3 +90,13 @@ def test_batches_of_a_square_update_it_once(spark, monkeypatch):
     nnz = [r["nnz_c_global"] for r in incremental.run_batches(a, a, 2, 5)]
     assert made == ["updates", "operand", "operand"]
     assert nnz[-1] <= len(dense_product(a, a)) and nnz == sorted(nnz)
+
+
+def test_structure_of_a_large_product_has_no_row_a_multiplication(spark, large):
+    a, b = some(spark, 76, 20, 15, 60), some(spark, 77, 15, 20, 50)
+    pattern = structure.symbolic(a, b)
+    assert pattern.pairs is None
+    new = a.with_df(a.df.selectExpr("i", "j", "v * 3 - 1 AS v"))
+    assert structure.numeric(pattern, new, b).entries() == pytest.approx(dense_product(new, b))
+    with pytest.raises(ValueError):
+        structure.numeric(pattern, some(spark, 78, 20, 15, 60), b)
