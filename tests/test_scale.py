@@ -1,5 +1,6 @@
 """What products shuffle and hold as their operands grow."""
 
+import pyarrow as pa
 import pytest
 
 from sparkmat.matrix import SparseMatrix
@@ -100,3 +101,32 @@ def test_structure_of_a_large_product_has_no_row_a_multiplication(spark, large):
     assert structure.numeric(pattern, new, b).entries() == pytest.approx(dense_product(new, b))
     with pytest.raises(ValueError):
         structure.numeric(pattern, some(spark, 78, 20, 15, 60), b)
+
+
+def test_small_right_sides_go_to_all_packed(spark, large, monkeypatch):
+    """Of the square's product with A only its own entries are shuffled, not with a row of A each."""
+    monkeypatch.setattr(multiply, "SMALL_SIDE", 0)
+    monkeypatch.setattr(multiply, "BLOCK_WORK", 1000)
+    a = some(spark, 79, 20, 20, 90)
+    c = multiply.power(a, 3)
+    assert "BroadcastHashJoin" in plan(c.df) and "SortMergeJoin" not in plan(c.df)
+    assert c.entries() == (a @ a @ a).entries()
+
+
+@pytest.mark.parametrize("ncols", [40, 2**31, 2**45])
+def test_rows_are_summed_as_they_come(monkeypatch, ncols):
+    """However batches cut rows, each entry comes once, also where one row is more than is held at once."""
+    monkeypatch.setattr(multiply, "AT_ONCE", 10)
+    monkeypatch.setattr(multiply, "PIECE", 4)
+    met = [(i, float(k - 3), [(i * k) % 40, (k + 1) % 40, ncols - 1], [1.0, -2.0, 0.0]) for i in (2, 3, 7) for k in range(5 * i)]
+    index = multiply._index_type(ncols)
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*met), (pa.int64(), pa.float64(), pa.list_(pa.int32() if index == "int" else pa.int64()), pa.list_(pa.float64())))], ["i", "a", "js", "bs"])
+    expected = {}
+    for i, a, js, bs in met:
+        for j, b in zip(js, bs):
+            expected[i, j] = expected.get((i, j), 0.0) + a * b
+    for size in (1, 4, 1000):
+        rows = [r for b in multiply._sums_of_rows(ncols, index)(whole.slice(k, size) for k in range(0, len(met), size)) for r in b.to_pylist()]
+        entries = [((r["i"], j), v) for r in rows for j, v in zip(r["js"], r["vs"])]
+        assert len(entries) == len(expected) and dict(entries) == expected
+    assert list(multiply._sums_of_rows(ncols, index)(iter([]))) == []
