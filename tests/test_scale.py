@@ -7,6 +7,7 @@ from sparkmat.matrix import SparseMatrix
 from sparkmat.operators import algebra, incremental, multiply, structure
 from sparkmat.shared import write_table
 from sparkmat.sources import generators
+from sparkmat.streaming.updates import current, summed_stream, updates_stream
 
 from tests.test_matrix import dense_product, some
 
@@ -130,3 +131,13 @@ def test_rows_are_summed_as_they_come(monkeypatch, ncols):
         entries = [((r["i"], j), v) for r in rows for j, v in zip(r["js"], r["vs"])]
         assert len(entries) == len(expected) and dict(entries) == expected
     assert list(multiply._sums_of_rows(ncols, index)(iter([]))) == []
+
+
+def test_sums_of_a_stream_lie_on_disk(spark, tmp_path):
+    source, changes, checkpoint = (str(tmp_path / name) for name in ("in", "changes", "checkpoint"))
+    a = some(spark, 80, 20, 20, 90)
+    a.df.repartition(3).write.parquet(source)
+    query = summed_stream(updates_stream(spark, source, 2), changes, checkpoint)
+    query.awaitTermination()
+    assert all(any(m.startswith("rocksdb") for m in p["stateOperators"][0]["customMetrics"]) for p in query.recentProgress)
+    assert len(query.recentProgress) == 2 and current(spark, changes, 20, 20).entries() == a.entries()
