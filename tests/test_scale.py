@@ -141,3 +141,18 @@ def test_sums_of_a_stream_lie_on_disk(spark, tmp_path):
     query.awaitTermination()
     assert all(any(m.startswith("rocksdb") for m in p["stateOperators"][0]["customMetrics"]) for p in query.recentProgress)
     assert len(query.recentProgress) == 2 and current(spark, changes, 20, 20).entries() == a.entries()
+
+
+def test_chunks_of_a_large_product_send_the_operands_once(spark, large, monkeypatch):
+    made = []
+    monkeypatch.setattr(multiply, "write_table", lambda df, name, **how: made.append(name) or write_table(df, name, **how))
+    monkeypatch.setattr(multiply, "spgemm", lambda *_: pytest.fail("a chunk's operands are not sent again"))
+    a, b = some(spark, 81, 40, 30, 300), some(spark, 82, 30, 50, 400)
+    a = a + SparseMatrix.from_entries(spark, [(7, k, 2.0) for k in range(30)], 40, 30)  # a row of much work
+    expected = dense_product(a, b)
+    for how in ({"chunks": 1}, {"budget": 2500}):
+        made.clear()
+        assert multiply.spgemm_chunked(a, b, **how).entries() == expected
+        assert made.count("met") == 1 and made.count("chunk") > 1
+    none = SparseMatrix.from_entries(spark, [], 40, 30)
+    assert multiply.spgemm_chunked(none, none.T, chunks=4).entries() == {}
