@@ -156,3 +156,16 @@ def test_chunks_of_a_large_product_send_the_operands_once(spark, large, monkeypa
         assert made.count("met") == 1 and made.count("chunk") > 1
     none = SparseMatrix.from_entries(spark, [], 40, 30)
     assert multiply.spgemm_chunked(none, none.T, chunks=4).entries() == {}
+
+
+def test_blocks_follow_the_work_and_not_the_partitions(spark, monkeypatch):
+    """A row of B is sent to each block that needs it, so many partitions alone make no more blocks."""
+    monkeypatch.setattr(multiply, "PLAIN_WORK", 0)
+    monkeypatch.setattr(multiply, "SMALL_SIDE", 0)
+    monkeypatch.setattr(multiply, "SENT_NNZ", 0)
+    monkeypatch.setattr(multiply, "_partitions", lambda df: 12)
+    a, b = some(spark, 83, 40, 30, 300), some(spark, 84, 30, 50, 400)
+    c = multiply.spgemm(a, b)
+    (dealt,) = [line for line in plan(c.df).splitlines() if "direct_shuffle_partition_id" in line]
+    assert f", {2 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in dealt
+    assert c.entries() == dense_product(a, b)
