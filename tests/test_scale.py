@@ -169,3 +169,11 @@ def test_blocks_follow_the_work_and_not_the_partitions(spark, monkeypatch):
     (dealt,) = [line for line in plan(c.df).splitlines() if "direct_shuffle_partition_id" in line]
     assert f", {2 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in dealt
     assert c.entries() == dense_product(a, b)
+
+
+def test_places_where_entries_meet_grow_with_them(spark, large, monkeypatch):
+    monkeypatch.setattr(multiply, "MET_ENTRIES", 100)
+    a, b = some(spark, 85, 40, 30, 300), some(spark, 86, 30, 50, 400)
+    places = [line for line in plan(multiply.spgemm(a, b, "row1d").df).splitlines() if "REPARTITION_BY_NUM" in line and "direct" not in line]
+    n = -(-(a.nnz() + b.nnz()) // 100)
+    assert n > 4 and len(places) == 2 and all(f"{n}), REPARTITION_BY_NUM" in line for line in places)
