@@ -3,9 +3,9 @@
 import pytest
 
 from sparkmat.matrix import SparseMatrix
-from sparkmat.operators import multiply, rows
+from sparkmat.operators import incremental, maintained, multiply, rows
 from sparkmat.plans import mcl as plans
-from sparkmat.shared import stored, write_table
+from sparkmat.shared import stored, write_bucketed, write_table
 
 from tests.test_matrix import dense_product, some
 
@@ -31,8 +31,6 @@ def test_transposes_are_stored_once(spark, large, monkeypatch):
     made = []
     monkeypatch.setattr(rows, "stored", lambda df, name: made.append(name) or stored(df, name))
     monkeypatch.setattr(rows, "write_bucketed", lambda df, name, *how: made.append(name) or write_bucketed(df, name, *how))
-    from sparkmat.shared import write_bucketed
-
     a = some(spark, 163, 30, 20, 200)
     assert multiply.spgemm(a, a.T).entries() == dense_product(a, a.T)
     assert made == ["operand", "by_index"]
@@ -58,3 +56,35 @@ def test_clustering_of_large_matrices_writes_no_product(spark, monkeypatch):
     out, found = plans.mcl(a, 2, 0.05)
     assert out.entries() == pytest.approx(expected) and found == sizes
     assert made == ["mcl", "mcl"]
+
+
+def test_large_maintained_products_write_deltas_alone(spark, monkeypatch):
+    """Every delta reaches all blocks, and repeats entries of its operand and of its predecessor."""
+    monkeypatch.setattr(rows, "LARGE_NNZ", 0)
+    monkeypatch.setattr(multiply, "SMALL_SIDE", 0)
+    monkeypatch.setattr(maintained.LoggedProduct, "BLOCK_WORK", 300)
+    a, b = some(spark, 166, 40, 30, 300), some(spark, 167, 30, 20, 200)
+    product = maintained.maintained(a, b)
+    assert product.c.entries() == dense_product(a, b) and product.nnz() == product.rows_written
+    for k in range(2):
+        da, db = some(spark, 168, 40, 30, 20), some(spark, 169 + k, 30, 20, 4)
+        before, a, b = dense_product(a, b), a + da, b + db
+        assert product.update(da, db) < len(before)
+        assert product.nnz() == len(dense_product(a, b)) and product.nnz_a() == a.nnz()
+    assert product.c.entries() == dense_product(a, b)
+    assert {r.i: r.n for r in product.digests().collect()} == {i: sum(x == i for x, _ in dense_product(a, b)) for i in range(40)}
+    assert len(product.parts) == 3
+    da = some(spark, 171, 40, 30, 300)
+    product.update(da)  # more entries than C has: summed into it
+    assert len(product.parts) == 1 and product.c.entries() == dense_product(a + da, b)
+    product.close()
+
+
+def test_large_batches_are_counted_from_dealt_tables(spark, monkeypatch):
+    a = some(spark, 172, 20, 20, 80)
+    keys = ("nnz_a_global", "nnz_b_global", "nnz_c_global", "csum_a_global", "csum_b_global")
+    expected = [[r[k] for k in keys] for r in incremental.run_batches(a, a, 3, 5)]
+    monkeypatch.setattr(rows, "LARGE_NNZ", 0)
+    monkeypatch.setattr(multiply, "SMALL_SIDE", 0)
+    monkeypatch.setattr(incremental, "apply_update", lambda *_: pytest.fail("operands are not written again"))
+    assert [[r[k] for k in keys] for r in incremental.run_batches(a, a, 3, 5)] == expected
